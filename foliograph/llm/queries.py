@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, sharding
+from . import bpe, embeddings, quality, sharding
 from .oracles import SQL
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
     "op2_metric_range_join": embeddings.op2_metric_range_join,
+    "op4_bradley_terry": quality.op4_bradley_terry,
     "op5_sentencepiece_bpe": bpe.op5_sentencepiece_bpe,
     "op9_rank_synchronous": bpe.op9_rank_synchronous,
 }
