@@ -36,3 +36,23 @@ counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN counted ON counted.a = e.vec_id
 """
+
+#: Words as the operators on shingles take them, and the distinct five-word shingles of every document with words.
+SHINGLES = """words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM {docs}),
+shingles AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+    list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words WHERE len(w) > 0)"""
+
+NEAR = SHINGLES + """,
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS rep, count(*) AS copies FROM shingles GROUP BY list_sort(s)),
+member AS (SELECT doc_id, rep, copies FROM shingles JOIN classes ON list_sort(shingles.s) = classes.s),
+grams AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM classes),
+links AS (SELECT a.rep AS a, b.rep AS b FROM grams a JOIN grams b ON a.g = b.g AND a.rep <> b.rep
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8::DOUBLE * (a.n + b.n - count(*)) - 1e-9),
+reach(a, b) AS (SELECT rep, rep FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+counted AS (SELECT a, sum(copies) AS n FROM links JOIN classes ON rep = b GROUP BY a),
+near AS (SELECT d.doc_id, coalesce(m.rep, d.doc_id) AS class_id, (coalesce(m.copies, 1) - 1 + coalesce(n, 0))::BIGINT AS n_links,
+    coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+    FROM {docs} d LEFT JOIN member m ON m.doc_id = d.doc_id LEFT JOIN least ON least.a = m.rep LEFT JOIN counted ON counted.a = m.rep)"""
+
+SQL["op6_minhash_forest"] = "WITH RECURSIVE " + NEAR.replace("{docs}", "documents") + " SELECT * FROM near"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, quality, secrets, sharding
+from . import bpe, embeddings, ngrams, quality, secrets, sharding
 from .oracles import SQL
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_metric_range_join": embeddings.op2_metric_range_join,
     "op4_bradley_terry": quality.op4_bradley_terry,
     "op5_sentencepiece_bpe": bpe.op5_sentencepiece_bpe,
+    "op6_minhash_forest": ngrams.op6_minhash_forest,
     "op7_entropy_windows": secrets.op7_entropy_windows,
     "op9_rank_synchronous": bpe.op9_rank_synchronous,
 }
