@@ -6,6 +6,7 @@ from __future__ import annotations
 import base64
 import json
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Strings held at once while a batch is split, and cached results of pre-tokens; memory stays bounded by them.
-CHUNK_CHARS, CACHE = 1 << 20, 1 << 19
+CHUNK_CHARS, CACHE = 1 << 20, 1 << 18
 
 
 def byte_chars() -> list[str]:
@@ -74,63 +75,53 @@ def _chunks(texts: pa.Array) -> Iterator[list[str]]:
         at = end
 
 
-def encoder(tokens: list[bytes], pattern: str):
-    """A column function text -> ids (array<int>): every match of pattern is encoded by itself, without special tokens.
+class Coder:
+    """Encodes and decodes lists of texts in a Python worker; made from a model and shipped with it."""
 
-    A match that is a token as a whole is that token; others are merged by lowest rank. Null and empty texts have no
-    ids. The pattern covers every character of a text, so ids decode to the text's UTF-8 bytes.
-    """
-    model = sentencepiece_model(tokens)
+    def __init__(self, tokens: list[bytes], pattern: str):
+        self.tokens, self.pattern, self.model = tokens, pattern, sentencepiece_model(tokens)
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encode(self, batches: Iterator[pa.Array]) -> Iterator[pa.ListArray]:
+        """ids of the texts, in lists of about CHUNK_CHARS bytes of text, so that no more is held at once."""
         import regex
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        split, chars = regex.compile(pattern).findall, byte_chars()
-        whole = {t: [n] for n, t in enumerate(tokens)}
-        table = str.maketrans({chr(b): c for b, c in enumerate(chars)})
+        sp = sentencepiece.SentencePieceProcessor(model_proto=self.model)
+        split = regex.compile(self.pattern).findall
+        whole = {t: [n] for n, t in enumerate(self.tokens)}
+        table = str.maketrans({chr(b): c for b, c in enumerate(byte_chars())})
         cache: dict[str, list[int]] = {}
         for texts in batches:
-            ids, ends = [], [0]
             for chunk in _chunks(texts):
                 words = [split(x) for x in chunk]
                 if len(cache) > CACHE:
                     cache.clear()
-                new = [w for w in {w for ws in words for w in ws} if w not in cache]
                 rest = []
-                for w in new:
-                    if found := whole.get(w.encode()):
-                        cache[w] = found
-                    else:
-                        rest.append(w)
+                for w in {w for ws in words for w in ws}:
+                    if w not in cache:
+                        if found := whole.get(w.encode()):
+                            cache[w] = found
+                        else:
+                            rest.append(w)
                 mapped = [w.encode().decode("latin-1").translate(table) for w in rest]
                 for w, pieces in zip(rest, sp.encode(mapped, num_threads=1) if mapped else [], strict=True):
                     cache[w] = [n - 1 for n in pieces]
+                ids, ends = array("i"), [0]
                 for ws in words:
-                    own: list[int] = []
                     for w in ws:
-                        own += cache[w]
-                    ids.append(np.array(own, np.int32))
-                    ends.append(ends[-1] + len(own))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                        ids.extend(cache[w])
+                    ends.append(len(ids))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
 
-    return encode
+    def decoding(self):
+        """A function from lists of ids to bytes, by the inverse mapping."""
+        flat, size = np.frombuffer(b"".join(self.tokens), np.uint8), np.array([len(t) for t in self.tokens], np.int64)
+        begin = np.cumsum(size) - size
 
-
-def decoder(tokens: list[bytes]):
-    """A column function ids (array<int>) -> bytes, by the inverse mapping. Null gives no bytes; unknown ids are an error."""
-    flat, size = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
-    begin = np.cumsum(size) - size
-
-    @F.arrow_udf("binary")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
+        def decode(lists: pa.ListArray) -> pa.Array:
             out: list[bytes] = []
-            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
-            values = lists.flatten().to_numpy(zero_copy_only=False)
-            at = 0
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            values, at = lists.flatten().to_numpy(zero_copy_only=False), 0
             while at < len(lists):
                 stop = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_CHARS, side="right")) - 1)
                 ids = values[ends[at] : ends[stop]]
@@ -140,7 +131,33 @@ def decoder(tokens: list[bytes]):
                 marks = np.concatenate([[0], until])[ends[at : stop + 1] - ends[at]].tolist()
                 out += [text[a:b] for a, b in zip(marks, marks[1:])]
                 at = stop
-            yield pa.array(out, pa.binary())
+            return pa.array(out, pa.binary())
+
+        return decode
+
+
+def encoder(tokens: list[bytes], pattern: str):
+    """A column function text -> ids (array<int>): every match of pattern is encoded by itself, without special tokens.
+
+    A match that is a token as a whole is that token; others are merged by lowest rank. Null and empty texts have no
+    ids. The pattern covers every character of a text, so ids decode to the text's UTF-8 bytes.
+    """
+    coder = Coder(tokens, pattern)
+
+    @F.arrow_udf("array<int>")
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from coder.encode(texts)
+
+    return encode
+
+
+def decoder(tokens: list[bytes]):
+    """A column function ids (array<int>) -> bytes. Null gives no bytes; unknown ids are an error."""
+    coder = Coder(tokens, "")
+
+    @F.arrow_udf("binary")
+    def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(coder.decoding(), ids)
 
     return decode
 
@@ -148,10 +165,21 @@ def decoder(tokens: list[bytes]):
 def encode_documents(df: DataFrame, tokens: list[bytes], pattern: str, *, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
     """df with ids, and unless decoded is None the bytes that the ids decode to; columns so named are replaced.
 
-    Repeated rows are encoded each by themselves; other columns pass unread; an empty table gives an empty one.
+    Repeated rows are encoded each by themselves; other columns pass unread; an empty table gives an empty one. Both
+    columns come from one Python worker, which decodes what it has encoded.
     """
-    out = df.withColumn(ids, encoder(tokens, pattern)(F.col(text)))
-    return out if decoded is None else out.withColumn(decoded, decoder(tokens)(F.col(ids)))
+    if decoded is None:
+        return df.withColumn(ids, encoder(tokens, pattern)(F.col(text)))
+    coder = Coder(tokens, pattern)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decode = coder.decoding()
+        for lists in coder.encode(texts):
+            yield pa.StructArray.from_arrays([lists, decode(lists)], ["ids", "decoded"])
+
+    coded = df.withColumn("__coded", both(F.col(text)))
+    return coded.withColumns({ids: F.col("__coded.ids"), decoded: F.col("__coded.decoded")}).drop("__coded")
 
 
 class Merges:

@@ -56,3 +56,18 @@ near AS (SELECT d.doc_id, coalesce(m.rep, d.doc_id) AS class_id, (coalesce(m.cop
     FROM {docs} d LEFT JOIN member m ON m.doc_id = d.doc_id LEFT JOIN least ON least.a = m.rep LEFT JOIN counted ON counted.a = m.rep)"""
 
 SQL["op6_minhash_forest"] = "WITH RECURSIVE " + NEAR.replace("{docs}", "documents") + " SELECT * FROM near"
+
+LEAKS = r"""dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM {docs}),
+iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
+dg AS (SELECT doc_id, len(w) - 4 AS long, unnest(range(0, len(w) - 4)) AS pos, array_to_string(w[pos + 1:pos + 5], ' ') AS g FROM dw WHERE len(w) > 4),
+ig AS (SELECT item_id, len(w) - 4 AS n, unnest(range(0, len(w) - 4)) AS pos, array_to_string(w[pos + 1:pos + 5], ' ') AS g FROM iw WHERE len(w) > 4),
+counted AS (SELECT item_id, n, g, count(*) AS c FROM ig GROUP BY ALL),
+hits AS (SELECT doc_id, long, item_id, n, least(n, long) AS m, pos FROM dg JOIN counted USING (g)),
+starts AS (SELECT DISTINCT doc_id, item_id, n, m, unnest(range(greatest(0, pos - m + 1), least(pos, long - m) + 1)) AS s FROM hits),
+inside AS (SELECT doc_id, item_id, s, h.n, m, d.g, count(*) AS c FROM starts h JOIN dg d USING (doc_id) WHERE d.pos BETWEEN s AND s + m - 1 GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, s, i.n, m, sum(least(i.c, k.c)) AS shared FROM inside i JOIN counted k USING (item_id, g) GROUP BY ALL),
+alike AS (SELECT doc_id, item_id, s, n, shared::DOUBLE / (n + m - shared) AS similarity FROM scored),
+leaks AS (SELECT doc_id, item_id, similarity, s::INT AS start_word, (n + 4)::INT AS n_words FROM alike WHERE similarity >= 0.8::DOUBLE - 1e-12
+    QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1)"""
+
+SQL["op3_simhash_windows"] = "WITH " + LEAKS.replace("{docs}", "documents") + " SELECT * FROM leaks"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, ngrams, quality, secrets, sharding
+from . import bpe, decontaminate, embeddings, ngrams, quality, secrets, sharding
 from .oracles import SQL
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
     "op2_metric_range_join": embeddings.op2_metric_range_join,
+    "op3_simhash_windows": decontaminate.op3_simhash_windows,
     "op4_bradley_terry": quality.op4_bradley_terry,
     "op5_sentencepiece_bpe": bpe.op5_sentencepiece_bpe,
     "op6_minhash_forest": ngrams.op6_minhash_forest,
