@@ -75,13 +75,14 @@ def contaminated(
     bounded by its own length; hot sources, copies and common passages only add rows, spread as the documents are.
     """
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).distinct()
-    items = with_grams(items, "text", n, "ig").select("item", F.col("n_words").alias("len"), "ig").where(F.size("ig") > 0)
+    items = with_grams(items, "text", n, "ig").select("item", F.col("n_words").alias("len"), "ig").where(F.col("len") >= n)
     items = written(with_simhash(items, "ig", "ifp"))
     marks = items.select(F.col("item").alias("i"), "len", F.explode(F.array_distinct("ig")).alias("g"))
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
+    # outer, as a filter on the array's size would be pushed down to where the words aren't a column yet
     shingled = with_grams(rows, "text", n, "dg").select("key", "th", "dg")
-    hits = shingled.select("key", "th", F.size("dg").alias("long"), F.posexplode("dg").alias("pos", "g")).join(bounded(marks), "g")
+    hits = shingled.select("key", "th", F.size("dg").alias("long"), F.posexplode_outer("dg").alias("pos", "g")).join(bounded(marks), "g")
     hits = hits.groupBy("key", "th", "long", "i", "len").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     size = F.least(F.col("len") - (n - 1), F.col("long"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("len") - (n - 1) + F.col("m")) - 1e-9).cast("int")
