@@ -71,3 +71,11 @@ leaks AS (SELECT doc_id, item_id, similarity, s::INT AS start_word, (n + 4)::INT
     QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1)"""
 
 SQL["op3_simhash_windows"] = "WITH " + LEAKS.replace("{docs}", "documents") + " SELECT * FROM leaks"
+
+SQL["op10_nearest_url"] = r"""
+WITH RECURSIVE article AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)(</article>|$)', 1, 's') AS a FROM pages),
+blocks AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(a, '</?(p|h1|h2|h3|ul|ol|li|br|div)( [^>]*)?/?>'),
+    lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))),
+    lambda x: x <> '') AS b FROM article)
+SELECT page_id, url, array_to_string(b, chr(10)) AS text, length(array_to_string(b, chr(10)))::BIGINT AS n_chars FROM blocks
+"""

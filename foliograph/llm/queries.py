@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embeddings, ngrams, quality, secrets, sharding
+from . import bpe, decontaminate, embeddings, ngrams, pages, quality, secrets, sharding
 from .oracles import SQL
 
 QUERIES = {
@@ -14,5 +14,6 @@ QUERIES = {
     "op6_minhash_forest": ngrams.op6_minhash_forest,
     "op7_entropy_windows": secrets.op7_entropy_windows,
     "op9_rank_synchronous": bpe.op9_rank_synchronous,
+    "op10_nearest_url": pages.op10_nearest_url,
 }
 ORACLES = {k: v for k, v in SQL.items() if k in QUERIES}
