@@ -1,11 +1,76 @@
-"""A corpus pipeline of the operators: stages over the documents, each on all that its predecessor kept."""
+"""A corpus pipeline of the operators: each stage works on all documents that its predecessor kept.
 
-STAGES = []
+Documents that the quality ranking rejects go; of each group of near duplicates the one with the smallest id stays;
+documents with a benchmark passage go; secrets are masked; the rest is encoded, and decoded to prove it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foliograph.llm import bpe, decontaminate, ngrams, quality, secrets
+from foliograph.llm.common import written
+
+DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def without(docs, gone):
+    """The documents whose ids are not among those of gone; a null id is nobody's."""
+    return docs.join(gone.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*DOCUMENTS)
+
+
+def keep_quality(spark, docs, sf_dir):
+    """Documents that score at or above the ranking's quantile; with no labels of both kinds all stay."""
+    ranking = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs.select(*DOCUMENTS), ranking, into="__score").where("__score >= 0.3").select(*DOCUMENTS)
+
+
+def keep_one_of_each(spark, docs, sf_dir):
+    """One document of each group of near duplicates, the smallest id, and one row of each id."""
+    kept = without(docs, ngrams.near_duplicates(docs).where("not kept"))
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOCUMENTS)
+    return without(kept, again).unionByName(once)
+
+
+def drop_benchmark(spark, docs, sf_dir):
+    """Documents without a benchmark item or a near copy of one."""
+    return without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def mask_secrets(spark, docs, sf_dir):
+    """All documents, every span of a secret replaced by a mark and n_chars counted anew where the text changed."""
+    masked = secrets.scan(docs.select(*DOCUMENTS)).withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
+    return masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*DOCUMENTS)
+
+
+def encode(spark, docs, sf_dir):
+    """The token ids of each text, how many, and the SHA-256 of ids and of the decoded bytes."""
+    import public_tokenizers as public
+
+    tokens = bpe.read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
+    coded = bpe.encode_documents(docs.select("doc_id", "text", "lang", "source"), tokens, public.PATTERN)
+    return coded.select(
+        "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("benchmark decontamination", drop_benchmark),
+    ("secret scans", mask_secrets),
+    ("byte-level BPE encoding and decoding", encode),
+]
+#: SQL can't express the learnt ranking; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -79,3 +79,14 @@ blocks AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array
     lambda x: x <> '') AS b FROM article)
 SELECT page_id, url, array_to_string(b, chr(10)) AS text, length(array_to_string(b, chr(10)))::BIGINT AS n_chars FROM blocks
 """
+
+SQL["op8_typed_parts"] = r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (SELECT *, 17 + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C'))
+    + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS n FROM said)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

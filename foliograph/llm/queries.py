@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embeddings, ngrams, pages, quality, secrets, sharding
+from . import bpe, chat, decontaminate, embeddings, ngrams, pages, quality, secrets, sharding
 from .oracles import SQL
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_sentencepiece_bpe": bpe.op5_sentencepiece_bpe,
     "op6_minhash_forest": ngrams.op6_minhash_forest,
     "op7_entropy_windows": secrets.op7_entropy_windows,
+    "op8_typed_parts": chat.op8_typed_parts,
     "op9_rank_synchronous": bpe.op9_rank_synchronous,
     "op10_nearest_url": pages.op10_nearest_url,
 }
