@@ -199,7 +199,7 @@ class Found:
     phase: str = "instruction"
     form: dict | None = None
     notes: tuple = ()
-    cell: tuple | None = None
+    path: str = ""
 
 
 class Document:
@@ -218,7 +218,8 @@ class Document:
         self.notes: dict[tuple[str, str], dict] = {}
         self.note_counts: dict[str, int] = {}
         self.section_pages: dict[int, list[int]] = {1: [1, 1]}
-        self.grids: list[tuple[list[dict], int]] = []
+        self.grids: dict[str, list[dict]] = {}
+        self.path = ""
 
     # gathering
 
@@ -237,8 +238,8 @@ class Document:
         pages = self.section_pages.setdefault(section, [page, page])
         pages[1] = page
 
-    def tables(self, cells: list[dict], start: int) -> None:
-        self.grids.append((cells, start))
+    def table(self, path: str, cells: list[dict]) -> None:
+        self.grids[path] = cells
 
     def text(self, text: str) -> None:
         for f in self.open_fields:
@@ -251,7 +252,7 @@ class Document:
 
     def field_char(self, kind: str, story: str, element=None) -> None:
         if kind == "begin":
-            f = Found(story, len(self.fields) + len(self.open_fields), len(self.paragraphs) - 1, self.page, self.section, form=form_data(element))
+            f = Found(story, len(self.fields) + len(self.open_fields), len(self.paragraphs) - 1, self.page, self.section, form=form_data(element), path=self.path)
             self.open_fields.append(f)
             self.fields.append(f)
         elif self.open_fields and kind == "separate":
@@ -371,11 +372,11 @@ class Document:
 
     def cells(self, f: Found):
         """Table arguments of a formula in a cell: LEFT, ABOVE, ... and A1 or RnCn references and ranges."""
-        grid = next(((cells, c) for cells, _ in self.grids for c in cells if f.cached and f.cached.strip() and c["text"].strip() == f.cached.strip()), None)
-        if grid is None:
-            return None
-        cells, own = grid
-        if any(c["col_span"] > 1 or c["row_span"] > 1 for c in cells):
+        m = re.fullmatch(r"(.*)\.r(\d+)\.c(\d+)\..*", f.path)
+        cells = self.grids.get(f"{f.story}:{m[1]}", []) if m else []
+        own = next((c for c in cells if (c["row"], c["cell"]) == (int(m[2]), int(m[3]))), None) if m else None
+        wide = lambda c: c["col_span"] > 1 or c["row_span"] > 1
+        if own is None or wide(own):
             return None
         at = {(c["row"], c["grid_col"]): c for c in cells}
         headers = next((i for i in range(len(cells)) if not any(c["row"] == i and c["is_header"] for c in cells)), 0)
@@ -385,6 +386,8 @@ class Document:
             out = []
             for k in keys:
                 if k in at and k != (r0, c0) and not (skip and k[0] < headers):
+                    if wide(at[k]):  # positions beside a cell that spans several are unsure
+                        raise formula.Failed
                     out.append(formula.number(at[k]["text"]))  # an empty or other text fails the whole
             return out
 

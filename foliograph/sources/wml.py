@@ -419,7 +419,7 @@ class Reader:
         self.emit("block", start, story, path, kind="table", rows=len(rows), columns=columns, simple=simple, header_rows=headers, nested=cell is not None, in_table=cell, widths=",".join(w or "" for w in grid) or None)
         for c in out:
             self.emit("cell", start, story, path, text=c["text"], nested=cell is not None, **{k: v for k, v in c.items() if k != "text"})
-        self.doc.tables(out, start)
+        self.doc.table(f"{story}:{path}", out)
         return "\n".join(lines)
 
     def paragraph(self, e: Element, story: str, path: str, cell: str | None) -> str:
@@ -434,6 +434,7 @@ class Reader:
         if on(child(ppr, "pageBreakBefore")) and start:
             self.page_break()
         out: list[str] = []
+        self.doc.path = path
         run = Runs(self, story, path, style, out)
         run.walk(e)
         text = "".join(out)
