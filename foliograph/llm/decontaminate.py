@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import maybe_among, written
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 #: Rows of benchmark shingles, or of index entries, up to which they are broadcast; more are joined by a shuffle.
@@ -36,11 +36,10 @@ def with_simhash(df: DataFrame, shingles: str, into: str) -> DataFrame:
 
     A long sum holds the votes for bits k and k + 32 in its halves, so 32 sums do for 64 bits.
     """
-    half = f"{1 | 1 << 32}L"
-    votes = f"transform(sequence(0, 31), k -> aggregate(`{shingles}`, 0L, (s, h) -> s + (shiftrightunsigned(h, k) & {half})))"
-    bit = f"(shiftrightunsigned(__votes[k % 32], 32 * (k div 32)) & {(1 << 32) - 1}L) * 2 > size(`{shingles}`)"
-    voted = df.withColumn("__votes", F.expr(votes))
-    return voted.withColumn(into, F.expr(f"aggregate(sequence(0, 63), 0L, (s, k) -> s | IF({bit}, shiftleft(1L, k), 0L))")).drop("__votes")
+    votes = f"transform(sequence(0, 31), k -> aggregate(`{shingles}`, 0L, (s, h) -> s + (shiftrightunsigned(h, k) & {1 | 1 << 32}L)))"
+    low, high = f"(v & {(1 << 32) - 1}L) * 2 > size(`{shingles}`)", f"shiftrightunsigned(v, 32) * 2 > size(`{shingles}`)"
+    bits = f"transform({votes}, (v, k) -> IF({low}, shiftleft(1L, k), 0L) | IF({high}, shiftleft(1L, k + 32), 0L))"
+    return df.withColumn(into, F.expr(f"aggregate({bits}, 0L, (s, x) -> s | x)"))
 
 
 def blocks(radius: int, each: int = 2) -> list[tuple[int, int]]:
@@ -99,7 +98,8 @@ def contaminated(
     found = written(found.groupBy("key", "th").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("w")))
 
     # null keys meet, too
-    here = rows.join(found.withColumnsRenamed({"key": "k", "th": "h"}), F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("h")))
+    likely = maybe_among(rows, "th", found.select("th")).where("__may").drop("__may")
+    here = likely.join(found.withColumnsRenamed({"key": "k", "th": "h"}), F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("h")))
     here = with_grams(here.dropDuplicates(["key", "th"]), "text", n, "dg").select("key", "th", "w", "dg")
     windows = here.select("key", "th", "dg", F.explode("w").alias("x")).select("key", "x.len", "x.start", F.slice("dg", F.col("x.start") + 1, F.col("x.m")).alias("wg"))
     windows = with_simhash(windows, "wg", "fp")
