@@ -379,6 +379,8 @@ class Document:
         if own is None or wide(own):
             return None
         at = {(c["row"], c["grid_col"]): c for c in cells}
+        inside = [re.fullmatch(r"(.*)\.r(\d+)\.c(\d+)\..*", g.path) for g in self.fields if g.story == f.story and g.instruction.strip().startswith("=")]
+        formulas = {(int(x[2]), int(x[3])) for x in inside if x and x[1] == m[1]}
         headers = next((i for i in range(len(cells)) if not any(c["row"] == i and c["is_header"] for c in cells)), 0)
         r0, c0 = own["row"], own["grid_col"]
 
@@ -386,7 +388,7 @@ class Document:
             out = []
             for k in keys:
                 if k in at and k != (r0, c0) and not (skip and k[0] < headers):
-                    if wide(at[k]):  # positions beside a cell that spans several are unsure
+                    if wide(at[k]) or (k[0], at[k]["cell"]) in formulas:  # positions beside a cell that spans several are unsure
                         raise formula.Failed
                     out.append(formula.number(at[k]["text"]))  # an empty or other text fails the whole
             return out
@@ -402,8 +404,9 @@ class Document:
             return None
 
         rows, cols = 1 + max(r for r, _ in at), 1 + max(c for _, c in at)
+        stop = min((r for r, _ in formulas if r > r0), default=rows)
         sides = {
-            "LEFT": [(r0, c) for c in range(c0)], "RIGHT": [(r0, c) for c in range(c0 + 1, cols)], "ABOVE": [(r, c0) for r in range(r0)], "BELOW": [(r, c0) for r in range(r0 + 1, rows)],
+            "LEFT": [(r0, c) for c in range(c0)], "RIGHT": [(r0, c) for c in range(c0 + 1, cols)], "ABOVE": [(r, c0) for r in range(r0)], "BELOW": [(r, c0) for r in range(r0 + 1, stop)],
             "R": [(r0, c) for c in range(cols)], "C": [(r, c0) for r in range(rows)],
         }
 
@@ -419,7 +422,7 @@ class Document:
                     raise formula.Failed
                 return gather([(r, c) for r in range(min(x[0], y[0]), max(x[0], y[0]) + 1) for c in range(min(x[1], y[1]), max(x[1], y[1]) + 1)], False)
             if not b and (x := ref(a)) and a not in self.bookmarks:
-                if x == (r0, c0) or x not in at:
+                if x == (r0, c0) or x not in at or wide(at[x]) or (x[0], at[x]["cell"]) in formulas:
                     raise formula.Failed
                 return [formula.number(at[x]["text"])]
             return None

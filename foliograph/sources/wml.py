@@ -383,7 +383,7 @@ class Reader:
     def table(self, e: Element, story: str, path: str, depth: int, cell: str | None) -> str:
         start = self.ord
         self.ord += 1
-        grid = [attr(c, "w") for c in child(e, "tblGrid") or () if local(c) == "gridCol"][:MOST_GRID]
+        grid = [attr(c, "w") for c in (child(e, "tblGrid") if child(e, "tblGrid") is not None else ()) if local(c) == "gridCol"][:MOST_GRID]
         rows, out = [r for r in e if local(r) == "tr"], []
         open_: dict[int, dict] = {}
         lines, header_run, headers = [], True, 0
@@ -394,7 +394,7 @@ class Reader:
             headers += header_run
             before = value(pr, "gridBefore") or "0"
             at = int(before) if before.isdigit() else 0
-            cells = [c for x in r for c in ([x] if local(x) == "tc" else list(child(x, "sdtContent") or ()) if local(x) == "sdt" else ()) if local(c) == "tc"]
+            cells = [c for x in r for c in ([x] if local(x) == "tc" else list(child(x, "sdtContent")) if local(x) == "sdt" and child(x, "sdtContent") is not None else ()) if local(c) == "tc"]
             texts = []
             for ci, c in enumerate(cells):
                 tp = child(c, "tcPr")
