@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, maybe_among, written
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 CACHE = 1 << 18
@@ -38,11 +38,10 @@ class Shingler:
         found, cache = self.split((text or "").lower()), self.cache
         if len(cache) > CACHE:
             cache.clear()
-        try:
-            return np.array([cache[w] for w in found], np.uint64)
-        except KeyError:
-            cache.update((w, self.hash(w)) for w in set(found) - cache.keys())
-            return np.array([cache[w] for w in found], np.uint64)
+        for w in set(found):
+            if w not in cache:
+                cache[w] = self.hash(w)
+        return np.array([cache[w] for w in found], np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
         w = self.words(text)
@@ -75,7 +74,9 @@ def forest_depth(threshold: float, trees: int, depth: int, target: float) -> int
 
 def signatures(df: DataFrame, key: str, text: str, n: int, trees: int, depth: int, k: int) -> DataFrame:
     """key, h1, h2 (of the shingle set; null without shingles), size, and the prefix of length k in each tree as one hash."""
-    seeds = mixed(np.arange(1, trees * depth + 1, dtype=np.uint64) * ODD)
+    # the hashes of a tree beyond the prefix would never be compared; a permutation is a product with an odd number and a sum
+    a, c = (mixed(np.arange(1, trees * depth + 1, dtype=np.uint64) * np.uint64(x)).reshape(trees, depth)[:, :k].ravel() for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
+    a |= np.uint64(1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
@@ -86,10 +87,12 @@ def signatures(df: DataFrame, key: str, text: str, n: int, trees: int, depth: in
                 if not len(s):
                     out.append((None, None, 0, None))
                     continue
-                low = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
-                for part in np.array_split(s, len(s) // 4096 + 1):
-                    low = np.minimum(low, mixed(part[:, None] ^ seeds[None, :]).min(axis=0))
-                trie = low.reshape(trees, depth)
+                low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+                for i in range(0, len(s), 512):
+                    h = s[i : i + 512, None] * a
+                    h += c
+                    np.minimum(low, h.min(axis=0), out=low)
+                trie = low.reshape(trees, k)
                 prefix = np.full(trees, k, np.uint64)
                 for i in range(k):
                     prefix = mixed(prefix * ODD + trie[:, i])
@@ -199,6 +202,7 @@ def near_duplicates(
             out.append(linked[linked["links"] > 0])
         return pd.concat(out)
 
+    texts = maybe_among(texts, "rep", found.select("rep")).where("__may").drop("__may")
     near = written(dealt.join(texts, "rep").groupBy("unit", "b1", "b2").applyInPandas(lambda g: compare(g), "rep long, links long, root long"))
     counts = near.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(near.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
