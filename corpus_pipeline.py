@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliograph.llm import bpe, decontaminate, ngrams, quality, secrets
-from foliograph.llm.common import written
+from foliograph.llm.common import maybe_among, written
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def without(docs, gone):
-    """The documents whose ids are not among those of gone; a null id is nobody's."""
-    return docs.join(gone.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*DOCUMENTS)
+    """The documents whose ids are not among those of gone; a null id is nobody's. Only those that may be are joined."""
+    gone = written(gone.select("doc_id").where("doc_id is not null").distinct())
+    docs = maybe_among(docs.select(*DOCUMENTS), "doc_id", gone)
+    unsure = docs.where("__may").join(gone, "doc_id", "left_anti")
+    return docs.where("not __may").select(*DOCUMENTS).unionByName(unsure.select(*DOCUMENTS))
 
 
 def keep_quality(spark, docs, sf_dir):
