@@ -298,10 +298,15 @@ class Document:
         if not custom:
             self.note_counts[kind] = self.note_counts.get(kind, 0) + 1
         n = None if custom else self.note_counts[kind]
-        self.notes[kind, id_] = {"number": n, "custom": custom}
+        self.notes[kind, id_] = {"number": n, "custom": custom, "para": len(self.paragraphs) - 1}
         for name in self.active.values():
             self.bookmarks[name]["note"] = {"kind": kind, "number": n, "custom": custom}
 
+    def note_anchor(self, kind, id_) -> str | None:
+        """The text of the paragraph that refers to a note."""
+        note = self.notes.get((kind, id_))
+        return self.paragraphs[note["para"]]["text"] if note and note["para"] >= 0 else None
+
     def last_note_number(self, kind) -> int:
         return self.note_counts.get(kind, 0)
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # Feature counts -> the warning that they raise, in the order in which warnings are reported. Fixed values.
 WARNINGS = (
-    ("charts", "ChartsPreservedButNotModeled"), ("floating_shapes", "FloatingShapePlaceholderOnly"), ("incomplete_revision_view", "IncompleteRevisionView"),
-    ("ole_objects", "OleObjectsPreservedButNotModeled"), ("read_only", "PackageReadOnly"), ("tracked_changes", "TrackedChangesPresent"),
-    ("unsupported_fields", "UnsupportedFieldEvaluation"), ("unsupported_metafiles", "UnsupportedMetafileImages"), ("malformed", "MalformedParts"),
+    ("unsupported_fields", "UnsupportedFieldEvaluation"), ("tracked_changes", "TrackedChangesPresent"), ("incomplete_revision_view", "IncompleteRevisionView"), ("floating_shapes", "FloatingShapePlaceholderOnly"),
+    ("unsupported_charts", "ChartsPreservedButNotModeled"), ("ole_objects", "OleObjectsPreservedButNotModeled"), ("unsupported_metafiles", "UnsupportedMetafileImages"), ("read_only", "PackageReadOnly"),
+    ("flattened_subdocuments", "LegacyDocFlattenedSubdocuments"),
 )
 
 

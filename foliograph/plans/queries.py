@@ -390,12 +390,12 @@ def field_kind_counts_first_seen(spark, sf_dir):
 
 
 @query(r"""WITH f AS (SELECT page_id AS doc_id, contains(html, 'class="ad"') AS c, NOT contains(html, '</html>') AS m, contains(html, '<b>') AS t FROM pages)
-SELECT doc_id, array_to_string(list_filter([CASE WHEN c THEN 'ChartsPreservedButNotModeled' END, CASE WHEN t THEN 'TrackedChangesPresent' END, CASE WHEN m THEN 'MalformedParts' END], lambda x: x IS NOT NULL), ',') AS warnings FROM f""")
+SELECT doc_id, array_to_string(list_filter([CASE WHEN t THEN 'TrackedChangesPresent' END, CASE WHEN c THEN 'ChartsPreservedButNotModeled' END, CASE WHEN m THEN 'PackageReadOnly' END], lambda x: x IS NOT NULL), ',') AS warnings FROM f""")
 def warnings(spark, sf_dir):
     p = b.read(spark, sf_dir, "pages")
     has = lambda s: F.contains("html", F.lit(s)).cast("int")
-    f = p.select(F.col("page_id").alias("doc_id"), has('class="ad"').alias("charts"), (1 - has("</html>")).alias("malformed"), has("<b>").alias("tracked_changes"))
-    return f.select("doc_id", F.array_join(reports.warnings(["charts", "tracked_changes", "malformed"]), ",").alias("warnings"))
+    f = p.select(F.col("page_id").alias("doc_id"), has('class="ad"').alias("unsupported_charts"), (1 - has("</html>")).alias("read_only"), has("<b>").alias("tracked_changes"))
+    return f.select("doc_id", F.array_join(reports.warnings(["unsupported_charts", "tracked_changes", "read_only"]), ",").alias("warnings"))
 
 
 TOKENS = r"""d AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS r, regexp_extract_all(lower(substr(text, 1, 500)), '[\p{L}\p{N}]+') AS c FROM documents),

@@ -209,7 +209,6 @@ class Reader:
         self.names = {k: part(k, f"word/{k}.xml") for k in ("comments", "commentsExtended", "footnotes", "endnotes")}
         self.page, self.section, self.note_numbers = 1, 1, {"footnote": 0, "endnote": 0}
         self.doc = grammar.Document(self.properties(), self.context)
-        self.alias: dict[str, str] = {}
 
     def emit(self, tag: str, ord: int | None = None, story: str | None = None, path: str | None = None, name: str | None = None, text: str | None = None, **more) -> None:
         if self.wanted is None or tag in self.wanted:
@@ -302,7 +301,7 @@ class Reader:
             self.rels = {r["rid"]: r for r in self.p.rels(name)}
             notes = [e for e in root if local(e) == kind and attr(e, "type") in (None, "normal")]
             for i, e in enumerate(notes):
-                self.emit("note", i, story=kind, name=attr(e, "id"), text=plain_text(e), kind=kind, anchor=self.alias.get(f"{kind}:{attr(e, 'id')}"))
+                self.emit("note", i, story=kind, name=attr(e, "id"), text=plain_text(e), kind=kind, anchor=self.doc.note_anchor(kind, attr(e, "id")))
                 self.blocks(e, kind, f"{i:04d}.")
         root = self.p.xml(self.names["comments"])
         if root is not None:

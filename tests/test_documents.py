@@ -326,3 +326,56 @@ def test_image_sizes():
     assert packages.image_size(b"BM" + bytes(16) + struct.pack("<ii", 8, -6), "image/bmp") == (8, 6)
     assert packages.image_size(b"\xff\xd8\xff\xc0\x00\x11\x08" + struct.pack(">HH", 2, 9) + bytes(8), "image/jpeg") == (9, 2)
     assert packages.image_size(b"junk", "image/jpeg") is None
+
+
+@pytest.fixture(scope="module")
+def opened(spark):
+    b = w.Builder(core={"title": "T"}, custom={"k": "v"})
+    n = b.list([("decimal", "%1.", 1), ("bullet", "•", 1)])
+    b.heading("Head *1*").add(w.paragraph(w.run("plain ") + w.run("bold", bold=True) + w.run(" both", bold=True, italic=True) + b.link("l", "http://x/a b") + w.run("gone", hidden=True)))
+    b.item("one", n).item("sub", n, 1).item("two", n).add(w.table([["h", "i|j"], ["1", "2"]], header_rows=1)).add(w.table([[w.cell(w.paragraph(w.run("m")), span=2)], ["p", "q"]]))
+    b.add(w.paragraph(w.run("a") + b.revision("ins", "new") + b.revision("del", "old") + b.note("foot") + w.simple_field("CUSTOM x", "c") + w.simple_field("PAGE", "1")))
+    return packages.open_documents(spark.createDataFrame([("d", b.save())], "path string, content binary")).cache()
+
+
+def test_markdown_of_documents(opened):
+    from foliograph.plans import documents
+
+    want = ["# Head \\*1\\*", "plain **bold*** both*".replace("**bold*** both*", "**bold***** both***") + "[l](http://x/a%20b)gone", "1. one", "  - sub", "1. two", "| h | i\\|j |\n| --- | --- |\n| 1 | 2 |",
+            '<table><tbody><tr><td colspan="2">m</td></tr><tr><td>p</td><td>q</td></tr></tbody></table>', "anewc1"]
+    assert documents.markdown(opened).first().markdown.split("\n\n") == want
+
+
+def test_html_of_documents(opened):
+    from foliograph.plans import documents
+
+    got = documents.html(opened).first().html
+    assert got.startswith("<h1>Head *1*</h1><p>plain <strong>bold</strong><strong><em> both</em></strong>l</p><ol><li>one</li><ul><li>sub</li></ul><li>two</li></ol><table><thead><tr><th>h</th><th>i|j</th></tr></thead>")
+
+
+def test_text_views_and_report(opened):
+    import json
+
+    from foliograph.plans import documents
+
+    assert documents.text(opened, "body").first().text.split("\n")[:3] == ["Head *1*", "plain bold bothlgone", "one"]
+    assert documents.text(opened, "footnote").first().text == "foot" and documents.text(opened).first().text.endswith("foot")
+    views = {v: documents.view(opened, v).first().text for v in content.VIEWS}
+    assert views["annotated"].endswith("a [+new] [-old] c 1") and views["accepted"].endswith("a new c 1") and views["original"].endswith("a old c 1")
+    r = json.loads(documents.report(opened).first().report)
+    assert list(r) == ["format", "stats", "core_properties", "custom_properties", "edit", "features", "warnings"]
+    assert r["stats"]["tables"] == 2 and r["core_properties"]["title"] == "T" and r["core_properties"]["subject"] is None and r["custom_properties"] == {"k": "v"}
+    assert r["features"]["field_kinds"] == [{"kind": "Unknown", "count": 1}, {"kind": "Page", "count": 1}] and r["features"]["footnotes"] == 1
+    assert r["warnings"] == ["UnsupportedFieldEvaluation", "TrackedChangesPresent"]
+    note = packages.records(opened, "note", {"anchor": "string"}).first()
+    assert note.anchor == "anewc1"
+
+
+def test_command_line(tmp_path, capfd):
+    from foliograph.__main__ import main
+
+    (tmp_path / "a.docx").write_bytes(w.Builder().text("hello").save())
+    (tmp_path / "b.docx").write_bytes(b"PK\x03\x04junk")
+    assert main([]) == 64 and main(["convert", "x", "pdf"]) == 64
+    assert main(["extract", str(tmp_path / "a.docx")]) == 0 and "hello" in capfd.readouterr().out
+    assert main(["extract", str(tmp_path / "b.docx")]) == 1
