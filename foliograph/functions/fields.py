@@ -69,6 +69,24 @@ def retype_bookmark_fields(fields: DataFrame, bookmarks: DataFrame, doc: str = "
     return out.withColumn("kind", F.when((F.col("kind") == "Unknown") & F.col("__is"), "Ref").otherwise(F.col("kind"))).drop("__is")
 
 
+# Barcode types, and what their switches take. Fixed values.
+BARCODES = set("UPCA UPCE JAN13 JAN8 EAN13 EAN8 CASE ITF14 NW7 CODE39 CODE128 JPPOST QR".split())
+
+
+def _number_within(low: int, high: int, base: int = 10):
+    def ok(v: str) -> bool:
+        v = v.removeprefix("0X") if base == 16 else v
+        return bool(re.fullmatch("[0-9A-F]+" if base == 16 else "[0-9]+", v)) and low <= int(v, base) <= high
+
+    return ok
+
+
+BARCODE_VALUES = {
+    "h": _number_within(0, 1 << 62), "s": _number_within(10, 1000), "q": lambda v: v in ("L", "M", "Q", "H", "0", "1", "2", "3"), "p": lambda v: v in ("STD", "SUP2", "SUP5", "CASE"),
+    "c": lambda v: v in ("STD", "EXT", "ADD"), "r": _number_within(0, 3), "f": _number_within(0, 0xFFFFFF, 16), "b": _number_within(0, 0xFFFFFF, 16),
+}
+
+
 class Invalid(Exception):
     pass
 
@@ -627,6 +645,24 @@ class Document:
         self.listnum = int(p.switches["s"]) if "s" in p.switches else self.listnum + 1
         return self.number(self.listnum, p)
 
+    def barcode(self, f, rest, values: int, merge: bool = False):
+        """Checks a barcode's operands and switches; bars are never drawn, so there is no value."""
+        p = parse(rest, flags="xdt" + ("a" if merge else ""), values="hsqpcrfb")
+        if len(p.operands) < values or (values > 1 and unquote(p.operands[1]).upper() not in BARCODES):
+            raise Invalid
+        for k, v in p.switches.items():
+            if k in BARCODE_VALUES and not BARCODE_VALUES[k](str(v).upper()):
+                raise Invalid
+
+    def field_barcode(self, f, rest):
+        return self.barcode(f, rest, 1)
+
+    def field_displaybarcode(self, f, rest):
+        return self.barcode(f, rest, 2)
+
+    def field_mergebarcode(self, f, rest):
+        return self.barcode(f, rest, 2, True)
+
     def field_toc(self, f, rest):
         p = parse(rest, flags="uhzwx", values="tcabpds", optional="ofln")
         bounds = lambda s: tuple(map(int, m.groups())) if isinstance(s, str) and (m := re.fullmatch(r"([1-9])-([1-9])", s)) else None

@@ -126,10 +126,22 @@ def quartiles(points: DataFrame, keys: list[str], value: str = "value") -> DataF
 
 
 def waterfall(points: DataFrame, keys: list[str], order: list[str], value: str = "value") -> DataFrame:
-    """points with start and end of each bar: the running total before and after it."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(w)
-    return points.withColumn("end", total).withColumn("start", F.col("end") - F.coalesce(F.col(value), F.lit(0.0)))
+    """points with start and end of each bar: the running total before and after it. The first bar and the last are
+    totals of their own, from zero. Values that aren't finite count as 0."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    v = F.when(finite, F.col(value)).otherwise(0.0)
+    total = F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.lag(F.lit(1)).over(w).isNull() | F.lead(F.lit(1)).over(w).isNull()
+    out = points.withColumns({"end": F.when(whole, v).otherwise(total), "__v": v, "__whole": whole})
+    return out.withColumn("start", F.when(F.col("__whole"), 0.0).otherwise(F.col("end") - F.col("__v"))).drop("__v", "__whole")
+
+
+def tick_label(value: Column) -> Column:
+    """An axis label: whole numbers without decimals, others with one; 0 for what isn't finite."""
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    part = F.abs(value - F.signum(value) * F.floor(F.abs(value)))
+    return F.when(~finite, "0").when(part < 0.001, F.round(value).cast("long").cast("string")).otherwise(F.format_string("%.1f", F.bround(value, 1)))
 
 
 def shares(points: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -442,7 +442,8 @@ def chart_ranges(spark, sf_dir):
     return reports.chart_ranges(li, ["l_returnflag"])
 
 
-@query("""SELECT user_id, event_id, round(sum(value) OVER w - value, 6) AS start, round(sum(value) OVER w, 6) AS end FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""".replace("AS end", 'AS "end"'))
+@query("""WITH t AS (SELECT user_id, event_id, value, sum(value) OVER w AS total, lag(1) OVER w IS NULL OR lead(1) OVER w IS NULL AS whole FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, round(CASE WHEN whole THEN 0 ELSE total - value END, 6) AS start, round(CASE WHEN whole THEN value ELSE total END, 6) AS "end" FROM t""")
 def waterfall(spark, sf_dir):
     e = b.read(spark, sf_dir, "events").select("user_id", "event_id", "value")
     return reports.waterfall(e, ["user_id"], ["event_id"]).select("user_id", "event_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
@@ -500,3 +501,52 @@ def corpus_totals(spark, sf_dir):
     d = b.read(spark, sf_dir, "documents")
     out = d.rollup("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.char_length("text")).cast("long").alias("chars"))
     return out.select(F.coalesce("source", F.lit("all")).alias("source"), F.coalesce("lang", F.lit("all")).alias("lang"), "docs", "chars")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, CASE WHEN abs(x - trunc(x)) < 0.001::DOUBLE THEN round(x)::BIGINT::VARCHAR ELSE printf('%.1f', x) END AS tick FROM (SELECT *, l_quantity / 4 AS x FROM lineitem)""")
+def chart_ticks(spark, sf_dir):
+    li = b.read(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", reports.tick_label(F.col("l_quantity") / 4).alias("tick"))
+
+
+@query("""WITH p AS (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, round(value / sum(value) OVER (PARTITION BY l_returnflag), 9) AS share, round(value / max(value) OVER (PARTITION BY l_returnflag), 9) AS of_max FROM p""")
+def chart_shares(spark, sf_dir):
+    p = b.read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("value"))
+    return reports.shares(p, ["l_returnflag"]).select("l_returnflag", "l_linestatus", F.round("share", 9).alias("share"), F.round("of_max", 9).alias("of_max"))
+
+
+KINDS_OF = ["REF bm", " page ", "= 1 + 2", 'HYPERLINK "u"', "NOSUCH x", "ftnref n", "docproperty Title", "MACROBUTTON m d"]
+
+
+@query("""WITH f AS (SELECT event_id, [%s][event_id %% 8 + 1] AS i FROM events),
+t AS (SELECT event_id, i, upper(regexp_extract(i, '^\\s*(\\S*)', 1)) AS token FROM f)
+SELECT event_id, CASE WHEN token IN ('REF') THEN 'Ref' WHEN token = 'PAGE' THEN 'Page' WHEN token = '=' THEN 'Dynamic' WHEN token = 'HYPERLINK' THEN 'Hyperlink' WHEN token = 'FTNREF' THEN 'NoteRef'
+WHEN token = 'DOCPROPERTY' THEN 'DocumentInfo' WHEN token = 'MACROBUTTON' THEN 'Action' ELSE 'Unknown' END AS kind, token, len(regexp_extract_all(i, '[^\\s]+'))::INT AS parts FROM t""" % ", ".join(f"'{k}'" for k in KINDS_OF))
+def field_classification(spark, sf_dir):
+    from ..functions import fields
+
+    e = b.read(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, KINDS_OF)), (F.col("event_id") % 8 + 1).cast("int")).alias("i"))
+    return e.select("event_id", fields.classify("i").alias("c"), F.size(text.instruction_parts("i")).alias("parts")).select("event_id", "c.kind", "c.token", "parts")
+
+
+@query("""WITH e AS (SELECT user_id AS doc_id, event_type AS kind, event_id AS ord, value > 50 AS generated FROM events)
+SELECT doc_id, ord, CASE WHEN generated THEN count(*) OVER (PARTITION BY doc_id, kind ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 END AS number FROM e""")
+def note_marks(spark, sf_dir):
+    e = b.read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("kind"), F.col("event_id").alias("ord"), (F.col("value") > 50).alias("generated"))
+    return lookups.note_marks(e).select("doc_id", "ord", "number")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, 'Part_Size-' || (p_size % 5) AS name FROM part), v AS (SELECT 'PARTSIZE' || i AS k, 'v' || i AS value FROM (SELECT unnest(range(4)) AS i))
+SELECT p_partkey, name, value FROM p LEFT JOIN v ON k = upper(regexp_replace(name, '[_\\-\\s]', '', 'g'))""")
+def property_lookup(spark, sf_dir):
+    p = b.read(spark, sf_dir, "part").select("p_partkey", F.lit(1).alias("doc_id"), F.concat(F.lit("Part_Size-"), F.col("p_size") % 5).alias("name"))
+    props = spark.range(4).select(F.lit(1).alias("doc_id"), F.concat(F.lit("part size"), "id").alias("name"), F.concat(F.lit("v"), "id").alias("value"))
+    return lookups.property_lookup(p, props).select("p_partkey", "name", "value")
+
+
+@query("""SELECT p_page.page_id, CASE WHEN page_id % 3 = 0 THEN 'firstHeader' WHEN page_id % 3 = 1 THEN 'evenFooter' ELSE 'defaultFooter' END AS kind FROM pages p_page""")
+def header_footer_kinds(spark, sf_dir):
+    n = F.col("page_id") % 3
+    part, kind = F.when(n == 0, "header").otherwise("footer"), F.when(n == 0, "first").when(n == 1, "even").otherwise("odd")
+    return b.read(spark, sf_dir, "pages").select("page_id", lookups.header_footer_kind(part, kind).alias("kind"))

@@ -236,6 +236,34 @@ def image_size(body: bytes, mime: str) -> tuple[int, int] | None:
     return None
 
 
+def metafile_size(body: bytes, kind: str) -> tuple[int, int] | None:
+    """Width and height in pixels of an EMF (its bounds) or placeable WMF (at 96 dots an inch), packed by gzip or not."""
+    if body[:2] == b"\x1f\x8b":
+        import gzip
+
+        try:
+            with gzip.open(io.BytesIO(body)) as f:
+                body = f.read(PART_BYTES + 1)
+        except (OSError, EOFError, zipfile.zlib.error):
+            return None
+        if len(body) > PART_BYTES:
+            return None
+    try:
+        if kind.upper() in ("EMF", "EMZ"):
+            if struct.unpack_from("<I", body)[0] != 1 or body[40:44] != b" EMF":
+                return None
+            a, b, c, d = struct.unpack_from("<4i", body, 8)
+            size = c - a + 1, d - b + 1
+        else:
+            magic, a, b, c, d, inch = struct.unpack_from("<I2x4hH", body)
+            if magic != 0x9AC6CDD7 or not inch:
+                return None
+            size = round((c - a) * 96 / inch), round((d - b) * 96 / inch)
+    except struct.error:
+        return None
+    return size if min(size) > 0 else None
+
+
 def mime_of(name: str) -> str:
     return MIME.get(name.rpartition(".")[2].lower(), "application/octet-stream")
 

@@ -6,7 +6,7 @@ import re
 from xml.etree.ElementTree import Element
 
 from ..functions import fields as grammar
-from .packages import Package, Refused, attr, content_types, image_size, local, mime_of, parse_xml, resolve
+from .packages import Package, Refused, attr, content_types, image_size, local, metafile_size, mime_of, parse_xml, resolve
 
 MOST_TABLES_DEEP, MOST_GRID = 128, 1024
 #: Run marks that are text of their own. Fixed values.
@@ -240,12 +240,13 @@ class Reader:
         for i, (name, body) in enumerate(self.p.parts.items()):
             kind = overrides.get(name) or defaults.get(name.rpartition(".")[2].lower())
             self.emit("part", i, name=name, size=len(body), content_type=kind, is_xml=name.endswith((".xml", ".rels")))
-            if "/media/" in name and not name.lower().endswith((".emf", ".wmf")):
+            if "/media/" in name and not name.lower().endswith((".emf", ".wmf", ".emz", ".wmz")):
                 mime = mime_of(name)
                 size = image_size(body, mime) or (None, None)
                 self.emit("image", i, name=name, mime=mime, size=len(body), width=size[0], height=size[1])
-            elif name.lower().endswith((".emf", ".wmf")):
-                self.emit("metafile", i, name=name, format=name[-3:].upper(), size=len(body), compressed=body[:2] == b"\x1f\x8b")
+            elif name.lower().endswith((".emf", ".wmf", ".emz", ".wmz")):
+                size = metafile_size(body, name[-3:]) or (None, None)
+                self.emit("metafile", i, name=name, format=name[-3:].upper().replace("Z", "F"), size=len(body), compressed=body[:2] == b"\x1f\x8b", width=size[0], height=size[1])
             if name.startswith("word/charts/") and name.endswith(".xml"):
                 self.chart(name, i)
         n = 0

@@ -379,3 +379,12 @@ def test_command_line(tmp_path, capfd):
     assert main([]) == 64 and main(["convert", "x", "pdf"]) == 64
     assert main(["extract", str(tmp_path / "a.docx")]) == 0 and "hello" in capfd.readouterr().out
     assert main(["extract", str(tmp_path / "b.docx")]) == 1
+
+
+def test_barcodes_and_metafiles():
+    b = w.Builder().add(w.paragraph("".join(w.simple_field(i, "c") for i in ("DISPLAYBARCODE 12 QR \\q 3 \\s 50", "DISPLAYBARCODE 12 NOPE", "DISPLAYBARCODE 12 QR \\s 5", "BARCODE 12", "MERGEBARCODE n EAN13 \\a \\f 0xFF00FF", "DISPLAYBARCODE 12"))))
+    assert values(open_docx(b.save()), "field", "unsupported_reason") == ["NoComputedResult", "UnsupportedSwitch", "UnsupportedSwitch", "NoComputedResult", "NoComputedResult", "UnsupportedSwitch"]
+    emf = struct.pack("<II4i4i", 1, 108, 0, 0, 99, 49, 0, 0, 0, 0) + b" EMF" + bytes(64)
+    assert packages.metafile_size(emf, "emf") == (100, 50)
+    wmf = struct.pack("<I2x4hH", 0x9AC6CDD7, 0, 0, 1440, 720, 1440) + bytes(8)
+    assert packages.metafile_size(wmf, "wmf") == (96, 48) and packages.metafile_size(b"junk", "wmf") is None
