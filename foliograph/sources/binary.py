@@ -393,6 +393,50 @@ class Lists:
         return "".join(plain(ord(x)) if ord(x) < 9 and ord(x) < len(levels) and c[ord(x)] is not None else x for x in own["text"]) or None
 
 
+def owners(names: bytes) -> list[str]:
+    """Comment authors: counted strings one after the other."""
+    out, at = [], 0
+    while at + 2 <= len(names):
+        n = struct.unpack_from("<H", names, at)[0]
+        if at + 2 + 2 * n > len(names):
+            break
+        out.append(names[at + 2 : at + 2 + 2 * n].decode("utf-16-le", "replace"))
+        at += 2 + 2 * n
+    return out
+
+
+def comment_marks(plc: bytes) -> list[tuple[int, str, int]]:
+    """(position, initials, author's number) of each comment's mark."""
+    n = (len(plc) - 4) // 34
+    out = []
+    for i in range(max(0, min(n, MOST_PIECES))):
+        at = 4 * (n + 1) + 30 * i
+        size = min(9, struct.unpack_from("<H", plc, at)[0])
+        out.append((struct.unpack_from("<i", plc, 4 * i)[0], plc[at + 2 : at + 2 + 2 * size].decode("utf-16-le", "replace"), struct.unpack_from("<H", plc, at + 20)[0]))
+    return out
+
+
+def ranges(plc: bytes) -> list[tuple[int, int]]:
+    """Consecutive positions of a table of positions alone."""
+    at = struct.unpack(f"<{len(plc) // 4}i", plc[: len(plc) // 4 * 4])
+    return list(zip(at, at[1:]))
+
+
+def visible(text: str) -> list[int]:
+    """Positions of characters that aren't field instructions or marks."""
+    out, stack = [], []
+    for i, c in enumerate(text):
+        if c == "\x13":
+            stack.append(False)
+        elif c == "\x14" and stack:
+            stack[-1] = True
+        elif c == "\x15" and stack:
+            stack.pop()
+        elif all(stack):
+            out.append(i)
+    return out
+
+
 STORIES = ("body", "footnote", "header", "comment", "endnote", "textbox", "header_textbox")
 
 
@@ -408,6 +452,7 @@ def open_doc(data: bytes, wanted: set[str] | None = None) -> list[dict]:
     for p in parts:
         offsets += [p.offset + i * (2 if p.wide else 1) for i in range(p.end - p.start)]
     papx = Properties.parse(word, fib.slice(table, 13), True)
+    chpx = Properties.parse(word, fib.slice(table, 12), False)
     styles = style_names(fib.slice(table, 1))
     lists = Lists(fib.slice(table, 73), fib.slice(table, 74))
     rows: list[dict] = []
@@ -446,7 +491,8 @@ def open_doc(data: bytes, wanted: set[str] | None = None) -> list[dict]:
             fc = offsets[at + i] if at + i < len(offsets) else 0
             istd, body = papx.at(fc)
             props = paragraph_properties(body)
-            whole = clean(field_results("".join(block)))
+            raw = "".join(block)
+            whole = clean(field_results(raw))
             block = []
             if c == "\x07":
                 if props.get("row_end"):
@@ -465,6 +511,17 @@ def open_doc(data: bytes, wanted: set[str] | None = None) -> list[dict]:
             label = lists.label(props["list"], props.get("list_level", 0)) if props.get("list") else None
             heading = istd if 1 <= istd <= 9 else props.get("outline")
             if whole or c != "\x0c":
+                first = at + i - len(raw)
+                made: list[list] = []
+                for j in visible(raw):  # runs: neighbours with the same character properties
+                    own = chpx.at(offsets[first + j])[1] if first + j < len(offsets) else b""
+                    if made and made[-1][1] == own:
+                        made[-1][0] += raw[j]
+                    else:
+                        made.append([raw[j], own])
+                for j, (t, own) in enumerate(made):
+                    if clean(t):
+                        emit("run", order, story, f"{order:06d}", text=clean(t), run=j, **character_properties(own))
                 emit("block", order, story, f"{order:06d}", text=whole, kind="paragraph", style_name=name, heading_level=heading, align=props.get("align"), list_label=label, list_level=props.get("list_level") if label else None, page=page, section=section)
                 order += 1
             if c == "\x0c":
@@ -478,6 +535,14 @@ def open_doc(data: bytes, wanted: set[str] | None = None) -> list[dict]:
         close_table()
         found += [(story, *f) for f in field_spans(chunk)]
         at += size
+    try:
+        start = sum(fib.counts.get(x, 0) for x in STORIES[:3])
+        names, marks = owners(fib.slice(table, 36)), comment_marks(fib.slice(table, 4))
+        for i, ((cp, initials, who), (a, b)) in enumerate(zip(marks, ranges(fib.slice(table, 5)))):
+            line = next(iter(clean(field_results(text[:cp])).split("\n")[-1:]), "")
+            emit("comment", i, "comment", name=str(i), text=clean(text[start + a : start + b]).strip("\x05\n"), author=names[who] if who < len(names) else None, initials=initials, anchor=line or None)
+    except struct.error:
+        pass
     for i, (story, instruction, cached) in enumerate(found):
         kind, token = grammar.kind_of(instruction)
         emit("field", i, story, name=kind, text=instruction, token=token, cached_result=clean(cached), unsupported_reason=None if kind == "Hyperlink" else "UnknownField" if kind == "Unknown" else "NoComputedResult")

@@ -388,3 +388,14 @@ def test_barcodes_and_metafiles():
     assert packages.metafile_size(emf, "emf") == (100, 50)
     wmf = struct.pack("<I2x4hH", 0x9AC6CDD7, 0, 0, 1440, 720, 1440) + bytes(8)
     assert packages.metafile_size(wmf, "wmf") == (96, 48) and packages.metafile_size(b"junk", "wmf") is None
+
+
+def test_legacy_runs_and_comment_tables():
+    rows = binary.open_doc(legacy("ab\x13 PAGE \x143\x15c\r"))
+    assert [r["text"] for r in of(rows, "run")] == ["ab3c"]
+    xst = lambda s: struct.pack("<H", len(s)) + s.encode("utf-16-le")
+    assert binary.owners(xst("Ann") + xst("Bo") + b"\x09") == ["Ann", "Bo"]
+    mark = xst("AB").ljust(20, b"\0") + struct.pack("<H", 1) + bytes(8)
+    assert binary.comment_marks(struct.pack("<ii", 5, 9) + mark) == [(5, "AB", 1)] and binary.ranges(struct.pack("<iii", 0, 4, 6)) == [(0, 4), (4, 6)]
+    assert binary.character_properties(bytes.fromhex("350801" "434a1800" "3608ff")) == {"bold": True, "size": 24}
+    assert binary.paragraph_properties(bytes.fromhex("03240116240106240a")) == {"align": "center", "in_table": True}
