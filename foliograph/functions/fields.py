@@ -6,6 +6,7 @@ Whatever isn't certain has no computed value, so that the cached result stays.
 from __future__ import annotations
 
 import datetime
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -96,7 +97,12 @@ def parts_of(instruction: str) -> list[str]:
 
 
 def unquote(s: str) -> str:
-    return s[1:-1] if len(s) > 1 and s[0] == s[-1] == '"' else s.strip('"')
+    """A token without the quotes around it; a quote elsewhere, or without its partner, is invalid."""
+    if len(s) > 1 and s[0] == s[-1] == '"':
+        s = s[1:-1]
+    if '"' in s:
+        raise Invalid
+    return s
 
 
 @dataclass
@@ -390,7 +396,7 @@ class Document:
         if value is None:
             return None
         if p.picture is not None:
-            return pictures.numeric_picture(value, p.picture)
+            return shaped(pictures.numeric_picture(value, p.picture), p.text_format)
         return self.number(value, p)
 
     def cells(self, f: Found):
@@ -452,25 +458,39 @@ class Document:
 
         return extra
 
-    def operand(self, s: str) -> str:
-        return unquote(s) if s.startswith('"') else self.known(s) if self.known(s) is not None else s
+    def operand(self, s: str) -> str | None:
+        """A quoted text, a number, or the value of a bookmark; other words are data that isn't known."""
+        if s.startswith("\\") or not s:
+            raise Invalid
+        if s.startswith('"'):
+            return unquote(s)
+        if self.known(s) is not None:
+            return self.known(s)
+        try:
+            if not math.isfinite(formula.number(s)):
+                raise Invalid
+            return s
+        except formula.Failed:
+            return None
 
     def comparison(self, rest: list[str]) -> tuple[bool | None, list[str]]:
         """The truth of "a op b" at the start of the tokens, in three or one, and what is left."""
         if len(rest) >= 3 and OPERATOR.fullmatch(rest[1]):
-            return compared(self.operand(rest[0]), rest[1], self.operand(rest[2])), rest[3:]
-        if rest and (m := OPERATOR.search(rest[0])) and m.start() and not rest[0].startswith('"'):
-            return compared(self.operand(rest[0][: m.start()]), m[0], self.operand(rest[0][m.end() :])), rest[1:]
-        raise Invalid
+            a, op, b, left = rest[0], rest[1], rest[2], rest[3:]
+        elif rest and (m := OPERATOR.search(re.sub(r'"[^"]*"', lambda q: "_" * len(q[0]), rest[0]))) and m.start():
+            a, op, b, left = rest[0][: m.start()], m[0], rest[0][m.end() :], rest[1:]
+        else:
+            raise Invalid
+        a, b = self.operand(a), self.operand(b)
+        return (None if a is None or b is None else compared(a, op, b)), left
 
     def field_if(self, f, rest):
         truth, left = self.comparison(rest)
         p = parse(left)
         if not 1 <= len(p.operands) <= 2:
             raise Invalid
-        if truth is None:
-            return None
-        return shaped(unquote((p.operands + [""])[0 if truth else 1]), p.text_format)
+        results = [*map(unquote, p.operands), ""]
+        return None if truth is None else shaped(results[0 if truth else 1], p.text_format)
 
     def field_compare(self, f, rest):
         truth, left = self.comparison(rest)
@@ -734,7 +754,11 @@ class Document:
         return ""
 
     def field_eq(self, f, rest):
-        return pictures.eq_text(f.instruction.strip())
+        m = re.search(r"\s*\\\*\s*(\w+)\s*$", f.instruction)
+        text = pictures.eq_text(f.instruction[: m.start()] if m else f.instruction)
+        if text is None:
+            raise Invalid
+        return shaped(text, parse(["\\*", m[1]]).text_format if m else None)
 
     def field_symbol(self, f, rest):
         p = parse(rest, flags="auhj", values="fs")
@@ -847,7 +871,10 @@ def hyperlink_target(instruction: str) -> str | None:
         return None
     if len(p.operands) > 1:
         return None
-    url = unquote(p.operands[0]).strip() if p.operands else ""
+    try:
+        url = unquote(p.operands[0]).strip() if p.operands else ""
+    except Invalid:
+        return None
     anchor = p.switches.get("l")
     return (url + (f"#{anchor}" if anchor else "")) or None
 

@@ -152,7 +152,7 @@ def field_number(value: float, name: str) -> str | None:
     if plain == "ordtext":
         return ord_text(n)
     if plain == "hex":
-        return f"{n:X}" if n >= 0 else None
+        return f"{n:X}" if n >= 0 and abs(value - n) < 1e-12 else None
     if plain == "dollartext":
         return dollar_text(value)
     return None

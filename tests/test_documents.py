@@ -93,6 +93,17 @@ def test_sequences_and_assignments():
     assert got('QUOTE "two words" \\* Caps', 'FILLIN "p" \\d dflt', "AUTONUM", "AUTONUMLGL", "LISTNUM", "NEXT", "PRINT x", "SYMBOL 97 \\f Symbol", "EQ \\f(1,2)", "TC head") == ["Two Words", "dflt", "1", "2", "1", "", "", "α", "1/2", ""]
 
 
+@pytest.mark.parametrize(("instruction", "want"), [
+    ('IF "A=B"="A=B" "yes" "no"', "yes"), ('COMPARE "A>B"<>"A?B"', "0"), ('COMPARE "A*" = "AB"', "1"), ('IF 1 = 1 "ship" "hold" \\* Upper', "SHIP"), ('IF 1 = 1 "ship" \\*Lower', "ship"), ('COMPARE CustomerTier = "Gold"', None),
+    ("IF 1 = 1 yes no", "yes"), ('IF 1 = 1 "yes no', None), ('IF 1 = 0 yes "no', None), ('QUOTE "literal text"', "literal text"), ("QUOTE plain words", "plain words"), ('QUOTE "literal text', None), ('QUOTE literal text"', None),
+    ('= 10 / 4 \\# "0.00" \\* MERGEFORMAT', "2.50"), ('= 10 / 4 \\#"0.0" \\*CHARFORMAT', "2.5"), ('= 5 \\# "0 units" \\* Upper', "5 UNITS"), ("= 10.25 \\* DollarText", "ten and 25/100"), ("= 31 \\* Hex", "1F"),
+    ("= 21 \\* OrdText", "twenty-first"), ("= 10.25 \\* Hex", None), ("COMPARE 1e309 > 0", None), ("EQ \\f(a,b) \\* Upper", "A/B"),
+])
+def test_contextless_fields(instruction, want):
+    rows = open_docx(w.Builder().add(w.paragraph(w.simple_field(instruction, "cached"))).save())
+    assert values(rows, "field", "computed_result") == [want]
+
+
 def test_field_reasons():
     b = w.Builder().add(w.paragraph("".join(w.simple_field(i, "c") for i in ("CUSTOM v", "PAGE \\q", "REF gone", "FILENAME \\p", 'HYPERLINK "http://x"', "MERGEFIELD A", "INDEX"))))
     assert values(open_docx(b.save()), "field", "unsupported_reason") == ["UnknownField", "UnsupportedSwitch", "UnresolvedBookmark", None, None, "NoComputedResult", "NoComputedResult"]

@@ -123,7 +123,12 @@ def test_timestamps(spark):
     assert [str(x) if x else None for x in got] == ["2024-03-05 06:07:08", "2024-03-05 06:07:08", None, None]
 
 
-@pytest.mark.parametrize(("eq", "want"), [("EQ \\f(1,2)", "1/2"), ("EQ \\r(3,x)", "3√x"), ("EQ \\b(a)", "(a)"), ("EQ \\b\\bc\\[(a)", "[a]"), ("EQ \\x(b)", "[b]"), ("EQ \\i(0,1,x)", "∫01x"), ("EQ \\f(1,\\r(2))", "1/√2"), ("EQ \\q(1)", None), ("EQ \\f(1", None), ("EQ \\a\\co2(a,b,c,d)", "a\tb\nc\td")])
+@pytest.mark.parametrize(("eq", "want"), [
+    ("EQ \\f(1,2)", "1/2"), ("EQ \\r(3,x)", "3√x"), ("EQ \\r(2)", "√2"), ("EQ \\b(a)", "(a)"), ("EQ \\b\\bc\\[(a)", "[a]"), ("EQ \\b \\lc\\< \\rc\\| (a)", "<a|"), ("EQ \\x \\to(b)", "b"), ("EQ \\i(0,1,x)", "∫_0^1 x"),
+    ("EQ \\i \\su(n=1,10,x)", "Σ_{n=1}^{10} x"), ("EQ \\f(1,\\r(2))", "1/(√2)"), ("EQ \\q(1)", None), ("EQ \\f(1", None), ("EQ \\f(1)", None), ("EQ \\a \\co2(a,b,c,d)", "a\tb\nc\td"), ("EQ \\a \\co0(a)", None),
+    ("EQ \\s\\up8(UB)\\ai4()\\do8(2)\\di3()", "^{UB}_2"), ('EQ \\b("Chapter One")', "(Chapter One)"), ('EQ \\b("A"B")', None), ('EQ \\b("Chapter One)', None), ("EQ \\f(A\\),B)", "A)/B"), ("EQ \\f(A\\;B;C)", "A;B/C"),
+    ("EQ \\d \\fo10(A)", "A"), ("EQ \\d \\ba2(\\f(1,2))", "(1/2)"), ("EQ \\d(A)", None), ("EQ \\l(A,B)", "A,B"), ("EQ \\o \\ac(A,/)", "A/"), ("EQ \\l()", None),
+])
 def test_equations(eq, want):
     assert pictures.eq_text(eq) == want
 
