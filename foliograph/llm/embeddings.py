@@ -126,18 +126,18 @@ def near_links(
 
     # a class is known by the id of its hash; ids that collide would have to do so within 64 bits
     found = written(units.groupBy("label", "dims", "cell", "b1", "b2").applyInPandas(lambda k, g: join(k, g), f"id long, rep {kinds['rep']}, links long, root long"))
-    linked = found.groupBy("id").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    named = classes.select("id", "rep").join(parts.withColumnRenamed("node", "id"), "id")
+    parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
+    named = parts.join(classes.select("id", "rep"), "id")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    parts = parts.join(least, "component").select(F.col("node").alias("id"), "least")
-    known = classes.where("copies > 1").select("id", "copies", "rep").join(linked, "id", "full").join(parts, "id", "left")
-    known = known.select("id", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.least("least", "rep"), "rep", "least").alias("least"))
+    parts = parts.join(least, "component").select("id", "least")
+    own = classes.where("copies > 1").select("id", (F.col("copies") - 1).alias("links"), "rep")
+    known = own.unionByName(found.select("id", "links", "rep")).groupBy("id").agg(F.sum("links").alias("links"), F.min("rep").alias("rep"))
+    known = known.join(parts, "id", "left").select("id", "links", F.coalesce(F.least("least", "rep"), "rep", "least").alias("least"))
     every = rows.select("key", F.when(F.col("h1").isNotNull(), F.xxhash64("label", "dims", "h1", "h2")).alias("id"))
     component = F.coalesce("least", "key")
     return every.join(known, "id", "left").select(
         F.col("key").alias(key),
-        F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"),
     )
 
