@@ -437,6 +437,50 @@ def visible(text: str) -> list[int]:
     return out
 
 
+def row_definition(body: bytes) -> tuple[list[int], list[str | None]]:
+    """A row's cell boundaries and each cell's vertical merge (restart, continue or null), from its table definition."""
+    for code, arg in modifiers(body):
+        if code == 0xD608 and arg:
+            n = arg[0]
+            if len(arg) < 1 + 2 * (n + 1):
+                break
+            bounds = list(struct.unpack_from(f"<{n + 1}h", arg, 1))
+            merges: list[str | None] = []
+            for i in range(n):
+                at = 1 + 2 * (n + 1) + 20 * i
+                flags = struct.unpack_from("<H", arg, at)[0] if at + 2 <= len(arg) else 0
+                merges.append("restart" if flags & 0x40 else "continue" if flags & 0x20 else None)
+            return bounds, merges
+    return [], []
+
+
+def grid(rows: list[tuple[list[str], list[int], list[str | None]]]) -> list[dict]:
+    """Cells of a table with their place on the grid of all rows' boundaries. A cell that continues the one above is that
+    cell's; one with nothing above to continue stays as it is. Rows without boundaries have a column a cell."""
+    lines = sorted({b for _, bounds, _ in rows for b in bounds})
+    at = {b: i for i, b in enumerate(lines)}
+    out: list[dict] = []
+    open_: dict[int, dict] = {}
+    for r, (texts, bounds, merges) in enumerate(rows):
+        known = len(bounds) > len(texts) - 1 and len(bounds) >= len(texts) + 1
+        seen = set()
+        for c, text in enumerate(texts):
+            col = at[bounds[c]] if known else c
+            span = max(1, at[bounds[c + 1]] - col) if known else 1
+            merge = merges[c] if c < len(merges) else None
+            seen.add(col)
+            if merge == "continue" and col in open_ and open_[col]["col_span"] == span:
+                open_[col]["row_span"] += 1
+                continue
+            cell = {"row": r, "cell": c, "grid_col": col, "col_span": span, "row_span": 1, "text": text}
+            out.append(cell)
+            open_.pop(col, None)
+            if merge == "restart":
+                open_[col] = cell
+        open_ = {k: v for k, v in open_.items() if k in seen}
+    return out
+
+
 STORIES = ("body", "footnote", "header", "comment", "endnote", "textbox", "header_textbox")
 
 
@@ -471,17 +515,18 @@ def open_doc(data: bytes, wanted: set[str] | None = None) -> list[dict]:
         if size:
             emit("region", n, story, name=story, text=clean(field_results(chunk)), cp_start=at, cp_end=at + size)
         block, cells, start = [], [], 0
-        table_rows: list[list[str]] = []
+        table_rows: list[tuple[list[str], list[int], list[str | None]]] = []
         section, page = 1, 1
 
         def close_table() -> None:
             nonlocal table_rows, order
             if table_rows:
                 path = f"{order:06d}"
-                emit("block", order, story, path, text="\n".join("\t".join(r) for r in table_rows), kind="table", rows=len(table_rows), columns=max(map(len, table_rows)))  # noqa: B023
-                for i, r in enumerate(table_rows):
-                    for j, c in enumerate(r):
-                        emit("cell", order, story, path, text=c, row=i, cell=j, grid_col=j, col_span=1, row_span=1)  # noqa: B023
+                placed = grid(table_rows)
+                columns = max((c["grid_col"] + c["col_span"] for c in placed), default=0)
+                emit("block", order, story, path, text="\n".join("\t".join(r[0]) for r in table_rows), kind="table", rows=len(table_rows), columns=columns, simple=all(c["col_span"] == c["row_span"] == 1 for c in placed))  # noqa: B023
+                for c in placed:
+                    emit("cell", order, story, path, nested=False, **c)  # noqa: B023
                 table_rows, order = [], order + 1
 
         for i, c in enumerate(chunk):
@@ -497,7 +542,7 @@ def open_doc(data: bytes, wanted: set[str] | None = None) -> list[dict]:
             if c == "\x07":
                 if props.get("row_end"):
                     if cells:
-                        table_rows.append(cells)
+                        table_rows.append((cells, *row_definition(body)))
                     cells = []
                 else:
                     cells.append(whole.replace("\n", " "))
@@ -531,7 +576,7 @@ def open_doc(data: bytes, wanted: set[str] | None = None) -> list[dict]:
             emit("block", order, story, f"{order:06d}", text=rest, kind="paragraph")
             order += 1
         if cells:
-            table_rows.append(cells)
+            table_rows.append((cells, [], []))
         close_table()
         found += [(story, *f) for f in field_spans(chunk)]
         at += size

@@ -410,3 +410,14 @@ def test_legacy_runs_and_comment_tables():
     assert binary.comment_marks(struct.pack("<ii", 5, 9) + mark) == [(5, "AB", 1)] and binary.ranges(struct.pack("<iii", 0, 4, 6)) == [(0, 4), (4, 6)]
     assert binary.character_properties(bytes.fromhex("350801" "434a1800" "3608ff")) == {"bold": True, "size": 24}
     assert binary.paragraph_properties(bytes.fromhex("03240116240106240a")) == {"align": "center", "in_table": True}
+
+
+def test_legacy_table_grids():
+    tc = lambda flags: struct.pack("<H", flags) + bytes(18)
+    definition = lambda bounds, flags: (lambda arg: struct.pack("<HH", 0xD608, len(arg) + 1) + arg)(bytes([len(flags)]) + struct.pack(f"<{len(bounds)}h", *bounds) + b"".join(map(tc, flags)))
+    bounds, merges = binary.row_definition(definition([0, 100, 300], [0x60, 0]))
+    assert (bounds, merges) == ([0, 100, 300], ["restart", None])
+    rows = [(["a", "b"], [0, 100, 300], ["restart", None]), (["", "c", "d"], [0, 100, 200, 300], ["continue", None, None]), (["x", "y"], [0, 200, 300], ["continue", None])]
+    got = [(c["text"], c["grid_col"], c["col_span"], c["row_span"]) for c in binary.grid(rows)]
+    assert got == [("a", 0, 1, 2), ("b", 1, 2, 1), ("c", 1, 1, 1), ("d", 2, 1, 1), ("x", 0, 2, 1), ("y", 2, 1, 1)]
+    assert [(c["grid_col"], c["col_span"]) for c in binary.grid([(["p", "q"], [], [])])] == [(0, 1), (1, 1)]
