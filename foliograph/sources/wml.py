@@ -257,6 +257,14 @@ class Reader:
         for group, values in self.doc.properties.items():
             for i, (k, v) in enumerate(values.items()):
                 self.emit("prop", i, name=k, text=v, group=group)
+        for i, e in enumerate(x for x in (inner(self.settings) if self.settings is not None else ()) if local(x) in ("docId", "evenAndOddHeaders", "trackRevisions", "documentProtection", "defaultTabStop")):
+            self.emit("setting", i, name=local(e), text=attr(e, "val") or attr(e, "edit") or "true")
+        for i, name in enumerate(n for n in self.p.parts if re.fullmatch(r"customXml/item\d+\.xml", n)):
+            try:
+                root = parse_xml(self.p.parts[name])
+            except Refused:
+                continue
+            self.emit("custom_xml", i, name=name, text="".join(root.itertext()), root=local(root), namespace=root.tag[1:].partition("}")[0] if root.tag.startswith("{") else None)
         for i, (k, s) in enumerate(self.styles.by_id.items()):
             self.emit("style", i, name=k, **{("style_name" if a == "name" else a): b for a, b in s.items()}, heading_level=self.styles.heading(k))
         n = 0

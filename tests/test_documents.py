@@ -421,3 +421,13 @@ def test_legacy_table_grids():
     got = [(c["text"], c["grid_col"], c["col_span"], c["row_span"]) for c in binary.grid(rows)]
     assert got == [("a", 0, 1, 2), ("b", 1, 2, 1), ("c", 1, 1, 1), ("d", 2, 1, 1), ("x", 0, 2, 1), ("y", 2, 1, 1)]
     assert [(c["grid_col"], c["col_span"]) for c in binary.grid([(["p", "q"], [], [])])] == [(0, 1), (1, 1)]
+
+
+def test_settings_and_custom_xml():
+    b = w.Builder().text("x")
+    b.parts["word/settings.xml"] = f'<w:settings xmlns:w="{w.W}"><w:docId w:val="ID"/><w:evenAndOddHeaders/><w:docVars><w:docVar w:name="v" w:val="1"/></w:docVars></w:settings>'.encode()
+    b.parts["customXml/item1.xml"] = b'<a xmlns="urn:x"><b>t</b></a>'
+    rows = open_docx(b.add(w.paragraph(w.simple_field("DOCVARIABLE V", "?"))).save())
+    assert [(r["name"], r["text"]) for r in of(rows, "setting")] == [("docId", "ID"), ("evenAndOddHeaders", "true")]
+    assert [(r["text"], r["fields"]["root"], r["fields"]["namespace"]) for r in of(rows, "custom_xml")] == [("t", "a", "urn:x")]
+    assert values(rows, "field", "computed_result") == ["1"]
