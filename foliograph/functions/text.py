@@ -29,7 +29,14 @@ def normalize_lines(text: ColumnOrName) -> Column:
     trimmed = F.transform(lines, lambda x: F.when(x.rlike(r"^\t+$"), x).otherwise(F.regexp_replace(F.regexp_replace(x, r"[\s\x{85}\p{Z}]+$", ""), "^ +", "")))
     kept = F.filter(trimmed, lambda x: x != "")
     number = lambda x: x.rlike(r"^[0-9 \t\-‐‑/\\]+$") & x.rlike("[0-9]")
-    return F.array_join(F.filter(kept, lambda x, i: (i == 0) | (x != F.get(kept, i - 1)) | x.contains("\t") | number(x)), "\n")
+    stays = lambda p: p["x"].isNotNull() & (~p["x"].eqNullSafe(p["before"]) | p["x"].contains("\t") | number(p["x"]))
+    return F.array_join(F.transform(F.filter(with_before(kept), stays), lambda p: p["x"]), "\n")
+
+
+def with_before(items: Column) -> Column:
+    """Each item with the one before it, null for the first; one pair more, behind the last, has a null item. (A lambda that looked into `items` by index would make Spark
+    evaluate the whole array again for every item.)"""
+    return F.zip_with(items, F.concat(F.array(F.lit(None).cast("string")), items), lambda x, p: F.struct(x.alias("x"), p.alias("before")))
 
 
 def finalize(text: ColumnOrName) -> Column:
@@ -43,9 +50,9 @@ def has_indexable(text: ColumnOrName) -> Column:
 
 def caps(text: ColumnOrName) -> Column:
     """The first letter of each word in upper case, the rest as it is; a word starts after anything but a letter or digit."""
-    chars = F.split(col(text), "")
     alnum = lambda x: x.rlike(r"[\p{L}\p{N}]")
-    return F.array_join(F.transform(chars, lambda x, i: F.when(alnum(x) & ((i == 0) | ~alnum(F.get(chars, i - 1))), F.upper(x)).otherwise(x)), "")
+    begins = lambda p: alnum(p["x"]) & ~F.coalesce(alnum(p["before"]), F.lit(False))
+    return F.array_join(F.transform(with_before(F.split(col(text), "")), lambda p: F.when(begins(p), F.upper(p["x"])).otherwise(p["x"])), "")
 
 
 def first_cap(text: ColumnOrName) -> Column:
