@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Strings held at once while a batch is split, and cached results of pre-tokens; memory stays bounded by them.
-CHUNK_CHARS, CACHE = 1 << 20, 1 << 18
+CHUNK_CHARS, CACHE = 1 << 19, 1 << 17
 
 
 def byte_chars() -> list[str]:
@@ -88,9 +88,9 @@ class Coder:
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=self.model)
         split = regex.compile(self.pattern).findall
-        whole = {t: [n] for n, t in enumerate(self.tokens)}
+        whole = {t: n for n, t in enumerate(self.tokens)}
         table = str.maketrans({chr(b): c for b, c in enumerate(byte_chars())})
-        cache: dict[str, list[int]] = {}
+        cache: dict[str, array] = {}
         for texts in batches:
             for chunk in _chunks(texts):
                 words = [split(x) for x in chunk]
@@ -99,13 +99,13 @@ class Coder:
                 rest = []
                 for w in {w for ws in words for w in ws}:
                     if w not in cache:
-                        if found := whole.get(w.encode()):
-                            cache[w] = found
+                        if (found := whole.get(w.encode())) is not None:
+                            cache[w] = array("i", [found])
                         else:
                             rest.append(w)
                 mapped = [w.encode().decode("latin-1").translate(table) for w in rest]
                 for w, pieces in zip(rest, sp.encode(mapped, num_threads=1) if mapped else [], strict=True):
-                    cache[w] = [n - 1 for n in pieces]
+                    cache[w] = array("i", [n - 1 for n in pieces])
                 ids, ends = array("i"), [0]
                 for ws in words:
                     for w in ws:
