@@ -169,7 +169,7 @@ def grouped(df: DataFrame, key: Column, most: int) -> DataFrame:
     return df.withColumn("__group", group).drop(*[c for c in df.columns if c.startswith("__large")])
 
 
-def extract(df: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html", into: str = "text", most: int = 1000) -> DataFrame:
+def extract(df: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html", into: str = "text", most: int = 128) -> DataFrame:
     """df without the html column and with the main text of the whole page, '' where there is none; `into` is replaced.
 
     Null pages are empty, pages with a null or relative URL are a host of their own, ties in path are ordered by key.
