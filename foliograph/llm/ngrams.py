@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, maybe_among, written
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
-CACHE = 1 << 18
+CACHE = 1 << 17
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
