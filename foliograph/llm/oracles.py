@@ -90,3 +90,31 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+# The values of secrets.py once more: base patterns and least lengths, then character classes with their bits.
+_BASE = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", "AKIA[A-Z0-9]{12,}", 0, 16), ("hex", "[0-9a-f]{32,}", 0, 32),
+    ("entropy_hex", "[0-9a-f]{24,}", 0, 2.9), ("entropy_base64", r"[A-Za-z0-9+/_\-]{24,}", 0, 4.0),
+)
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, {r} AS rank, '{k}' AS kind, {n} AS least, regexp_extract_all(t, '{p}') AS h, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}', {i}) AS own FROM d" for r, (k, p, i, n) in enumerate(_BASE)
+)
+
+SQL["op7_entropy_windows"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_FOUND}),
+each AS (SELECT doc_id, rank, kind, least, unnest(range(1, len(h) + 1)) AS i, h, g, own FROM found WHERE len(h) > 0),
+hits AS (SELECT doc_id, rank, kind, least, h[i] AS w, length(own[i]) AS n,
+    (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a FROM each),
+base AS (SELECT doc_id, rank, kind, a, a + length(w) AS b FROM hits WHERE rank < 3 AND n >= least),
+windows AS (SELECT doc_id, rank, kind, least, a, w, unnest(range(0, length(w) - 23)) AS j FROM hits WHERE rank > 2
+    AND NOT regexp_matches(lower(w), 'example|placeholder|changeme|xxxxxxxx|abcdefghij|0123456789|1234567890|00000000')),
+hot AS (SELECT * FROM (SELECT *, substr(w, j::INT + 1, 24) AS x FROM windows) WHERE list_aggregate(string_split(x, ''), 'entropy') >= least - 1e-9 AND len(regexp_extract_all(x, '[0-9]')) BETWEEN 1 AND 23),
+begun AS (SELECT *, CASE WHEN j <= lag(j) OVER (PARTITION BY doc_id, rank, a ORDER BY j) + 24 THEN 0 ELSE 1 END AS fresh FROM hot),
+island AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, rank, a ORDER BY j) AS island FROM begun),
+entropy AS (SELECT doc_id, rank, kind, a + min(j) AS s, a + max(j) + 24 AS e FROM island GROUP BY doc_id, rank, kind, a, island),
+spans AS (SELECT * FROM base UNION ALL SELECT doc_id, rank, kind, s, e FROM entropy x WHERE NOT EXISTS (SELECT 1 FROM base y WHERE y.doc_id = x.doc_id AND y.a <= x.s AND x.e <= y.b)),
+said AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 3) AS own, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS every FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(own, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN said USING (doc_id)
+"""
