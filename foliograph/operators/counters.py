@@ -133,6 +133,8 @@ def section_pages(df: DataFrame, kind: str = "kind", doc: str = "doc_id", order:
     return rows.select(doc, F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select(doc, F.col("x.ord").alias(order), "x.page", "x.section")
 
 
-def section_page_counts(df: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """SECTIONPAGES: pages from the first to the last of each section."""
-    return df.groupBy(doc, "section").agg((F.max("page") - F.min("page") + 1).alias("section_pages"))
+def with_section_pages(df: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """df (doc, section, page) with section_pages, from the first page to the last of the section. Rows that are already
+    together by document need no further exchange."""
+    w = Window.partitionBy(doc, "section")
+    return df.withColumn("section_pages", F.max("page").over(w) - F.min("page").over(w) + 1)

@@ -146,7 +146,7 @@ def page_numbers(spark, sf_dir):
     lines = b.document_lines(spark, sf_dir)
     p = counters.page_numbers(lines, F.length("line") > 300)
     p = counters.page_numbers(p.withColumnRenamed("page", "__page"), F.length("line") > 600).select("doc_id", "ord", F.col("__page").alias("page"), F.col("page").alias("section"))
-    return p.join(counters.section_page_counts(p), ["doc_id", "section"]).select("doc_id", "ord", "page", "section", "section_pages")
+    return counters.with_section_pages(p)
 
 
 @query("""WITH RECURSIVE e AS (SELECT o_custkey AS doc_id, o_orderkey::BIGINT AS ord, CASE o_orderstatus WHEN 'F' THEN 'oddPage' WHEN 'O' THEN 'page' ELSE 'evenPage' END AS kind, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_custkey % 10 = 1),
