@@ -62,7 +62,7 @@ def test_stages_decide(spark, folder):
             assert docs.columns == list(corpus_pipeline.DOCUMENTS)
     assert not kept[0] & set(range(200, 240)) and set(range(100)) <= kept[0]
     assert kept[0] - kept[1] == {300, 301} and kept[1] - kept[2] == {302} and kept[2] == kept[3] == kept[4]
-    assert docs.groupBy("doc_id").count().where("count > 1").count() == 0
+    assert docs.groupBy("doc_id").count().where("count > 1").count() == 0 and docs.where("doc_id = 304").first().n_tokens > 0
 
 
 def test_run_masks_and_encodes(spark, folder):
