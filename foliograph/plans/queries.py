@@ -248,7 +248,17 @@ def number_text_formats(spark, sf_dir):
     )
 
 
-@query()
+def _words(n: str) -> str:
+    return f"CASE WHEN {n} >= 1000 THEN (SELECT t FROM c WHERE c.n = {n} // 1000) || ' thousand' || CASE WHEN {n} % 1000 > 0 THEN ' ' || (SELECT t FROM c WHERE c.n = {n} % 1000) ELSE '' END ELSE (SELECT t FROM c WHERE c.n = {n}) END"
+
+
+@query(f"""WITH a AS (SELECT unnest(range(100))::BIGINT AS n, {numbers.ONES} AS o, {numbers.TENS} AS e),
+b AS (SELECT n, CASE WHEN n < 20 THEN o[n + 1] ELSE e[n // 10 + 1] || CASE WHEN n % 10 > 0 THEN '-' || o[n % 10 + 1] ELSE '' END END AS t FROM a),
+c AS (SELECT h.n * 100 + b.n AS n, CASE WHEN h.n = 0 THEN b.t ELSE h.t || ' hundred' || CASE WHEN b.n > 0 THEN ' ' || b.t ELSE '' END END AS t FROM b, (SELECT * FROM b WHERE n < 10) h),
+x AS (SELECT o_orderkey, floor(abs(o_totalprice) + 0.5::DOUBLE)::BIGINT AS n, floor(abs(o_totalprice) * 100 + 0.5::DOUBLE)::BIGINT AS cents, o_orderkey % 100 AS k FROM orders),
+y AS (SELECT *, cents // 100 AS whole FROM x)
+SELECT o_orderkey, {_words("y.n")} AS card, ({_words("y.whole")}) || ' and ' || lpad((cents % 100)::VARCHAR, 2, '0') || '/100' AS dollars,
+    CASE WHEN k = 0 THEN '영' ELSE {numbers.NATIVE_TENS}[k // 10 + 1] || {numbers.NATIVE_ONES}[k % 10 + 1] END AS korean FROM y""")
 def number_words(spark, sf_dir):
     o = b.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return o.select("o_orderkey", numbers.format_field_number("o_totalprice", F.lit("CardText")).alias("card"), numbers.format_field_number("o_totalprice", F.lit("DollarText")).alias("dollars"), numbers.format_style((F.col("o_orderkey") % 100).cast("int"), F.lit(0x2A)).alias("korean"))
