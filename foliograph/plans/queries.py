@@ -560,3 +560,138 @@ def header_footer_kinds(spark, sf_dir):
     n = F.col("page_id") % 3
     part, kind = F.when(n == 0, "header").otherwise("footer"), F.when(n == 0, "first").when(n == 1, "even").otherwise("odd")
     return b.read(spark, sf_dir, "pages").select("page_id", lookups.header_footer_kind(part, kind).alias("kind"))
+
+
+@query(f"""WITH {NORMAL} SELECT n.doc_id, n.text, len(string_split(d.text, chr(10)))::BIGINT AS paragraphs, (length(d.text) - len(string_split(d.text, chr(10))) + 1)::BIGINT AS text_chars
+FROM normal n JOIN documents d USING (doc_id)""")
+def package_round_trip(spark, sf_dir):
+    """Every document written as a package, opened again, and asked for its text and statistics."""
+    from ..sources.packages import open_documents
+    from ..sources.writer import write_documents
+    from . import documents
+
+    lines = b.document_lines(spark, sf_dir).select("doc_id", "ord", F.lit("paragraph").alias("kind"), F.lit(0).alias("level"), F.col("line").alias("text"))
+    opened = open_documents(write_documents(lines), ["block"], "doc_id")
+    blocks = documents.blocks(opened)
+    answer = F.struct("story_ord", "story", "path")
+    line = F.when(F.col("kind") == "break", "").otherwise(F.col("text"))
+    got = blocks.groupBy("doc_id").agg(
+        text.finalize(content.in_order(answer, line, "\n")).alias("text"), F.count_if(F.col("kind") == "paragraph").alias("paragraphs"), F.sum(F.char_length("text")).cast("long").alias("text_chars")
+    )
+    return got.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS doc_id, p_size AS n FROM part)
+SELECT doc_id, unnest([0, 1, 2, 3, 4, 5, 6]) AS ord, unnest(['Dynamic', 'Dynamic', 'Dynamic', 'Sequence', 'Sequence', 'Dynamic', 'Unknown']) AS kind,
+    unnest([printf('%.1f', n * 1.5::DOUBLE), CASE WHEN n > 25 THEN 'large' ELSE 'small' END, (n % 7)::VARCHAR, '1', '2', upper('part ' || n), NULL]) AS computed_result FROM p""")
+def field_evaluation(spark, sf_dir):
+    """Fields written into a package for every part, read back and evaluated."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from ..sources.packages import open_documents, records
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..sources import writer as w
+
+        for batch in batches:
+            out = []
+            for key, n in zip(batch["p_partkey"], batch["p_size"]):
+                codes = (f'= {n} * 1.5 \\# "0.0"', f'IF {n} > 25 "large" "small"', f"= MOD({n}, 7)", "SEQ Part", "SEQ Part", f'QUOTE "part {n}" \\* Upper', "NOSUCH x")
+                out.append((key, w.Builder().add(w.paragraph("".join(w.simple_field(c, "cached") for c in codes))).save()))
+            yield pd.DataFrame(out, columns=["doc_id", "content"])
+
+    parts = b.read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    opened = open_documents(parts.mapInPandas(make, "doc_id long, content binary"), ["field"], "doc_id")
+    return records(opened, "field", {"computed_result": "string"}).select(F.col("doc_id").cast("long").alias("doc_id"), "ord", F.col("name").alias("kind"), "computed_result")
+
+
+def _page_packages(spark, sf_dir):
+    from ..sources.packages import open_documents
+    from ..sources.writer import write_documents
+
+    k = F.col("kind")
+    kind = F.when(k == "h1", "heading").when(k == "li", "list").otherwise("paragraph")
+    blocks = b.page_blocks(spark, sf_dir).select("doc_id", "ord", kind.alias("kind"), F.when(k == "li", 0).otherwise(1).alias("level"), "text")
+    return open_documents(write_documents(blocks), ["block", "run", "cell"], "doc_id")
+
+
+@query(SQL["markdown_blocks"])
+def package_markdown(spark, sf_dir):
+    """The blocks of every page written as a package, opened again and exported: the same Markdown as from the blocks."""
+    from . import documents
+
+    return documents.markdown(_page_packages(spark, sf_dir)).select(F.col("doc_id").cast("long").alias("doc_id"), "markdown")
+
+
+@query(SQL["html_blocks"])
+def package_html(spark, sf_dir):
+    from . import documents
+
+    return documents.html(_page_packages(spark, sf_dir)).select(F.col("doc_id").cast("long").alias("doc_id"), "html")
+
+
+@query(f"""WITH {REVISIONS} SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY ord) FILTER (k IS NULL OR k = 'ins'), '') AS accepted, coalesce(string_agg(t, ' ' ORDER BY ord) FILTER (k IS NULL OR k = 'del'), '') AS original,
+string_agg(CASE k WHEN 'ins' THEN '[+' || t || ']' WHEN 'del' THEN '[-' || t || ']' ELSE t END, ' ' ORDER BY ord) AS annotated, count(*) FILTER (k = 'ins') AS insertions, count(*) FILTER (k = 'del') AS deletions FROM s GROUP BY doc_id""")
+def package_revisions(spark, sf_dir):
+    """Turns written as tracked insertions and deletions, opened again, and shown in each view."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from ..sources.packages import open_documents
+    from . import documents
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..sources import writer as w
+
+        for batch in batches:
+            out = []
+            for key, turns in zip(batch["doc_id"], batch["turns"]):
+                xml = "".join(w.Builder.revision(t["kind"], t["text"], i) if t["kind"] else w.run(t["text"]) for i, t in enumerate(turns))
+                out.append((key, w.Builder().add(w.paragraph(xml)).save()))
+            yield pd.DataFrame(out, columns=["doc_id", "content"])
+
+    c = b.read(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "user", "ins").when(F.col("role") == "system", "del")
+    rows = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", kind.alias("kind"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")))).alias("turns"))
+    opened = open_documents(rows.mapInPandas(make, "doc_id long, content binary"), ["run", "mark"], "doc_id")
+    r = documents.runs(opened)
+    one = lambda v: text.finalize(content.in_order(F.struct("path", "run"), content.revision_text(v, F.col("revision"), F.col("text")), " ")).alias(v)
+    return r.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*map(one, content.VIEWS), F.count_if(F.col("revision") == "ins").alias("insertions"), F.count_if(F.col("revision") == "del").alias("deletions"))
+
+
+@query(f"""WITH {REVISIONS} SELECT doc_id, trim(coalesce(string_agg(replace(t, ' the ', ' THE '), '' ORDER BY ord) FILTER (k IS NULL OR k = 'ins'), '')) AS text, 2 AS applied FROM s GROUP BY doc_id""")
+def package_edits(spark, sf_dir):
+    """A batch of edits on every package: all revisions accepted, then a word replaced throughout."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from ..operators.edits import edit_documents
+    from ..sources.packages import open_documents
+    from . import documents
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..sources import writer as w
+
+        for batch in batches:
+            out = []
+            for key, turns in zip(batch["doc_id"], batch["turns"]):
+                xml = "".join(w.Builder.revision(t["kind"], t["text"], i) if t["kind"] else w.run(t["text"]) for i, t in enumerate(turns))
+                out.append((key, w.Builder().add(w.paragraph(xml)).save()))
+            yield pd.DataFrame(out, columns=["doc_id", "content"])
+
+    c = b.read(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "user", "ins").when(F.col("role") == "system", "del")
+    turns = F.sort_array(F.collect_list(F.struct("turn", kind.alias("kind"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))))
+    files = c.groupBy(F.col("conv_id").alias("doc_id")).agg(turns.alias("turns")).mapInPandas(make, "doc_id long, content binary")
+    steps = F.array(
+        F.struct(F.lit(0).alias("ord"), F.lit("accept_all_revisions").alias("op"), F.create_map().cast("map<string,string>").alias("args")),
+        F.struct(F.lit(1).alias("ord"), F.lit("replace_body_text").alias("op"), F.create_map(F.lit("old"), F.lit(" the "), F.lit("new"), F.lit(" THE ")).alias("args")),
+    )
+    edits = c.select(F.col("conv_id").alias("doc_id")).distinct().select("doc_id", F.explode(steps).alias("e")).select("doc_id", "e.*")
+    done = edit_documents(files, edits, "doc_id")
+    said = documents.text(open_documents(done, ["block"], "doc_id"), "body")
+    return said.join(done.select("doc_id", "applied"), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "applied")
