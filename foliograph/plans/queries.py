@@ -590,7 +590,7 @@ def field_evaluation(spark, sf_dir):
 
     import pandas as pd
 
-    from ..sources.packages import open_documents, records
+    from ..sources.packages import open_documents, records, spread
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from ..sources import writer as w
@@ -603,7 +603,7 @@ def field_evaluation(spark, sf_dir):
             yield pd.DataFrame(out, columns=["doc_id", "content"])
 
     parts = b.read(spark, sf_dir, "part").select("p_partkey", "p_size")
-    opened = open_documents(parts.mapInPandas(make, "doc_id long, content binary"), ["field"], "doc_id")
+    opened = open_documents(spread(parts, "p_partkey").mapInPandas(make, "doc_id long, content binary"), ["field"], "doc_id")
     return records(opened, "field", {"computed_result": "string"}).select(F.col("doc_id").cast("long").alias("doc_id"), "ord", F.col("name").alias("kind"), "computed_result")
 
 
@@ -640,7 +640,7 @@ def package_revisions(spark, sf_dir):
 
     import pandas as pd
 
-    from ..sources.packages import open_documents
+    from ..sources.packages import open_documents, spread
     from . import documents
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -655,7 +655,7 @@ def package_revisions(spark, sf_dir):
 
     c = b.read(spark, sf_dir, "conversations")
     kind = F.when(F.col("role") == "user", "ins").when(F.col("role") == "system", "del")
-    rows = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", kind.alias("kind"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")))).alias("turns"))
+    rows = spread(c, "conv_id").groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", kind.alias("kind"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")))).alias("turns"))
     opened = open_documents(rows.mapInPandas(make, "doc_id long, content binary"), ["run", "mark"], "doc_id")
     r = documents.runs(opened)
     one = lambda v: text.finalize(content.in_order(F.struct("path", "run"), content.revision_text(v, F.col("revision"), F.col("text")), " ")).alias(v)
@@ -670,7 +670,7 @@ def package_edits(spark, sf_dir):
     import pandas as pd
 
     from ..operators.edits import edit_documents
-    from ..sources.packages import open_documents
+    from ..sources.packages import open_documents, spread
     from . import documents
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -686,7 +686,7 @@ def package_edits(spark, sf_dir):
     c = b.read(spark, sf_dir, "conversations")
     kind = F.when(F.col("role") == "user", "ins").when(F.col("role") == "system", "del")
     turns = F.sort_array(F.collect_list(F.struct("turn", kind.alias("kind"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))))
-    files = c.groupBy(F.col("conv_id").alias("doc_id")).agg(turns.alias("turns")).mapInPandas(make, "doc_id long, content binary")
+    files = spread(c, "conv_id").groupBy(F.col("conv_id").alias("doc_id")).agg(turns.alias("turns")).mapInPandas(make, "doc_id long, content binary")
     steps = F.array(
         F.struct(F.lit(0).alias("ord"), F.lit("accept_all_revisions").alias("op"), F.create_map().cast("map<string,string>").alias("args")),
         F.struct(F.lit(1).alias("ord"), F.lit("replace_body_text").alias("op"), F.create_map(F.lit("old"), F.lit(" the "), F.lit("new"), F.lit(" THE ")).alias("args")),

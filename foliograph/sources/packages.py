@@ -282,6 +282,14 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as shuffles have, at least one a core. Rows that are few but dear, as packages to
+    parse or make, would else be merged into a task or two by their size."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def open_documents(files: DataFrame, wanted: list[str] | None = None, key: str = "path", context: dict | None = None) -> DataFrame:
     """Records (RECORD) of every file, a batch of files at a time. wanted names the tags to make; others aren't parsed out.
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packages import Package, image_size, mime_of
+from .packages import Package, image_size, mime_of, spread
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -236,7 +236,7 @@ class Builder:
 def write_documents(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """doc, content: a package for each document from its blocks (ord, kind, level, text; kinds heading, paragraph, list,
     break), in order. Documents are made a batch at a time; each must fit in a task."""
-    rows = blocks.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("ord", "kind", F.col("level").cast("int").alias("level"), "text"))).alias("blocks"))
+    rows = spread(blocks, doc).groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("ord", "kind", F.col("level").cast("int").alias("level"), "text"))).alias("blocks"))
     kind = rows.schema[doc].dataType.simpleString()
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
