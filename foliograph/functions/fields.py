@@ -203,6 +203,11 @@ def compared(a: str, op: str, b: str) -> bool | None:
 
 OPERATOR = re.compile(r"<>|<=|>=|=|<|>")
 
+#: Around the cached result of an outermost field, in texts that are gathered before fields are evaluated: noncharacters,
+#: which no text should hold, with the field's number.
+MARKED = re.compile("\ufdd0(\\d+)\ufdd1([^\ufdd0\ufdd2]*)\ufdd2")
+STRAY = re.compile("\ufdd0\\d+\ufdd1|\ufdd2")
+
 
 @dataclass
 class Found:
@@ -224,6 +229,7 @@ class Found:
     form: dict | None = None
     notes: tuple = ()
     path: str = ""
+    done: bool = False
 
 
 class Document:
@@ -244,6 +250,8 @@ class Document:
         self.section_pages: dict[int, list[int]] = {1: [1, 1]}
         self.grids: dict[str, list[dict]] = {}
         self.path = ""
+        self.trying: list[Found] = []
+        self.local: dict[str, str] = {}
 
     # gathering
 
@@ -274,9 +282,43 @@ class Document:
         for c in self.commenting:
             self.comments[c].append(text)
 
-    def field_char(self, kind: str, story: str, element=None) -> None:
+    def mark(self, mark: str) -> str:
+        for name in self.active.values():
+            self.bookmarks[name]["text"] += mark
+        for c in self.commenting:
+            self.comments[c].append(mark)
+        return mark
+
+    def resolve(self, text: str | None) -> str | None:
+        """A gathered text with fields' computed results, or the cached ones where there are none."""
+        if text is None or not STRAY.search(text):
+            return text
+
+        def result(m: re.Match) -> str:
+            f = self.fields[int(m[1])]
+            value = f.computed if f.done else self.early(f)
+            return m[2] if value is None else value
+
+        return STRAY.sub("", MARKED.sub(result, text))
+
+    def early(self, f: Found) -> str | None:
+        """The value of a field that comes later, if it depends on no counter; guarded against references in a circle."""
+        if f in self.trying or kind_of(f.instruction)[1] not in ("=", "IF", "COMPARE", "QUOTE", "REF"):
+            return None
+        self.trying.append(f)
+        try:
+            f.kind, f.token = kind_of(f.instruction)
+            return self.value(f)
+        except (Invalid, KeyError):
+            return None
+        finally:
+            self.trying.pop()
+
+    def field_char(self, kind: str, story: str, element=None) -> str:
+        """Follows a field's characters; returns the mark that belongs into the text there, for an outermost field."""
         if kind == "begin":
             f = Found(story, len(self.fields) + len(self.open_fields), len(self.paragraphs) - 1, self.page, self.section, form=form_data(element), path=self.path)
+            f.order = len(self.fields)
             self.open_fields.append(f)
             self.fields.append(f)
         elif self.open_fields and kind == "separate":
@@ -284,8 +326,13 @@ class Document:
             f = self.open_fields[-1]
             if kind_of(f.instruction)[0] == "Hyperlink":
                 f.url = hyperlink_target(f.instruction)
+            if len(self.open_fields) == 1:
+                return self.mark(f"\ufdd0{f.order}\ufdd1")
         elif self.open_fields and kind == "end":
-            self.open_fields.pop()
+            f = self.open_fields.pop()
+            if not self.open_fields and f.phase == "result":
+                return self.mark("\ufdd2")
+        return ""
 
     def instruction(self, text: str) -> None:
         if self.open_fields and self.open_fields[-1].phase == "instruction":
@@ -316,7 +363,7 @@ class Document:
         self.commenting.discard(id_)
 
     def comment_anchor(self, id_) -> str | None:
-        return "".join(self.comments[id_]) if id_ in self.comments else None
+        return self.resolve("".join(self.comments[id_])) if id_ in self.comments else None
 
     def note_reference(self, kind, id_, custom) -> None:
         if not custom:
@@ -329,7 +376,7 @@ class Document:
     def note_anchor(self, kind, id_) -> str | None:
         """The text of the paragraph that refers to a note."""
         note = self.notes.get((kind, id_))
-        return self.paragraphs[note["para"]]["text"] if note and note["para"] >= 0 else None
+        return self.resolve(self.paragraphs[note["para"]]["text"]) if note and note["para"] >= 0 else None
 
     def last_note_number(self, kind) -> int:
         return self.note_counts.get(kind, 0)
@@ -350,6 +397,7 @@ class Document:
                 missing = "UnsupportedSwitch"
             except KeyError:
                 missing = "UnresolvedBookmark"
+            f.done = True
             if f.computed is None and f.kind != "Hyperlink" and not (f.kind == "Filename" and missing is None):
                 f.reason = "UnknownField" if f.kind == "Unknown" else missing or "NoComputedResult"
             elif f.kind == "Hyperlink" and hyperlink_target(f.instruction) is None:
@@ -384,14 +432,14 @@ class Document:
         if name in self.local:
             return self.local[name]
         if name in self.bookmarks:
-            return self.bookmarks[name]["text"]
+            return self.resolve(self.bookmarks[name]["text"])
         return None
 
     def formula(self, f: Found) -> str | None:
         body = f.instruction.strip()[1:]
         m = re.search(r"\\[#*@]", body)
         p = parse(parts_of(body[m.start() :]) if m else [], numeric=True, pictures_too=True)
-        names = {k: v["text"] for k, v in self.bookmarks.items()} | self.local
+        names = {k: self.resolve(v["text"]) for k, v in self.bookmarks.items()} | self.local
         value = formula.evaluate(body[: m.start()] if m else body, names, self.cells(f))
         if value is None:
             return None
@@ -633,7 +681,7 @@ class Document:
             return "above" if at < f.para else "below"
         if flags:
             return target["full" if flags == ["w"] else "label"]
-        return shaped(target["text"], p.text_format)
+        return shaped(self.resolve(target["text"]), p.text_format)
 
     def field_seq(self, f, rest):
         p = parse(rest, flags="nch", values="rs", numeric=True)
@@ -706,7 +754,7 @@ class Document:
                 continue
             level = para["heading"] if standard and para["heading"] and low <= para["heading"] <= high else custom.get((para["style"] or "").lower())
             if level:
-                lines.append("  " * (level - low) + para["text"].strip())
+                lines.append("  " * (level - low) + self.resolve(para["text"]).strip())
         if "f" in only or "l" in only:
             for g in self.fields:
                 if kind_of(g.instruction)[0] == "TocEntry":

@@ -93,6 +93,10 @@ def symbol(e: Element) -> str:
     return SYMBOLS.get((attr(e, "font") or "").strip().lower(), {}).get(code & 0xFF if code >= 0xF000 else code, chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else "")
 
 
+#: The noncharacters that mark fields in gathered texts; a document's own go.
+NO_MARKS = {0xFDD0: None, 0xFDD1: None, 0xFDD2: None}
+
+
 class Styles:
     def __init__(self, root: Element | None):
         self.by_id: dict[str, dict] = {}
@@ -310,8 +314,8 @@ class Reader:
             self.rels = {r["rid"]: r for r in self.p.rels(name)}
             notes = [e for e in root if local(e) == kind and attr(e, "type") in (None, "normal")]
             for i, e in enumerate(notes):
-                self.emit("note", i, story=kind, name=attr(e, "id"), text=plain_text(e), kind=kind, anchor=self.doc.note_anchor(kind, attr(e, "id")))
-                self.blocks(e, kind, f"{i:04d}.")
+                said = "\n".join(self.blocks(e, kind, f"{i:04d}."))
+                self.emit("note", i, story=kind, name=attr(e, "id"), text=said.strip("\n"), kind=kind, note_kind=kind)
         root = self.p.xml(self.names["comments"])
         if root is not None:
             self.rels = {r["rid"]: r for r in self.p.rels(self.names["comments"])}
@@ -335,8 +339,8 @@ class Reader:
                 seen.add(name)
                 root = self.p.xml(name)
                 self.rels = {r["rid"]: r for r in self.p.rels(name)}
-                self.emit("header_footer", len(seen) - 1, story=f"{kind}:{name}", name=name, text=plain_text(root), kind=kind)
-                self.blocks(root, f"{kind}:{name}", "")
+                said = "\n".join(self.blocks(root, f"{kind}:{name}", ""))
+                self.emit("header_footer", len(seen) - 1, story=f"{kind}:{name}", name=name, text=said.strip("\n"), kind=kind)
 
     def sections(self, body: Element) -> None:
         every = [e for e in inner(body) if local(e) == "sectPr"]
@@ -519,7 +523,7 @@ class Runs:
             for x in chosen(c):
                 self.piece(x, text)
         elif kind in ("t", "delText"):
-            text.append(c.text or "")
+            text.append((c.text or "").translate(NO_MARKS))
         elif kind in MARKS:
             text.append(MARKS[kind])
         elif kind == "br":
@@ -535,7 +539,7 @@ class Runs:
         elif kind == "fldChar":
             self.flush("".join(text), {})
             text.clear()
-            doc.field_char(attr(c, "fldCharType") or "", self.story, c)
+            self.out.append(doc.field_char(attr(c, "fldCharType") or "", self.story, c))
         elif kind in ("instrText", "delInstrText"):
             doc.instruction(c.text or "")
         elif kind in ("footnoteReference", "endnoteReference"):
@@ -557,7 +561,7 @@ class Runs:
         doc, gone = self.r.doc, self.revision in ("del", "moveFrom")
         instruction = doc.in_instruction()
         if not instruction:
-            self.r.emit("run", story=self.story, path=self.path, text=text, run=self.n, url=self.url or doc.field_url(), revision=self.revision, field_role="result" if doc.open_fields else None, **props)
+            self.r.emit("run", story=self.story, path=self.path, text=text, run=self.n, url=self.url or doc.field_url(), revision=self.revision, field_role="result" if doc.open_fields else None, field_order=doc.open_fields[0].order if doc.open_fields else None, **props)
             if not gone:
                 self.out.append(text)
                 doc.text(text)
@@ -576,9 +580,9 @@ class Runs:
         doc = self.r.doc
         doc.field_char("begin", self.story, e)
         doc.instruction(attr(e, "instr") or "")
-        doc.field_char("separate", self.story, e)
+        self.out.append(doc.field_char("separate", self.story, e))
         self.walk(e)
-        doc.field_char("end", self.story, e)
+        self.out.append(doc.field_char("end", self.story, e))
 
     def on_sdt(self, e: Element) -> None:
         self.r.content_control(e, self.story)
@@ -643,9 +647,22 @@ def open_docx(data: bytes, wanted: set[str] | None = None, context: dict | None
     r.package_records()
     r.body()
     r.other_stories()
+    evaluated = r.doc.evaluate()
+    shown: set[int] = set()
+    for row in r.rows:  # texts were gathered with marks around fields; now the computed results are known
+        if row["tag"] == "run" and (n := row["fields"].pop("field_order", None)) is not None and evaluated[int(n)].computed is not None:
+            f, first = evaluated[int(n)], int(n) not in shown
+            shown.add(int(n))
+            row["text"] = f.computed if first else ""
+        row["text"] = r.doc.resolve(row["text"])
+        if row["tag"] == "comment" and (anchor := r.doc.comment_anchor(row["name"])) is not None:
+            row["fields"]["anchor"] = anchor
+        if row["tag"] == "note":
+            if (anchor := r.doc.note_anchor(row["fields"].pop("note_kind"), row["name"])) is not None:
+                row["fields"]["anchor"] = anchor
     for i, (name, b) in enumerate(r.doc.bookmarks.items()):
-        r.emit("bookmark", i, name=name, text=b["text"], start=b["start"], end=b["end"], page=b["page"], number=b["number"], full_number=b["full"])
-    for i, f in enumerate(r.doc.evaluate()):
+        r.emit("bookmark", i, name=name, text=r.doc.resolve(b["text"]), start=b["start"], end=b["end"], page=b["page"], number=b["number"], full_number=b["full"])
+    for i, f in enumerate(evaluated):
         r.emit("field", i, story=f.story, name=f.kind, text=f.instruction, token=f.token, cached_result=f.cached, computed_result=f.computed, unsupported_reason=f.reason, url=f.url)
     if wanted is None or "mark" in wanted:
         for name in (r.main, r.names["footnotes"], r.names["endnotes"]):

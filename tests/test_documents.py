@@ -431,3 +431,18 @@ def test_settings_and_custom_xml():
     assert [(r["name"], r["text"]) for r in of(rows, "setting")] == [("docId", "ID"), ("evenAndOddHeaders", "true")]
     assert [(r["text"], r["fields"]["root"], r["fields"]["namespace"]) for r in of(rows, "custom_xml")] == [("t", "a", "urn:x")]
     assert values(rows, "field", "computed_result") == ["1"]
+
+
+def test_texts_show_computed_results():
+    f = w.simple_field
+    b = w.Builder().heading("Part")
+    b.add(w.paragraph(w.run("a ") + f("= 2*3", "stale") + w.run(" b ") + f("CUSTOM x", "kept") + b.bookmark("sum", f("= 1+1", "old")) + w.complex_field("REF sum", "older")))
+    b.add(w.paragraph(f("REF late", "?") + b.note("n") + b.comment(f("= 4", "c"), "said"))).add(w.paragraph(b.bookmark("late", f("= 7", "x")))).add(w.paragraph(w.run("\ufdd09\ufdd1odd\ufdd2")))
+    char = lambda k: f'<w:r><w:fldChar w:fldCharType="{k}"/></w:r>'
+    b.add(w.paragraph(char("begin") + "<w:r><w:instrText>TOC</w:instrText></w:r>" + char("separate") + w.run("one"))).add(w.paragraph(w.run("two") + char("end")))
+    rows = open_docx(b.save())
+    body = [r["text"] for r in of(rows, "block") if r["story"] == "body"]
+    assert body == ["Part", "a 6 b kept22", "74", "7", "9odd", "one", "two"]
+    assert [r["text"] for r in of(rows, "bookmark")] == ["2", "7"] and values(rows, "comment", "anchor") == ["4"] and values(rows, "note", "anchor") == ["74"]
+    assert "".join(r["text"] for r in of(rows, "run") if r["story"] == "body").startswith("Parta 6 b kept2274")
+    assert not any("\ufdd0" in (r["text"] or "") or "\ufdd2" in (r["text"] or "") for r in rows)
