@@ -10,15 +10,13 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
@@ -142,31 +140,38 @@ def main_text(texts: list[str], kinds: list[int], other: list[str] | None) -> st
     return "\n".join(texts[i] for i in [i for i in plain if i not in gone] or plain)
 
 
-def grouped(df: DataFrame, key: Column, most: int) -> DataFrame:
-    """df with __host, __path and __group, groups of a host's pages that share a path prefix, of about `most` pages at most.
-
-    Only the URLs are counted, at a longer prefix for those hosts and prefixes that are still too large; of pages with
-    one path the key's hash makes groups.
-    """
+def placed(df: DataFrame) -> DataFrame:
+    """df with __host and __path of its __url."""
     host = F.lower(F.regexp_extract(F.coalesce("__url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(F.coalesce("__url", F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    df = df.withColumns({"__host": host, "__path": path})
-    group = F.xxhash64("__host", F.lit(0))
-    for k in (0, 4, 8, 16, 32, 64):
-        prefix = F.substring("__path", 1, k)
-        large = written(df.select("__host", prefix.alias("__prefix")).groupBy("__host", "__prefix").agg(F.count("*").alias("n")).where(F.col("n") > most))
-        if large.isEmpty():
-            break
-        mark = f"__large{k}"
-        large = large.select(F.col("__host").alias("h"), F.col("__prefix").alias("p"), F.ceil(F.col("n") / most).alias(mark))
-        if large.limit((1 << 16) + 1).count() <= 1 << 16:
-            large = F.broadcast(large)
-        df = df.join(large, (F.col("__host") == F.col("h")) & (prefix == F.col("p")), "left").drop("h", "p")
-        finer = F.xxhash64("__host", F.lit(k + 1), F.substring("__path", 1, 2 * k or 4))
-        if k == 64:
-            finer = F.xxhash64("__host", "__path", F.pmod(F.xxhash64(key), F.col(mark)))
-        group = F.when(F.col(mark).isNotNull(), finer).otherwise(group)
-    return df.withColumn("__group", group).drop(*[c for c in df.columns if c.startswith("__large")])
+    return df.withColumns({"__host": host, "__path": path})
+
+
+def rank(row: dict) -> tuple:
+    """A page's place in the order by host, path and key, nulls first."""
+    return row["__host"], row["__path"], row["__key"] is not None, row["__key"]
+
+
+def ranges(df: DataFrame, key: str, most: int) -> tuple[list[tuple], list[tuple]]:
+    """The first and the last place of each range of the table in the order by host, path and key, none of them empty.
+
+    Only the URLs and keys are ordered. There are as many ranges as shuffle partitions; small ones that follow each other
+    are joined to hold `most` pages at most.
+    """
+    urls = df.select("__host", "__path", F.col(key).alias("__key"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct("__host", "__path", "__key")
+    dealt = urls.repartitionByRange(n, *urls.columns).withColumn("__range", F.spark_partition_id())
+    found = dealt.groupBy("__range").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).toArrow().to_pylist()
+    firsts, lasts, held = [], [], 0
+    for r in sorted(found, key=lambda r: rank(r["first"])):
+        if firsts and held + r["n"] <= most:
+            lasts[-1], held = rank(r["last"]), held + r["n"]
+        else:
+            firsts.append(rank(r["first"]))
+            lasts.append(rank(r["last"]))
+            held = r["n"]
+    return firsts, lasts
 
 
 def extract(df: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html", into: str = "text", most: int = 128) -> DataFrame:
@@ -174,14 +179,20 @@ def extract(df: DataFrame, *, key: str = "page_id", url: str = "url", page: str
 
     Null pages are empty, pages with a null or relative URL are a host of their own, ties in path are ordered by key.
     A page without a neighbour on its host loses no lines by pairing. Repeated rows are each other's neighbours; as all
-    their plain lines are shared, they keep them. An empty table gives an empty one. Pages are parsed where they are
-    read; then lines are exchanged once, and a task holds three pages at a time, however large a host is.
+    their plain lines are shared, they keep them. An empty table gives an empty one. The whole table is cut into ranges
+    in the order by host, path and key, and each gets the last page before it and the first one after it, if these are of
+    the same host, so that a page has its true neighbours wherever its host is cut. Pages are parsed where they are read;
+    then lines are exchanged once, and a task holds three pages at a time, however large a host is. Only rows that agree
+    in host, path and key stay in one task.
     """
     rest = [c for c in df.columns if c not in (page, into)]
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     named = {c: f"c{i}" for i, c in enumerate(rest)}
     start = df.select(*(F.col(f"`{c}`").alias(n) for c, n in named.items()), F.col(f"`{page}`").alias("__html"), F.col(f"`{url}`").alias("__url"))
 
+    start = placed(start)
+    firsts, lasts = ranges(start, named[key], most)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("__html")
@@ -190,14 +201,21 @@ def extract(df: DataFrame, *, key: str = "page_id", url: str = "url", page: str
                 found = [lines(x.as_py()) for x in part.column(at)]
                 cols = [part.column(j) for j in range(b.num_columns) if j != at]
                 names = [n for j, n in enumerate(b.schema.names) if j != at]
-                yield pa.RecordBatch.from_arrays(
+                own = [rank({"__host": h, "__path": p, "__key": k}) for h, p, k in zip(*(part.column(c).to_pylist() for c in ("__host", "__path", named[key])), strict=True)]
+                to = [bisect_right(firsts, x) - 1 for x in own]
+                seen = [(j, r, False) for j, r in enumerate(to)]  # position, range, whether the page is there for its neighbour only
+                seen += [(j, r + 1, True) for j, r in enumerate(to) if own[j] == lasts[r] and r + 1 < len(firsts) and firsts[r + 1][0] == own[j][0]]
+                seen += [(j, r - 1, True) for j, r in enumerate(to) if own[j] == firsts[r] and r and lasts[r - 1][0] == own[j][0]]
+                given = pa.RecordBatch.from_arrays(
                     [*cols, pa.array([t for t, _ in found], pa.list_(pa.string())), pa.array([k for _, k in found], pa.list_(pa.int8()))], names=[*names, "__texts", "__kinds"]
+                ).take(pa.array([j for j, _, _ in seen], pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [*given.columns, pa.array([r for _, r, _ in seen], pa.int32()), pa.array([g for _, _, g in seen], pa.bool_())], names=[*given.schema.names, "__range", "__guest"]
                 )
 
     inner = ", ".join(f"{n} {types[c]}" for c, n in named.items())
-    parted = grouped(start, F.col(named[key]), most)
-    parsed = parted.mapInArrow(parse, f"{inner}, __url string, __host string, __path string, __group long, __texts array<string>, __kinds array<tinyint>")
-    dealt = parsed.repartition("__group").sortWithinPartitions("__group", "__host", "__path", named[key])
+    parsed = start.mapInArrow(parse, f"{inner}, __url string, __host string, __path string, __texts array<string>, __kinds array<tinyint>, __range int, __guest boolean")
+    dealt = parsed.repartitionById(max(1, len(firsts)), F.col("__range")).sortWithinPartitions("__range", "__host", "__path", named[key])
 
     def alike(a: str, b: str) -> int:
         n = 0
@@ -216,8 +234,8 @@ def extract(df: DataFrame, *, key: str = "page_id", url: str = "url", page: str
         out: list[dict] = []
         before = here = None
         for after in _with_end(rows()):
-            if here is not None:
-                near = [x for x in (before, after) if x is not None and (x["__group"], x["__host"]) == (here["__group"], here["__host"])]
+            if here is not None and not here["__guest"]:
+                near = [x for x in (before, after) if x is not None and (x["__range"], x["__host"]) == (here["__range"], here["__host"])]
                 other = max(near, key=lambda x: alike(x["__path"], here["__path"]))["__texts"] if near else None  # the first of equals
                 out.append({n: here[n] for n in named.values()} | {"__text": main_text(here["__texts"], here["__kinds"], other)})
                 if len(out) == 200:

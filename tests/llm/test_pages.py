@@ -91,6 +91,23 @@ def test_large_hosts_are_split_by_prefix_and_keep_their_pages(spark):
     assert len(got) == 600 and all(got[i].endswith(f"own {i}") for i in got) and sum("Site" in t for t in got.values()) < 60
 
 
+@pytest.mark.parametrize("n", [129, 700])
+def test_split_hosts_pair_true_neighbours(spark, n):
+    rng = random.Random(n)
+    slug = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(12))
+    rows = [(i, f"http://hot.com/{slug()}", f"<p>Site</p><p>own {i}</p><p>part {rng.randrange(5)}</p>") for i in range(n)]
+    rows += [(n + i, f"http://hot.com/same/{'x' * 80}", f"<p>Site</p><p>own {n + i}</p>") for i in range(200)]
+    rows += [(1000 + i, f"http://h{i}.com/{slug()}", f"<p>Site</p><p>own {i}</p>") for i in range(50)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 61)
+    try:
+        for most in (1, 128):
+            got = pages.extract(spark.createDataFrame(rows, SCHEMA).repartition(3), most=most)
+            assert {r.page_id: r.text for r in got.collect()} == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_nulls_repeats_empty_tables_and_extra_columns(spark):
     rows = [(1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (None, "http://h/x", None), (2, "http://h/x", ""), (3, "::bad::", "<p>" + "word " * 50_000 + "</p>")]
     got = pages.extract(spark.createDataFrame(rows, SCHEMA)).collect()
