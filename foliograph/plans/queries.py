@@ -214,7 +214,7 @@ def table_formula_r_c(spark, sf_dir):
 SELECT f.doc_id, f.row, CASE WHEN any_value(n) >= 3 THEN sum(value) END AS result FROM f JOIN n USING (doc_id) JOIN cells c ON c.doc_id = f.doc_id AND c.row BETWEEN f.row AND 3 AND c.col BETWEEN 1 AND 2 GROUP BY f.doc_id, f.row""")
 def table_formula_range(spark, sf_dir):
     cells = _three_columns(spark, sf_dir)
-    f = cells.where("row <= 3 AND col = 1").select("doc_id", "row", F.lit(4).alias("col"), F.lit(3).alias("r1"), F.lit(2).alias("c1"), F.col("row").alias("r2"), F.lit(1).alias("c2"))
+    f = cells.where("col = 1").select("doc_id", "row", F.lit(4).alias("col"), F.lit(3).alias("r1"), F.lit(2).alias("c1"), F.col("row").alias("r2"), F.lit(1).alias("c2"))
     return tables.range_formula(f, cells, "SUM").select("doc_id", "row", "result")
 
 
@@ -330,7 +330,7 @@ def toc(spark, sf_dir):
 
 @query(f"""WITH {LINES}, c AS (SELECT doc_id, ord, 'Figure ' || (ord + 1) || ': ' || line AS t FROM lines WHERE line <> '' AND ord < 2) SELECT doc_id, ord, trim(substr(t, position(':' IN t) + 1)) AS caption FROM c""")
 def caption_text(spark, sf_dir):
-    lines = b.document_lines(spark, sf_dir).where("line <> '' AND ord < 2")
+    lines = b.document_lines(spark, sf_dir).where("line <> ''")
     t = F.concat(F.lit("Figure "), F.col("ord") + 1, F.lit(": "), "line")
     return lines.select("doc_id", "ord", content.caption_text(t, "Figure").alias("caption"))
 
