@@ -29,15 +29,14 @@ def keep_quality(spark, docs, sf_dir):
 
 
 def keep_one_of_each(spark, docs, sf_dir):
-    """One document of each group of near duplicates, the smallest id, and one row of each id: of rows that differ the
-    one with the greatest text, so that a null text gives way."""
-    kept = without(docs, ngrams.near_duplicates(docs).where("not kept"))
+    """One row of each id, of rows that differ the one with the greatest text, so that a null text gives way; and of
+    these rows one of each group of near duplicates, the one with the smallest id."""
     again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"))
-    if again.isEmpty():
-        return kept
-    rows = kept.join(again.select("doc_id"), "doc_id", "left_semi")
-    once = rows.groupBy("doc_id").agg(F.max(F.struct(*DOCUMENTS[1:])).alias("row")).select("doc_id", "row.*")
-    return without(kept, again).unionByName(once)
+    if not again.isEmpty():
+        rows = docs.join(again.select("doc_id"), "doc_id", "left_semi")
+        once = written(rows.groupBy("doc_id").agg(F.max(F.struct(*DOCUMENTS[1:])).alias("row")).select("doc_id", "row.*"))
+        docs = without(docs, again).unionByName(once)
+    return without(docs, ngrams.near_duplicates(docs).where("not kept"))
 
 
 def drop_benchmark(spark, docs, sf_dir):

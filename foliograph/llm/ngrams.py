@@ -146,7 +146,7 @@ def near_duplicates(
     class_id is the smallest key with the same set of shingles; n_links counts the other documents linked directly,
     copies among them; component_id is the smallest key that links reach, and kept says that it is the document's own.
     Null and empty texts, and those without words, link with nothing. Repeated rows of a key count once, and of a key
-    with different texts the one whose shingles hash lowest counts. Null keys are left out. An empty table gives an
+    with different texts the one whose shingles hash lowest counts, one without words only if there is no other. Null keys are left out. An empty table gives an
     empty result. Other columns are not read.
 
     Copies are one class before anything is compared. Clusters of more than `members` classes, or more than `unit`
@@ -157,8 +157,8 @@ def near_duplicates(
     """
     k = forest_depth(threshold, trees, depth, target)
     signed = signatures(df.where(F.col(key).isNotNull()), key, text, n, trees, depth, k)
-    one = F.min(F.struct("h1", "h2", "size", "prefixes")).alias("s")
-    signed = written(signed.groupBy("key").agg(one).select("key", "s.*"))
+    one = F.min(F.struct(F.col("h1").isNull().alias("bare"), "h1", "h2", "size", "prefixes")).alias("s")
+    signed = written(signed.groupBy("key").agg(one).select("key", "s.h1", "s.h2", "s.size", "s.prefixes"))
     first = F.min(F.struct(F.col("key").alias("rep"), "size", "prefixes")).alias("s")
     classes = written(signed.where("h1 is not null").groupBy("h1", "h2").agg(first, F.count("*").alias("copies")).select("h1", "h2", "copies", "s.*"))
     buckets = classes.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))

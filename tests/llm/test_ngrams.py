@@ -87,3 +87,9 @@ def test_different_texts_under_one_key(spark):
     rows = [(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "a b c d e f g"), (3, "q r s t u v w")]
     got = result(ngrams.near_duplicates(spark.createDataFrame(rows, DOCS)))
     assert [r[0] for r in got] == [1, 2, 3] and got[0][2] == 1 and got[1][2] + got[2][2] == 1
+
+
+def test_null_and_empty_rows_of_a_key_give_way_to_its_text(spark):
+    rows = [(1, "a b c d e f g"), (2, None), (2, "a b c d e f g"), (3, ""), (3, "a b c d e f g"), (4, None), (4, "?")]
+    want = [(1, 1, 2, 1, True), (2, 1, 2, 1, False), (3, 1, 2, 1, False), (4, 4, 0, 4, True)]
+    assert result(ngrams.near_duplicates(spark.createDataFrame(rows, DOCS))) == want

@@ -65,6 +65,14 @@ def test_stages_decide(spark, folder):
     assert docs.groupBy("doc_id").count().where("count > 1").count() == 0 and docs.where("doc_id = 304").first().n_tokens > 0
 
 
+def test_near_duplicates_are_judged_by_the_rows_that_stay(spark):
+    a, z = " ".join(f"a{i}" for i in range(30)), " ".join(f"z{i}" for i in range(30))
+    rows = [(1, a), (2, None), (2, a), (3, z), (4, a), (4, z), (5, a + " more"), (5, "")]
+    docs = spark.createDataFrame([(*x, "en", "s", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each(spark, docs, None).collect())
+    assert got == [(1, a), (3, z)]
+
+
 def test_run_masks_and_encodes(spark, folder):
     tokens = bpe.read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
