@@ -9,17 +9,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliograph.llm import bpe, decontaminate, ngrams, quality, secrets
-from foliograph.llm.common import maybe_among, written
+from foliograph.llm.common import identified, maybe_among, written
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def without(docs, gone):
-    """The documents whose ids are not among those of gone; a null id is nobody's. Only those that may be are joined."""
-    gone = written(gone.select("doc_id").where("doc_id is not null").distinct())
-    docs = maybe_among(docs.select(*DOCUMENTS), "doc_id", gone)
-    unsure = docs.where("__may").join(gone, "doc_id", "left_anti")
-    return docs.where("not __may").select(*DOCUMENTS).unionByName(unsure.select(*DOCUMENTS))
+def without(docs, gone, key="doc_id"):
+    """The documents whose keys are not among those of gone; a null key is nobody's. Only those that may be are joined."""
+    gone = written(gone.select(key).where(F.col(key).isNotNull()).distinct())
+    columns = docs.columns
+    docs = maybe_among(docs, key, gone)
+    unsure = docs.where("__may").join(gone, key, "left_anti")
+    return docs.where("not __may").select(*columns).unionByName(unsure.select(*columns))
 
 
 def keep_quality(spark, docs, sf_dir):
@@ -30,18 +31,22 @@ def keep_quality(spark, docs, sf_dir):
 
 def keep_one_of_each(spark, docs, sf_dir):
     """One row of each id, of rows that differ the one with the greatest text, so that a null text gives way; and of
-    these rows one of each group of near duplicates, the one with the smallest id."""
+    these rows one of each group of near duplicates, the one with the smallest id. Each row with a null id is a document
+    of its own, and gives way to its copies that have an id."""
+    docs = docs.select(*DOCUMENTS)
     again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"))
     if not again.isEmpty():
         rows = docs.join(again.select("doc_id"), "doc_id", "left_semi")
         once = written(rows.groupBy("doc_id").agg(F.max(F.struct(*DOCUMENTS[1:])).alias("row")).select("doc_id", "row.*"))
         docs = without(docs, again).unionByName(once)
-    return without(docs, ngrams.near_duplicates(docs).where("not kept"))
+    docs, _ = identified(docs)
+    return without(docs, ngrams.near_duplicates(docs, key="__id").where("not kept"), "__id").select(*DOCUMENTS)
 
 
 def drop_benchmark(spark, docs, sf_dir):
-    """Documents without a benchmark item or a near copy of one."""
-    return without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Documents without a benchmark item or a near copy of one; each row with a null id is a document of its own."""
+    docs, _ = identified(docs.select(*DOCUMENTS))
+    return without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__id"), "__id").select(*DOCUMENTS)
 
 
 def mask_secrets(spark, docs, sf_dir):

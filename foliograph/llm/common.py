@@ -49,6 +49,18 @@ def release(spark: SparkSession) -> None:
     drop(spark, [shared_dir(spark)])
 
 
+def identified(df: DataFrame, key: str = "doc_id", into: str = "__id") -> tuple[DataFrame, DataFrame | None]:
+    """df with `into`, the key or, for each row with a null key, a number of its own from 2^62 on; and these numbers, if any.
+
+    Rows with a null key are written first, so that each keeps its number however often the table is read.
+    """
+    unnamed = df.where(F.col(key).isNull())
+    if unnamed.isEmpty():
+        return df.withColumn(into, F.col(key).cast("long")), None
+    unnamed = written(unnamed.withColumn(into, F.lit(1 << 62).bitwiseOR(F.monotonically_increasing_id())))
+    return df.where(F.col(key).isNotNull()).withColumn(into, F.col(key).cast("long")).unionByName(unnamed), unnamed.select(into)
+
+
 def maybe_among(df: DataFrame, column: str, keys: DataFrame, into: str = "__may") -> DataFrame:
     """df with a flag that is true for every row whose column is in keys (one column of its name), and false for most others.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, maybe_among, written
+from .common import connected_components, identified, maybe_among, written
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 CACHE = 1 << 17
@@ -215,4 +215,10 @@ def near_duplicates(
 
 
 def op6_minhash_forest(spark, sf_dir):
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Each row with a null id is a document of its own; its ids are null where they would name such a document."""
+    docs, unnamed = identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = near_duplicates(docs, key="__id")
+    if unnamed is not None:
+        for c in ("__id", "class_id", "component_id"):
+            found = found.join(unnamed.select(F.col("__id").alias("__own")), F.col(c) == F.col("__own"), "left").withColumn(c, F.when(F.col("__own").isNull(), F.col(c))).drop("__own")
+    return found.select(F.col("__id").alias("doc_id"), "class_id", "n_links", "component_id", "kept")

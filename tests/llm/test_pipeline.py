@@ -73,6 +73,22 @@ def test_near_duplicates_are_judged_by_the_rows_that_stay(spark):
     assert got == [(1, a), (3, z)]
 
 
+def test_documents_without_an_id_are_compared_and_dropped(spark, tmp_path):
+    a, z, item = (" ".join(f"{c}{i}" for i in range(30)) for c in "azb")
+    rows = [(1, a), (None, a), (None, a + " more"), (None, z), (None, z), (None, item), (None, "x " + item), (None, None), (None, None), (2, None)]
+    docs = spark.createDataFrame([(*x, "en", "s", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = lambda df: sorted((r.doc_id or 0, (r.text or "").removeprefix("x ")) for r in df.collect())
+    once = corpus_pipeline.keep_one_of_each(spark, docs, None)
+    assert texts(once) == sorted([(1, a), (0, z), (0, item), (0, ""), (0, ""), (2, "")])
+    assert texts(corpus_pipeline.drop_benchmark(spark, once, str(tmp_path))) == sorted([(1, a), (0, z), (0, ""), (0, ""), (2, "")])
+    found = sorted(tuple(-1 if x is None else x for x in r) for r in queries.QUERIES["op6_minhash_forest"](spark, str(tmp_path)).collect())
+    none = [(-1, -1, 0, -1, True)] * 2
+    pairs = [(-1, -1, 1, -1, k) for k in (False, False, True, True)]
+    assert found == sorted([(1, 1, 2, 1, True), (-1, 1, 2, 1, False), (-1, -1, 2, 1, False), *pairs, *none, (2, 2, 0, 2, True)])
+
+
 def test_run_masks_and_encodes(spark, folder):
     tokens = bpe.read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
