@@ -3,7 +3,8 @@
 Pages of a host are ordered by URL path and each is paired with the neighbour that shares the longer path prefix. The
 text lines of the pair are aligned by longest common subsequence, and lines that both share are deleted as the site's
 own. Markup decides where it says more than a pair can: lines in menus, footers, adverts and their like are never main
-text, and lines within an article element are never deleted, as copies and quoted passages are shared, too.
+text, and lines within an article element are never deleted, as copies and quoted passages are shared, too. Where an
+article holds only a small part of a page's text, differencing decides on the plain lines beside it.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ WORDS = {
 OUTSIDE = {"header"}  # noise outside an article; inside it holds the title
 
 PLAIN, ARTICLE, SITE = 0, 1, 2
+TEASER = 0.2  # an article with less of the text is not the page's main text alone
 
 
 def opens(name: str, attributes: str, inside: bool) -> int:
@@ -132,12 +134,16 @@ def shared(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(texts: list[str], kinds: list[int], other: list[str] | None) -> str:
     """The lines of an article element if there is one; else the plain lines that the paired page doesn't share (all of
-    them if none are left, as of a copy). Lines are joined by one line feed."""
+    them if none are left, as of a copy). An article that is small beside such plain lines is a teaser: they stay with it.
+    Lines are joined by one line feed."""
     gone = shared(texts, other) if other else set()
-    if ARTICLE in kinds:
-        return "\n".join(t for t, k in zip(texts, kinds, strict=True) if k == ARTICLE)
     plain = [i for i, k in enumerate(kinds) if k == PLAIN]
-    return "\n".join(texts[i] for i in [i for i in plain if i not in gone] or plain)
+    own = [i for i in plain if i not in gone]
+    if ARTICLE in kinds:
+        article = [i for i, k in enumerate(kinds) if k == ARTICLE]
+        here, beside = (sum(len(texts[i]) for i in at) for at in (article, own))
+        return "\n".join(texts[i] for i in (sorted(article + own) if other and here < TEASER * (here + beside) else article))
+    return "\n".join(texts[i] for i in own or plain)
 
 
 def placed(df: DataFrame) -> DataFrame:

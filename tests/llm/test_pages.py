@@ -32,6 +32,13 @@ def test_shared_lines_go_outside_articles():
     assert text("<p>Site</p><article><p>same</p></article>", "<p>Site</p><article><p>same</p></article>") == "same"
 
 
+def test_a_teaser_is_not_the_whole_page():
+    page = "<div>Site</div><div>" + "body " * 40 + "</div><article>Read on</article><div>" + "more " * 40 + "</div><div>Bottom</div>"
+    other = "<div>Site</div><div>else</div><article>Read this</article><div>Bottom</div>"
+    assert text(page, other) == "\n".join([("body " * 40).strip(), "Read on", ("more " * 40).strip()])
+    assert text("<div>Site</div><article>" + "body " * 40 + "</article><p>note</p>", other) == ("body " * 40).strip()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=10), st.lists(st.sampled_from("abcd"), max_size=10))
 def test_longest_common_subsequence(a, b):
