@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact Jaccard similarity of word shingles decides.
+"""N-gram Jaccard join: banded MinHash LSH proposes, exact Jaccard similarity of word shingles decides.
 
-Each document has a signature of `trees` x `depth` minhashes. A tree orders the documents by their run of hashes, as a
-sorted prefix trie; two documents match there to the length of their common prefix. The join begins at the full depth
-and shortens the prefix that must match until the chance that a pair of just the threshold meets in some tree reaches
-the target. Documents that meet form clusters, and within a cluster all pairs are compared exactly.
+In place of a forest of sorted prefix tries, the depth at which one would stop is computed before a row is read: from
+`depth` hashes down, the prefix is shortened until the chance that a pair of just the threshold meets in some tree
+reaches the target. Each document has `trees` prefixes of that length, and documents meet where a prefix is equal.
+Documents that meet form clusters, and within a cluster all pairs are compared exactly.
 """
 
 from __future__ import annotations
