@@ -1,9 +1,10 @@
-"""N-gram Jaccard join: banded MinHash LSH proposes, exact Jaccard similarity of word shingles decides.
+"""N-gram Jaccard join: a MinHash LSH forest proposes, exact Jaccard similarity of word shingles decides.
 
-In place of a forest of sorted prefix tries, the depth at which one would stop is computed before a row is read: from
-`depth` hashes down, the prefix is shortened until the chance that a pair of just the threshold meets in some tree
-reaches the target. Each document has `trees` prefixes of that length, and documents meet where a prefix is equal.
-Documents that meet form clusters, and within a cluster all pairs are compared exactly.
+Each set of shingles has a code in each of 16 trees: the top bits of 8 minhashes, one after the other, in 64 bits. Sorted
+codes are the tree's prefix trie in depth-first order, and a node of depth k is the run of codes that share their first k
+levels. Two sets meet in the deepest node that holds both, in the first tree that has one so deep, and are compared there
+and nowhere else. The join descends from the full codes: prefixes are shortened level by level until the similarities
+found so far say that nearly all links are found, or until even a pair of just the threshold would have met.
 """
 
 from __future__ import annotations
@@ -16,11 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, identified, maybe_among, written
+from .common import connected_components, drop, identified, maybe_among, written
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 CACHE = 1 << 17
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a code that each level of the trie takes, the root's children first: 64 in all. Sets whose bits agree by chance
+#: are compared for nothing; none is lost by it.
+LEVELS = (12, 12, 12, 12, 4, 4, 4, 4)
+#: Bits that a code is shifted by to leave its first k levels, k = 0, 1, ..
+SHIFT = tuple(64 - sum(LEVELS[:k]) for k in range(len(LEVELS) + 1))
 
 
 class Shingler:
@@ -64,19 +70,22 @@ def set_hash(s: np.ndarray) -> np.int64:
     return mixed(s).sum(dtype=np.uint64).astype(np.int64)
 
 
-def forest_depth(threshold: float, trees: int, depth: int, target: float) -> int:
-    """The longest prefix, from `depth` down, at which a pair of similarity `threshold` meets in some tree with the chance target."""
-    for k in range(depth, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= target:
-            return k
-    return 1
+def met(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
+    """The chance that a pair of that similarity shares a prefix of `depth` levels in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
-def signatures(df: DataFrame, key: str, text: str, n: int, trees: int, depth: int, k: int) -> DataFrame:
-    """key, h1, h2 (of the shingle set; null without shingles), size, and the prefix of length k in each tree as one hash."""
-    # the hashes of a tree beyond the prefix would never be compared; a permutation is a product with an odd number and a sum
-    a, c = (mixed(np.arange(1, trees * depth + 1, dtype=np.uint64) * np.uint64(x)).reshape(trees, depth)[:, :k].ravel() for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
+def least_depth(threshold: float, trees: int, target: float) -> int:
+    """The longest prefix at which a pair of just the threshold meets in some tree with the chance `target`."""
+    return next((k for k in range(len(LEVELS), 1, -1) if met(threshold, k, trees) >= target), 1)
+
+
+def coded(df: DataFrame, key: str, text: str, n: int, trees: int) -> DataFrame:
+    """key, h1, h2 (of the shingle set; null without shingles), size, and the code in each tree."""
+    # a permutation is a product with an odd number and a sum
+    a, c = (mixed(np.arange(1, trees * len(LEVELS) + 1, dtype=np.uint64) * np.uint64(x)) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
     a |= np.uint64(1)
+    keep, up = (np.array(x, np.uint64) for x in ([64 - b for b in LEVELS], SHIFT[1:]))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
@@ -92,15 +101,60 @@ def signatures(df: DataFrame, key: str, text: str, n: int, trees: int, depth: in
                     h = s[i : i + 512, None] * a
                     h += c
                     np.minimum(low, h.min(axis=0), out=low)
-                trie = low.reshape(trees, k)
-                prefix = np.full(trees, k, np.uint64)
-                for i in range(k):
-                    prefix = mixed(prefix * ODD + trie[:, i])
-                out.append((int(set_hash(s)), int(set_hash(s ^ ODD)), len(s), prefix.astype(np.int64).tolist()))
+                codes = ((mixed(low).reshape(trees, len(LEVELS)) >> keep) << up).sum(axis=1, dtype=np.uint64)
+                out.append((int(set_hash(s)), int(set_hash(s ^ ODD)), len(s), codes.astype(np.int64).tolist()))
             cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int64()))], names=["key", "h1", "h2", "size", "prefixes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int64()))], names=["key", "h1", "h2", "size", "codes"])
+
+    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(sign, "key long, h1 long, h2 long, size int, codes array<long>")
+
+
+def forest_nodes(classes: DataFrame, trees: int, floor: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The tries' leaves with company at the floor: (tree, code, rep), sorted within tasks; and the nodes to compare: (k, tree, prefix, n).
+
+    Of nodes that hold the same sets, in whatever trees and depths, one stays: the deepest, of those the one in the first
+    tree. Nodes are counted by partial sums, and a node's leaves lie in one task, so little of this is exchanged.
+    """
+    leaves = classes.select("rep", F.posexplode("codes").alias("tree", "code")).withColumn("top", F.shiftrightunsigned("code", SHIFT[floor]))
+    company = leaves.groupBy("tree", "top").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    forest = written(leaves.join(company, ["tree", "top"]).select("tree", "code", "rep").sortWithinPartitions("tree", "code"), keep)
+    nodes = passed(forest, floor).groupBy("tree", "k", "prefix").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("s2")
+    )
+    one = F.max(F.struct("k", (-F.col("tree")).alias("t"), "prefix")).alias("x")
+    nodes = nodes.where("n > 1").groupBy("n", "s1", "s2").agg(one).select("x.k", (-F.col("x.t")).alias("tree"), "x.prefix", "n")
+    return forest, written(nodes, keep)
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(sign, "key long, h1 long, h2 long, size int, prefixes array<long>")
+
+def passed(forest: DataFrame, floor: int) -> DataFrame:
+    """tree, rep, k, prefix: the nodes that each leaf lies under, down from the floor."""
+    nodes = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("code", SHIFT[k]).alias("prefix")) for k in range(floor, len(LEVELS) + 1)))
+    return forest.select("tree", "rep", F.explode(nodes).alias("x")).select("tree", "rep", "x.k", "x.prefix")
+
+
+def fresh(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, tree: int, threshold: float) -> np.ndarray:
+    """Which pairs of rows of a and b, both in a node of depth k, meet in no deeper node and in none so deep of a tree before,
+    and may reach the threshold by their sizes."""
+    new = np.minimum(a["size"][:, None], b["size"][None, :]) >= threshold * np.maximum(a["size"][:, None], b["size"][None, :]) - 1e-9
+    for t in range(a["codes"].shape[1]):
+        if (deep := k if t < tree else k + 1) <= len(LEVELS):
+            s = np.uint64(SHIFT[deep])
+            new &= (a["codes"][:, t] >> s)[:, None] != (b["codes"][:, t] >> s)[None, :]
+    return new
+
+
+def columns(g: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {"size": g["size"].to_numpy(np.float64), "codes": np.vstack(g["codes"].to_list()).astype(np.int64).view(np.uint64)}
+
+
+def blocked(rows: DataFrame, sizes: DataFrame, units: int) -> DataFrame:
+    """rows of nodes (k, tree, prefix, rep, ..) dealt to units: a node with one block to a unit with others, one of several
+    blocks in all pairs of blocks. sizes: the nodes with `blocks`."""
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = rows.join(sizes, ["k", "tree", "prefix"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    node = F.xxhash64("k", "tree", "prefix")
+    unit = F.when(F.col("blocks") == 1, F.pmod(node, F.lit(units))).otherwise(node)
+    return dealt.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other"), "unit": unit}).drop("other", "blocks")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None, columns: int = 1 << 11) -> np.ndarray:
@@ -137,9 +191,21 @@ def links_of(near: np.ndarray, same: bool, weights: np.ndarray, n: int) -> tuple
         root = new
 
 
+def shared_by(x: list[np.ndarray], y: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of wanted pairs (0 for others): one by one if they are few, else all by products."""
+    if wanted.sum() * 16 >= wanted.size:
+        return overlaps(x, y)
+    out = np.zeros(wanted.shape, np.float32)
+    for i, j in np.argwhere(wanted):
+        a, b = (x[i], y[j]) if len(x[i]) <= len(y[j]) else (y[j], x[i])
+        at = np.searchsorted(b, a)
+        out[i, j] = (b[np.minimum(at, len(b) - 1)] == a).sum()
+    return out
+
+
 def near_duplicates(
-    df: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, n: int = 5, trees: int = 16, depth: int = 8, target: float = 0.9995,
-    unit: int = 1 << 20, members: int = 1024,
+    df: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, n: int = 5, trees: int = 16, recall: float = 0.99999, target: float = 0.9995,
+    unit: int = 1 << 20, members: int = 1024, told: list | None = None,
 ) -> DataFrame:
     """One row per distinct key: key, class_id, n_links, component_id, kept, for links of Jaccard similarity >= threshold.
 
@@ -149,64 +215,124 @@ def near_duplicates(
     with different texts the one whose shingles hash lowest counts, one without words only if there is no other. Null keys are left out. An empty table gives an
     empty result. Other columns are not read.
 
-    Copies are one class before anything is compared. Clusters of more than `members` classes, or more than `unit`
-    shingles, are compared in pairs of blocks; small ones share tasks of about `unit` shingles. Tasks return counts and
-    a root for each class, never pairs, so a hot class or a dense group doesn't widen the output, and nothing is capped.
-    A link is missed only if its pair meets in no tree and no chain of met pairs joins it: at the threshold with a chance
-    below 1 - target, and less above it.
+    Copies are one class before anything is compared. Prefixes are shortened from full codes until, by the similarities
+    of the links found, a share `recall` of all links is found: a link of similarity s counts once and stands for the
+    1 / met(s) - 1 that the depth misses. They are never shortened below the depth at which a pair of just the threshold
+    meets with the chance `target`. A pair is compared once, and rows that have no pair left in a node are not sent there.
+    Nodes of more than `members` classes, or more than `unit` shingles, are compared in pairs of blocks; small ones share
+    tasks of about `unit` shingles. Tasks return counts and a root for each class, never pairs, so a hot class or a dense
+    group doesn't widen the output, and nothing is capped. told, if given, collects (depth, links found, links missed by
+    the estimate) of each round.
     """
-    k = forest_depth(threshold, trees, depth, target)
-    signed = signatures(df.where(F.col(key).isNotNull()), key, text, n, trees, depth, k)
-    one = F.min(F.struct(F.col("h1").isNull().alias("bare"), "h1", "h2", "size", "prefixes")).alias("s")
-    signed = written(signed.groupBy("key").agg(one).select("key", "s.h1", "s.h2", "s.size", "s.prefixes"))
-    first = F.min(F.struct(F.col("key").alias("rep"), "size", "prefixes")).alias("s")
+    depth, floor = len(LEVELS), least_depth(threshold, trees, target)
+    old: list[str] = []
+    signed = coded(df.where(F.col(key).isNotNull()), key, text, n, trees)
+    one = F.min(F.struct(F.col("h1").isNull().alias("bare"), "h1", "h2", "size", "codes")).alias("s")
+    signed = written(signed.groupBy("key").agg(one).select("key", "s.h1", "s.h2", "s.size", "s.codes"))
+    first = F.min(F.struct(F.col("key").alias("rep"), "size", "codes")).alias("s")
     classes = written(signed.where("h1 is not null").groupBy("h1", "h2").agg(first, F.count("*").alias("copies")).select("h1", "h2", "copies", "s.*"))
-    buckets = classes.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
-    heads = buckets.groupBy("tree", "prefix").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = connected_components(buckets.join(heads, ["tree", "prefix"]).select(F.col("rep").alias("a"), F.col("head").alias("b")))
-    found = written(met.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "h1", "copies", "size"), "rep"))
-    blocks = F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("size") / unit)).cast("int").alias("blocks")
-    clusters = found.groupBy("cluster").agg(blocks, F.sum("size").alias("total"))
-    units = 4 * (clusters.agg(F.ceil(F.sum("total") / unit)).first()[0] or 0) + 1
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = found.join(clusters, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "rep", "h1", "cluster", "copies", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(units))).otherwise(F.xxhash64("cluster")).alias("unit"),
+
+    forest, nodes = forest_nodes(classes, trees, floor, old)
+    sizes = nodes.select("k", "tree", "prefix", F.ceil(F.col("n") / members).cast("int").alias("blocks"))
+    inside = passed(forest, floor).join(nodes.select("k", "tree", "prefix"), ["k", "tree", "prefix"])
+    inside = inside.join(classes.select("rep", "size", "codes"), "rep")
+    units = (nodes.agg(F.sum("n")).first()[0] or 0) // 4096 + 1
+
+    def unmet(g: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"k": [], "tree": [], "prefix": [], "rep": []}, dtype=np.int64)]
+        for (k, tree, _, b1, b2), c in g.groupby(["k", "tree", "prefix", "b1", "b2"], sort=False):
+            a, b = (c, c) if b1 == b2 else (c[c["own"] == b1], c[c["own"] == b2])
+            if len(a) and len(b):
+                new = fresh(columns(a), columns(b), k, tree, threshold)
+                if b1 == b2:
+                    np.fill_diagonal(new, False)
+                left = [a[new.any(axis=1)]] + ([] if b1 == b2 else [b[new.any(axis=0)]])
+                out += [x[["k", "tree", "prefix", "rep"]] for x in left]
+        return pd.concat(out)
+
+    places = "k int, tree int, prefix long, rep long"
+    open_ = blocked(inside, sizes, units).groupBy("unit", "b1", "b2").applyInPandas(lambda g: unmet(g), places)
+    open_ = written(open_.distinct(), old)
+
+    wanted = classes.join(open_.select("rep").distinct(), "rep", "left_semi").select("rep", "h1", "copies", "size", "codes")
+    wanted = written(wanted, old)
+    texts = maybe_among(df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")), "rep", wanted.select("rep")).where("__may").drop("__may")
+    kinds = "rep long, copies long, size int, codes array<long>, shingles binary"
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingler(n)
+        for b in batches:
+            sets = [shingles(t) for t in b["text"]]
+            own = [len(s) > 0 and int(set_hash(s)) == h for s, h in zip(sets, b["h1"], strict=True)]
+            b = b.assign(shingles=[s.tobytes() for s in sets])[own]
+            yield b[["rep", "copies", "size", "codes", "shingles"]]
+
+    sets = written(wanted.join(texts, "rep").mapInPandas(shingled, kinds).dropDuplicates(["rep"]), old)
+    sizes = open_.join(sets.select("rep", "size"), "rep").groupBy("k", "tree", "prefix").agg(
+        F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("size") / unit)).cast("int").alias("blocks"), F.sum("size").alias("total")
     )
-    texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
+    sizes = written(sizes, old)
+    totals = dict(sizes.groupBy("k").agg(F.sum("total")).collect())  # a row a depth
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        shingles = Shingler(n)
         out = [pd.DataFrame({"rep": [], "links": [], "root": []}, dtype=np.int64)]
-        for (_, b1, b2), c in g.groupby(["cluster", "b1", "b2"], sort=False):
-            sets = {}
-            for rep, h1, t in zip(c["rep"], c["h1"], c["text"], strict=True):
-                if rep not in sets and int(set_hash(s := shingles(t))) == h1:
-                    sets[rep] = s
-            c = c.drop_duplicates("rep")
-            a, b = c[c["own"] == b1], c[c["own"] == b2]
+        found, missed = 0, np.zeros(depth + 1)
+        for (k, tree, _, b1, b2), c in g.groupby(["k", "tree", "prefix", "b1", "b2"], sort=False):
             same = b1 == b2
-            x, y = [sets[r] for r in a["rep"]], [sets[r] for r in b["rep"]]
-            if not x or not y:
+            a, b = (c, c) if same else (c[c["own"] == b1], c[c["own"] == b2])
+            if not len(a) or not len(b):
                 continue
-            both = overlaps(x, None if same else y)
-            nx, ny = (np.array([len(s) for s in z], np.float64) for z in (x, y))
-            near = both >= threshold * (nx[:, None] + ny[None, :] - both) - 1e-9
+            new = fresh(columns(a), columns(b), k, tree, threshold)
             if same:
-                np.fill_diagonal(near, False)
+                np.fill_diagonal(new, False)
+            i, j = new.any(axis=1), new.any(axis=0)
+            if not i.any():
+                continue
+            a, b, new = a[i], b[j], new[np.ix_(i, j)]  # of one block, i and j are the same
+            x, y = ([np.frombuffer(s, np.uint64) for s in z["shingles"]] for z in (a, b))
+            both = shared_by(x, y, np.triu(new) if same else new)
+            if same:
+                both = np.maximum(both, both.T)
+            nx, ny = a["size"].to_numpy(np.float64), b["size"].to_numpy(np.float64)
+            either = nx[:, None] + ny[None, :] - both
+            near = new & (both >= threshold * either - 1e-9)
+            s = (both / either)[np.triu(near) if same else near]
+            found += len(s)
+            missed += [0.0] + [float((1 / met(s, d, trees) - 1).sum()) for d in range(1, depth + 1)]
             rows = a if same else pd.concat([a, b])
             links, root = links_of(near, same, rows["copies"].to_numpy(), len(a))
             keys = rows["rep"].to_numpy()
             linked = pd.DataFrame({"rep": keys, "links": links.astype(np.int64), "root": keys[root]})
             out.append(linked[linked["links"] > 0])
-        return pd.concat(out)
-
-    texts = maybe_among(texts, "rep", found.select("rep")).where("__may").drop("__may")
-    near = written(dealt.join(texts, "rep").groupBy("unit", "b1", "b2").applyInPandas(lambda g: compare(g), "rep long, links long, root long"))
-    counts = near.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(near.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    known = classes.select("h1", "h2", "rep", "copies").join(counts, "rep", "left").join(parts, "rep", "left").where("copies > 1 or links is not null")
+        return pd.concat([pd.concat(out).assign(found=0, missed=[None] * sum(map(len, out))), pd.DataFrame({"rep": [-1], "links": [0], "root": [-1], "found": [found], "missed": [missed.tolist()]})])
+
+    rounds, counted = [], 0
+    lost = np.zeros(depth + 1)
+    for k in range(depth, floor - 1, -1):
+        if k in totals:
+            at = blocked(open_.where(F.col("k") == k), sizes.where(F.col("k") == k).drop("total"), 4 * totals[k] // unit + 1).join(sets, "rep")
+            rounds.append(written(at.groupBy("unit", "b1", "b2").applyInPandas(lambda g: compare(g), "rep long, links long, root long, found long, missed array<double>")))
+            sums = rounds[-1].where("missed is not null").agg(F.sum("found"), *(F.sum(F.get("missed", F.lit(d))) for d in range(depth + 1))).first()
+            counted += sums[0] or 0
+            lost += [x or 0.0 for x in sums[1:]]
+        if told is not None:
+            told.append((k, counted, float(lost[k])))
+        if counted and lost[k] <= (1 - recall) * (counted + lost[k]):
+            break
+    drop(df.sparkSession, old)
+
+    known = classes.select("h1", "h2", "rep", "copies")
+    if rounds:
+        near = rounds[0]
+        for x in rounds[1:]:
+            near = near.unionByName(x)
+        near = near.where("missed is null")
+        counts = near.groupBy("rep").agg(F.sum("links").alias("links"))
+        parts = connected_components(near.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+        known = known.join(counts, "rep", "left").join(parts, "rep", "left")
+    else:
+        known = known.withColumns({"links": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
+    known = known.where("copies > 1 or links is not null")
     least = F.coalesce("component", "rep", "key")
     return signed.select("key", "h1", "h2").join(known, ["h1", "h2"], "left").select(
         F.col("key").alias(key), F.coalesce("rep", "key").alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),

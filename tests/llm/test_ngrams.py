@@ -79,7 +79,7 @@ def test_empty_table_and_clashing_names(spark):
 
 
 def test_prefix_reaches_the_target_recall():
-    k = ngrams.forest_depth(0.8, 16, 8, 0.9995)
+    k = ngrams.least_depth(0.8, 16, 0.9995)
     assert 1 - (1 - 0.8**k) ** 16 >= 0.9995 > 1 - (1 - 0.8 ** (k + 1)) ** 16
 
 
@@ -93,3 +93,33 @@ def test_null_and_empty_rows_of_a_key_give_way_to_its_text(spark):
     rows = [(1, "a b c d e f g"), (2, None), (2, "a b c d e f g"), (3, ""), (3, "a b c d e f g"), (4, None), (4, "?")]
     want = [(1, 1, 2, 1, True), (2, 1, 2, 1, False), (3, 1, 2, 1, False), (4, 4, 0, 4, True)]
     assert result(ngrams.near_duplicates(spark.createDataFrame(rows, DOCS))) == want
+
+
+def test_prefixes_are_shortened_until_the_links_found_say_that_nearly_all_are(spark):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(400)] for _ in range(40)]
+    close = [(2 * i + j, " ".join(b + ["x"] * j)) for i, b in enumerate(base) for j in (0, 1)]  # one shingle apart
+    far = close + [(1000 + i, " ".join(b[:330])) for i, b in enumerate(base)]  # near the threshold
+    depths = {}
+    for name, rows in (("close", close), ("far", far)):
+        told = []
+        got = result(ngrams.near_duplicates(spark.createDataFrame(rows, DOCS), told=told))
+        depths[name] = [k for k, _, _ in told]
+        assert got == brute(rows) and sum(r[2] for r in got) == 2 * told[-1][1]  # each link is found once
+    assert depths["close"] == [8] and depths["far"] == [8, 7, 6, 5, 4]
+
+
+def test_a_pair_is_fresh_in_one_node_only():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    codes = rng.integers(0, 1 << 63, (1, 4)).astype(np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (60, 4)).astype(np.uint64))
+    rows = {"size": np.full(60, 9.0), "codes": codes}
+    met = np.zeros((60, 60), int)
+    for k in range(8, 0, -1):
+        for t in range(4):
+            prefix = codes[:, t] >> np.uint64(ngrams.SHIFT[k])
+            met += (prefix[:, None] == prefix[None, :]) & ngrams.fresh(rows, rows, k, t, 0.8)
+    np.fill_diagonal(met, 1)
+    top = (codes >> np.uint64(ngrams.SHIFT[1]))
+    assert (met == np.where(np.eye(60, dtype=bool), 1, (top[:, None, :] == top[None, :, :]).any(axis=2))).all()
