@@ -117,6 +117,8 @@ def forest_nodes(classes: DataFrame, trees: int, floor: int, keep: list[str]) ->
     """
     leaves = classes.select("rep", F.posexplode("codes").alias("tree", "code")).withColumn("top", F.shiftrightunsigned("code", SHIFT[floor]))
     company = leaves.groupBy("tree", "top").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    sibling = company.select(F.xxhash64("tree", "top").alias("at"))
+    leaves = maybe_among(leaves.withColumn("at", F.xxhash64("tree", "top")), "at", sibling).where("__may").drop("at", "__may")
     forest = written(leaves.join(company, ["tree", "top"]).select("tree", "code", "rep").sortWithinPartitions("tree", "code"), keep)
     nodes = passed(forest, floor).groupBy("tree", "k", "prefix").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("s2")
@@ -132,19 +134,32 @@ def passed(forest: DataFrame, floor: int) -> DataFrame:
     return forest.select("tree", "rep", F.explode(nodes).alias("x")).select("tree", "rep", "x.k", "x.prefix")
 
 
-def fresh(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, tree: int, threshold: float) -> np.ndarray:
-    """Which pairs of rows of a and b, both in a node of depth k, meet in no deeper node and in none so deep of a tree before,
-    and may reach the threshold by their sizes."""
-    new = np.minimum(a["size"][:, None], b["size"][None, :]) >= threshold * np.maximum(a["size"][:, None], b["size"][None, :]) - 1e-9
-    for t in range(a["codes"].shape[1]):
+def fresh(size: np.ndarray, codes: np.ndarray, a: slice, b: slice, k: int, tree: int, threshold: float) -> np.ndarray:
+    """Which pairs of rows in a and in b, both in a node of depth k, meet in no deeper node and in none so deep of a tree
+    before, and may reach the threshold by their sizes."""
+    new = np.minimum(size[a, None], size[None, b]) >= threshold * np.maximum(size[a, None], size[None, b]) - 1e-9
+    for t in range(codes.shape[1]):
         if (deep := k if t < tree else k + 1) <= len(LEVELS):
             s = np.uint64(SHIFT[deep])
-            new &= (a["codes"][:, t] >> s)[:, None] != (b["codes"][:, t] >> s)[None, :]
+            new &= (codes[a, t] >> s)[:, None] != (codes[b, t] >> s)[None, :]
+    if a == b:
+        np.fill_diagonal(new, False)
     return new
 
 
-def columns(g: pd.DataFrame) -> dict[str, np.ndarray]:
-    return {"size": g["size"].to_numpy(np.float64), "codes": np.vstack(g["codes"].to_list()).astype(np.int64).view(np.uint64)}
+def by_node(g: pd.DataFrame) -> tuple[dict[str, np.ndarray], list[tuple[slice, slice]]]:
+    """A unit's columns ordered by node, and for each node the rows of its two blocks (the same rows twice if it is one block)."""
+    order = np.lexsort([g[c].to_numpy() for c in ("own", "prefix", "tree", "k")])
+    at = {c: g[c].to_numpy()[order] for c in g.columns if c != "codes"}
+    at["codes"] = np.vstack(g["codes"].to_list()).astype(np.int64).view(np.uint64)[order]
+    at["size"] = at["size"].astype(np.float64)
+    new = (np.diff(at["prefix"]) != 0) | (np.diff(at["tree"]) != 0) | (np.diff(at["k"]) != 0)
+    ends = [0, *(np.flatnonzero(new) + 1), len(g)]
+    blocks = []
+    for i, j in zip(ends, ends[1:]):
+        cut = i + int(np.searchsorted(at["own"][i:j], at["b2"][i]))
+        blocks.append((slice(i, j), slice(i, j)) if at["b1"][i] == at["b2"][i] else (slice(i, cut), slice(cut, j)))
+    return at, blocks
 
 
 def blocked(rows: DataFrame, sizes: DataFrame, units: int) -> DataFrame:
@@ -193,7 +208,7 @@ def links_of(near: np.ndarray, same: bool, weights: np.ndarray, n: int) -> tuple
 
 def shared_by(x: list[np.ndarray], y: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of wanted pairs (0 for others): one by one if they are few, else all by products."""
-    if wanted.sum() * 16 >= wanted.size:
+    if wanted.sum() > max(32, wanted.size // 16):
         return overlaps(x, y)
     out = np.zeros(wanted.shape, np.float32)
     for i, j in np.argwhere(wanted):
@@ -228,8 +243,8 @@ def near_duplicates(
     old: list[str] = []
     signed = coded(df.where(F.col(key).isNotNull()), key, text, n, trees)
     one = F.min(F.struct(F.col("h1").isNull().alias("bare"), "h1", "h2", "size", "codes")).alias("s")
-    signed = written(signed.groupBy("key").agg(one).select("key", "s.h1", "s.h2", "s.size", "s.codes"))
-    first = F.min(F.struct(F.col("key").alias("rep"), "size", "codes")).alias("s")
+    signed = written(signed.groupBy("key").agg(one, F.count("*").alias("times")).select("key", "s.h1", "s.h2", "s.size", "s.codes", "times"))
+    first = F.min(F.struct(F.col("key").alias("rep"), "size", "codes", "times")).alias("s")
     classes = written(signed.where("h1 is not null").groupBy("h1", "h2").agg(first, F.count("*").alias("copies")).select("h1", "h2", "copies", "s.*"))
 
     forest, nodes = forest_nodes(classes, trees, floor, old)
@@ -239,22 +254,20 @@ def near_duplicates(
     units = (nodes.agg(F.sum("n")).first()[0] or 0) // 4096 + 1
 
     def unmet(g: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"k": [], "tree": [], "prefix": [], "rep": []}, dtype=np.int64)]
-        for (k, tree, _, b1, b2), c in g.groupby(["k", "tree", "prefix", "b1", "b2"], sort=False):
-            a, b = (c, c) if b1 == b2 else (c[c["own"] == b1], c[c["own"] == b2])
-            if len(a) and len(b):
-                new = fresh(columns(a), columns(b), k, tree, threshold)
-                if b1 == b2:
-                    np.fill_diagonal(new, False)
-                left = [a[new.any(axis=1)]] + ([] if b1 == b2 else [b[new.any(axis=0)]])
-                out += [x[["k", "tree", "prefix", "rep"]] for x in left]
-        return pd.concat(out)
+        at, blocks = by_node(g)
+        left = np.zeros(len(g), bool)
+        for a, b in blocks:
+            new = fresh(at["size"], at["codes"], a, b, int(at["k"][a.start]), int(at["tree"][a.start]), threshold) if a.stop > a.start and b.stop > b.start else np.zeros((1, 1), bool)
+            if new.any():
+                left[a] |= new.any(axis=1)
+                left[b] |= new.any(axis=0)
+        return pd.DataFrame({c: at[c][left] for c in ("k", "tree", "prefix", "rep")})
 
     places = "k int, tree int, prefix long, rep long"
-    open_ = blocked(inside, sizes, units).groupBy("unit", "b1", "b2").applyInPandas(lambda g: unmet(g), places)
+    open_ = blocked(inside, sizes, units).select("k", "tree", "prefix", "rep", "size", "codes", "own", "b1", "b2", "unit").groupBy("unit", "b1", "b2").applyInPandas(lambda g: unmet(g), places)
     open_ = written(open_.distinct(), old)
 
-    wanted = classes.join(open_.select("rep").distinct(), "rep", "left_semi").select("rep", "h1", "copies", "size", "codes")
+    wanted = classes.join(open_.select("rep").distinct(), "rep", "left_semi").select("rep", "h1", "copies", "size", "codes", "times")
     wanted = written(wanted, old)
     texts = maybe_among(df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")), "rep", wanted.select("rep")).where("__may").drop("__may")
     kinds = "rep long, copies long, size int, codes array<long>, shingles binary"
@@ -267,7 +280,10 @@ def near_duplicates(
             b = b.assign(shingles=[s.tobytes() for s in sets])[own]
             yield b[["rep", "copies", "size", "codes", "shingles"]]
 
-    sets = written(wanted.join(texts, "rep").mapInPandas(shingled, kinds).dropDuplicates(["rep"]), old)
+    sets = wanted.join(texts, "rep").mapInPandas(shingled, kinds)
+    if not wanted.where("times > 1").isEmpty():  # keys with several rows, some of which may have the same text
+        sets = sets.dropDuplicates(["rep"])
+    sets = written(sets, old)
     sizes = open_.join(sets.select("rep", "size"), "rep").groupBy("k", "tree", "prefix").agg(
         F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("size") / unit)).cast("int").alias("blocks"), F.sum("size").alias("total")
     )
@@ -275,42 +291,44 @@ def near_duplicates(
     totals = dict(sizes.groupBy("k").agg(F.sum("total")).collect())  # a row a depth
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"rep": [], "links": [], "root": []}, dtype=np.int64)]
-        found, missed = 0, np.zeros(depth + 1)
-        for (k, tree, _, b1, b2), c in g.groupby(["k", "tree", "prefix", "b1", "b2"], sort=False):
-            same = b1 == b2
-            a, b = (c, c) if same else (c[c["own"] == b1], c[c["own"] == b2])
-            if not len(a) or not len(b):
+        at, blocks = by_node(g)
+        out: list[tuple[np.ndarray, ...]] = []
+        similar = [np.zeros(0)]
+        for a, b in blocks:
+            if a.stop == a.start or b.stop == b.start:
                 continue
-            new = fresh(columns(a), columns(b), k, tree, threshold)
-            if same:
-                np.fill_diagonal(new, False)
-            i, j = new.any(axis=1), new.any(axis=0)
-            if not i.any():
+            new = fresh(at["size"], at["codes"], a, b, int(at["k"][a.start]), int(at["tree"][a.start]), threshold)
+            i, j = (np.flatnonzero(new.any(axis=x)) for x in (1, 0))
+            if not len(i):
                 continue
-            a, b, new = a[i], b[j], new[np.ix_(i, j)]  # of one block, i and j are the same
-            x, y = ([np.frombuffer(s, np.uint64) for s in z["shingles"]] for z in (a, b))
+            same, new = a == b, new[np.ix_(i, j)]  # of one block, i and j are the same
+            i, j = i + a.start, j + b.start
+            x, y = ([np.frombuffer(s, np.uint64) for s in at["shingles"][r]] for r in (i, j))
             both = shared_by(x, y, np.triu(new) if same else new)
             if same:
                 both = np.maximum(both, both.T)
-            nx, ny = a["size"].to_numpy(np.float64), b["size"].to_numpy(np.float64)
-            either = nx[:, None] + ny[None, :] - both
+            either = at["size"][i, None] + at["size"][None, j] - both
             near = new & (both >= threshold * either - 1e-9)
-            s = (both / either)[np.triu(near) if same else near]
-            found += len(s)
-            missed += [0.0] + [float((1 / met(s, d, trees) - 1).sum()) for d in range(1, depth + 1)]
-            rows = a if same else pd.concat([a, b])
-            links, root = links_of(near, same, rows["copies"].to_numpy(), len(a))
-            keys = rows["rep"].to_numpy()
-            linked = pd.DataFrame({"rep": keys, "links": links.astype(np.int64), "root": keys[root]})
-            out.append(linked[linked["links"] > 0])
-        return pd.concat([pd.concat(out).assign(found=0, missed=[None] * sum(map(len, out))), pd.DataFrame({"rep": [-1], "links": [0], "root": [-1], "found": [found], "missed": [missed.tolist()]})])
+            if not near.any():
+                continue
+            similar.append((both / either)[np.triu(near) if same else near])
+            rows = i if same else np.concatenate([i, j])
+            links, root = links_of(near, same, at["copies"][rows], len(i))
+            keys, linked = at["rep"][rows], links > 0
+            out.append((keys[linked], links[linked].astype(np.int64), keys[root][linked]))
+        s = np.concatenate(similar)
+        missed = [0.0] + [float((1 / met(s, d, trees) - 1).sum()) for d in range(1, depth + 1)]
+        rep, links, root = (np.concatenate([o[c] for o in out] or [np.zeros(0, np.int64)]) for c in range(3))
+        own = pd.DataFrame({"rep": rep, "links": links, "root": root}).assign(found=0, missed=None)
+        return pd.concat([own, pd.DataFrame({"rep": [-1], "links": [0], "root": [-1], "found": [len(s)], "missed": [missed]})])
 
     rounds, counted = [], 0
     lost = np.zeros(depth + 1)
     for k in range(depth, floor - 1, -1):
         if k in totals:
-            at = blocked(open_.where(F.col("k") == k), sizes.where(F.col("k") == k).drop("total"), 4 * totals[k] // unit + 1).join(sets, "rep")
+            here = open_.where(F.col("k") == k)
+            some = maybe_among(sets, "rep", here.select("rep")).where("__may").drop("__may")
+            at = blocked(here, sizes.where(F.col("k") == k).drop("total"), 4 * totals[k] // unit + 1).join(some, "rep")
             rounds.append(written(at.groupBy("unit", "b1", "b2").applyInPandas(lambda g: compare(g), "rep long, links long, root long, found long, missed array<double>")))
             sums = rounds[-1].where("missed is not null").agg(F.sum("found"), *(F.sum(F.get("missed", F.lit(d))) for d in range(depth + 1))).first()
             counted += sums[0] or 0

@@ -114,12 +114,12 @@ def test_a_pair_is_fresh_in_one_node_only():
 
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 1 << 63, (1, 4)).astype(np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (60, 4)).astype(np.uint64))
-    rows = {"size": np.full(60, 9.0), "codes": codes}
+    size, every = np.full(60, 9.0), slice(0, 60)
     met = np.zeros((60, 60), int)
     for k in range(8, 0, -1):
         for t in range(4):
             prefix = codes[:, t] >> np.uint64(ngrams.SHIFT[k])
-            met += (prefix[:, None] == prefix[None, :]) & ngrams.fresh(rows, rows, k, t, 0.8)
+            met += (prefix[:, None] == prefix[None, :]) & ngrams.fresh(size, codes, every, every, k, t, 0.8)
     np.fill_diagonal(met, 1)
     top = (codes >> np.uint64(ngrams.SHIFT[1]))
     assert (met == np.where(np.eye(60, dtype=bool), 1, (top[:, None, :] == top[None, :, :]).any(axis=2))).all()
