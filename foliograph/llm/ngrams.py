@@ -29,25 +29,33 @@ LEVELS = (12, 12, 12, 12, 4, 4, 4, 4)
 SHIFT = tuple(64 - sum(LEVELS[:k]) for k in range(len(LEVELS) + 1))
 
 
+class Hashes(dict):
+    """Words to their hashes, made when first asked for."""
+
+    def __init__(self):
+        import xxhash
+
+        self.hash = xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        self[word] = h = self.hash(word)
+        return h
+
+
 class Shingler:
     """Word shingles of a text as sorted distinct 64-bit hashes. Words are runs of letters, marks and digits in lower
     case. A text of fewer than n words has one shingle, of all its words; one without words has none."""
 
     def __init__(self, n: int):
         import regex
-        import xxhash
 
-        self.n, self.cache = n, {}
-        self.split, self.hash = regex.compile(WORD).findall, xxhash.xxh3_64_intdigest
+        self.n, self.hashes, self.split = n, Hashes(), regex.compile(WORD).findall
 
     def words(self, text: str | None) -> np.ndarray:
-        found, cache = self.split((text or "").lower()), self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        for w in set(found):
-            if w not in cache:
-                cache[w] = self.hash(w)
-        return np.array([cache[w] for w in found], np.uint64)
+        found = self.split((text or "").lower())
+        return np.fromiter(map(self.hashes.__getitem__, found), np.uint64, len(found))
 
     def __call__(self, text: str | None) -> np.ndarray:
         w = self.words(text)
@@ -56,8 +64,8 @@ class Shingler:
         n = min(self.n, len(w))
         h = np.full(len(w) - n + 1, n, np.uint64)
         for i in range(n):
-            h = mixed(h * ODD + w[i : len(w) - n + 1 + i])
-        return np.unique(h)
+            h = h * ODD + w[i : len(w) - n + 1 + i]
+        return np.unique(mixed(h))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
