@@ -14,9 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; one of our own only where it is unset, as in tests."""
+    """The shared folder that spark.checkpoint.dir names. Where it is unset, a folder of our own if Spark runs in this
+    process alone, as in tests; on a cluster that is an error, as executors don't share a machine's folders."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         named = tempfile.mkdtemp(prefix="foliograph-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/foliograph-{spark.sparkContext.applicationId}"
@@ -76,36 +79,55 @@ def maybe_among(df: DataFrame, column: str, keys: DataFrame, into: str = "__may"
     return found.withColumn(into, F.coalesce(hit, F.lit(False))).drop("__piece", "__bits")
 
 
+def hot(counted: DataFrame, key: str, n: str, total: int, parts: int = 4096) -> list:
+    """The keys with more than a parts-th of all rows (and 256): parts of them at most. counted: a row a key."""
+    return [k for (k,) in counted.where(F.col(n) > max(256, total // parts)).select(key).collect()]
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, keys: list) -> DataFrame:
+    """rows left-joined with table, which has one row a key. Rows of the hot keys stay where they are and get theirs by
+    broadcast, so that none of these keys is a task's work."""
+    if not keys:
+        return rows.join(table, key, "left")
+    among = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    return rows.where(~among).join(table.where(~among), key, "left").unionByName(rows.where(among).join(F.broadcast(table.where(among)), key, "left"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (node, component), component the smallest node that links reach.
 
     Contraction in a new random order each round: every node moves to the first of itself and its neighbours in that
     order, edges are relabelled, and loops fall away. A round leaves two thirds of the nodes or fewer on average, stars
-    take two or three rounds, and no neighbourhood is ever gathered: min() combines on the map side. Nulls and loops
-    link nothing; an empty input gives an empty result.
+    take two or three rounds, and no neighbourhood is ever gathered: min() combines on the map side, and nodes with very
+    many edges, or that very many have moved to, are looked up by broadcast. Nulls and loops link nothing; an empty input
+    gives an empty result.
     """
     spark = edges.sparkSession
     old: list[str] = []
     e = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), old)
     labels, turn = None, 0
-    while not e.isEmpty():
+    while n := e.count():
         turn += 1
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("n"))
         both = e.select("a", order("b").alias("o")).unionByName(e.select(F.col("b").alias("a"), order("a").alias("o")))
-        first = both.groupBy("a").agg(F.min("o").alias("o")).select("a", F.least("o", order("a"))["n"].alias("to"))
+        first = both.groupBy("a").agg(F.min("o").alias("o"), F.count("*").alias("degree")).select("a", F.least("o", order("a"))["n"].alias("to"), "degree")
         fresh: list[str] = []
         first = written(first, fresh)
+        hubs = hot(first, "a", "degree", n)
+        first = first.drop("degree")
         if labels is None:
             labels = written(first.select(F.col("a").alias("node"), F.col("to").alias("at")), fresh)
         else:
-            moved = labels.join(first.withColumnRenamed("a", "at"), "at", "left")
+            full = hot(labels.groupBy("at").agg(F.count("*").alias("n")), "at", "n", labels.count())
+            moved = look_up(labels, first.withColumnRenamed("a", "at"), "at", full)
             labels = written(moved.select("node", F.coalesce("to", "at").alias("at")), fresh)
         a, b = (first.select(F.col("a").alias(c), F.col("to").alias(f"{c}2")) for c in "ab")
-        e = e.join(a, "a").join(b, "b").where("a2 <> b2")
+        e = look_up(look_up(e, a, "a", hubs), b, "b", hubs).where("a2 <> b2")
         e = written(e.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), fresh)
         drop(spark, old)
         old = fresh
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    least = labels.groupBy("at").agg(F.min("node").alias("component"))
-    return labels.join(least, "at").select("node", "component")
+    least = labels.groupBy("at").agg(F.min("node").alias("component"), F.count("*").alias("n"))
+    full = hot(least, "at", "n", labels.count())
+    return look_up(labels, least.drop("n"), "at", full).select("node", "component")

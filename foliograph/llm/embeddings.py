@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, hot, look_up, written
 
 SLACK = 1e-9  # for the rounding of distances; cells may only grow by it
 
@@ -69,10 +69,9 @@ def near_links(
     rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).alias("label"))
     good = F.coalesce(F.col("label").isNotNull() & v.isNotNull() & usable, F.lit(False))
     rows = rows.withColumns({"h1": F.when(good, F.xxhash64(v)), "h2": F.when(good, F.xxhash64(F.lit(7), v)), "dims": F.size(v)})
-    classes = written(
-        rows.where("h1 is not null").groupBy("label", "dims", "h1", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    )
-    classes = classes.withColumn("id", F.xxhash64("label", "dims", "h1", "h2"))
+    one = ["label", "dims", "h1", "h2"]
+    classes = rows.where("h1 is not null").groupBy(*one).agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()))  # a number that stays, as it is written
     at = pivots(classes, cell, most_pivots)
     reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
 
@@ -124,18 +123,22 @@ def near_links(
         out = ids.assign(links=links, root=ids["id"].to_numpy()[root])
         return out[out["links"] > 0][["id", "rep", "links", "root"]]
 
-    # a class is known by the id of its hash; ids that collide would have to do so within 64 bits
     found = written(units.groupBy("label", "dims", "cell", "b1", "b2").applyInPandas(lambda k, g: join(k, g), f"id long, rep {kinds['rep']}, links long, root long"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
-    named = parts.join(classes.select("id", "rep"), "id")
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    parts = parts.join(least, "component").select("id", "least")
+    parts = written(parts.join(classes.select("id", "rep"), "id"))
+    least = parts.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+    full = hot(least, "component", "n", parts.count())
+    parts = look_up(parts.select("id", "component"), least.drop("n"), "component", full).select("id", "least")
     own = classes.where("copies > 1").select("id", (F.col("copies") - 1).alias("links"), "rep")
     known = own.unionByName(found.select("id", "links", "rep")).groupBy("id").agg(F.sum("links").alias("links"), F.min("rep").alias("rep"))
     known = known.join(parts, "id", "left").select("id", "links", F.coalesce(F.least("least", "rep"), "rep", "least").alias("least"))
-    every = rows.select("key", F.when(F.col("h1").isNotNull(), F.xxhash64("label", "dims", "h1", "h2")).alias("id"))
+    known = written(classes.select("id", "copies", *one).join(known, "id"))
+    # the rows of a class with very many copies get its answer by broadcast, the others by exchange
+    many = F.col("copies") > max(256, (classes.agg(F.sum("copies")).first()[0] or 0) // 4096)
+    every = rows.select("key", *one).join(F.broadcast(known.where(many).select(*one, "links", "least")), one, "left")
+    rest = every.where("links is null").drop("links", "least").join(known.where(~many).select(*one, "links", "least"), one, "left")
     component = F.coalesce("least", "key")
-    return every.join(known, "id", "left").select(
+    return every.where("links is not null").unionByName(rest).select(
         F.col("key").alias(key),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"),
