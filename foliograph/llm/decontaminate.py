@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import maybe_among, written
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
-#: Rows of benchmark shingles, or of index entries, up to which they are broadcast; more are joined by a shuffle.
-SMALL = 1 << 20
+#: Bytes of benchmark shingles, or of index entries, up to which they are broadcast; more are joined by a shuffle.
+SMALL = 64 << 20
 
 
 def words(text: str) -> Column:
@@ -53,9 +53,9 @@ def block_value(fingerprint: str, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(F.col(fingerprint), shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it was counted to be small."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+def bounded(df: DataFrame, size: Column | int) -> DataFrame:
+    """df, to be broadcast if its rows of that many bytes add up to little."""
+    return F.broadcast(df) if (df.agg(F.sum(F.lit(size))).first()[0] or 0) <= SMALL else df
 
 
 def contaminated(
@@ -81,7 +81,7 @@ def contaminated(
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
     # outer, as a filter on the array's size would be pushed down to where the words aren't a column yet
     shingled = with_grams(rows, "text", n, "dg").select("key", "th", "dg")
-    hits = shingled.select("key", "th", F.size("dg").alias("long"), F.posexplode_outer("dg").alias("pos", "g")).join(bounded(marks), "g")
+    hits = shingled.select("key", "th", F.size("dg").alias("long"), F.posexplode_outer("dg").alias("pos", "g")).join(bounded(marks, 48), "g")
     hits = hits.groupBy("key", "th", "long", "i", "len").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     size = F.least(F.col("len") - (n - 1), F.col("long"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("len") - (n - 1) + F.col("m")) - 1e-9).cast("int")
@@ -109,10 +109,10 @@ def contaminated(
     keys = [F.transform(F.array(*(F.lit(x).cast("long") for x in m)), near(j, block_value("ifp", s, w))) for j, ((s, w), m) in enumerate(zip(parts, masks, strict=True))]
     index = items.select("item", "len", "ig", "ifp", F.explode(F.flatten(F.array(*keys))).alias("b"))
     probes = F.array(*(F.struct(F.lit(j).alias("block"), block_value("fp", s, w).alias("value")) for j, (s, w) in enumerate(parts)))
-    probed = windows.withColumn("b", F.explode(probes)).join(bounded(index.select("item", "len", "ifp", "b")), ["len", "b"])
+    probed = windows.withColumn("b", F.explode(probes)).join(bounded(index.select("item", "len", "ifp", "b"), 64), ["len", "b"])
     close = probed.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
     close = close.drop("b").dropDuplicates(["key", "item", "len", "start", "fp", "wg"])
-    pairs = close.join(bounded(items.select("item", "len", "ig", "ifp")), ["item", "len", "ifp"])
+    pairs = close.join(bounded(items.select("item", "len", "ig", "ifp"), 64 + 8 * F.size("ig")), ["item", "len", "ifp"])
 
     common = F.array_intersect("wg", "ig")
     plain = (F.size(F.array_distinct("wg")) == F.size("wg")) & (F.size(F.array_distinct("ig")) == F.size("ig"))

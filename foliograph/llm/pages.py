@@ -3,8 +3,9 @@
 Pages of a host are ordered by URL path and each is paired with the neighbour that shares the longer path prefix. The
 text lines of the pair are aligned by longest common subsequence, and lines that both share are deleted as the site's
 own. Markup decides where it says more than a pair can: lines in menus, footers, adverts and their like are never main
-text, and lines within an article element are never deleted, as copies and quoted passages are shared, too. Where an
-article holds only a small part of a page's text, differencing decides on the plain lines beside it.
+text, and prose within an article element (paragraphs, headings, items, cells, quotations) is never deleted, as copies
+and quoted passages are shared, too; bare lines there are, unless all of the article is shared. Where an article holds
+only a small part of a page's text, differencing decides on the plain lines beside it.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ WORDS = {
 }
 OUTSIDE = {"header"}  # noise outside an article; inside it holds the title
 
-PLAIN, ARTICLE, SITE = 0, 1, 2
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "caption", "figcaption", "blockquote", "pre"}
+
+PLAIN, ARTICLE, SITE, BARE = 0, 1, 2, 3  # BARE: in an article, but not in prose
 TEASER = 0.2  # an article with less of the text is not the page's main text alone
 
 
@@ -67,7 +70,7 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
         if block:
             if text := " ".join("".join(block).split()):
                 texts.append(text)
-                kinds.append(stack[-1][1])
+                kinds.append(BARE if stack[-1][1] == ARTICLE and not any(n in PROSE for n, _ in stack) else stack[-1][1])
             block.clear()
 
     at = 0
@@ -133,14 +136,15 @@ def shared(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(texts: list[str], kinds: list[int], other: list[str] | None) -> str:
-    """The lines of an article element if there is one; else the plain lines that the paired page doesn't share (all of
-    them if none are left, as of a copy). An article that is small beside such plain lines is a teaser: they stay with it.
-    Lines are joined by one line feed."""
+    """The lines of an article element if there is one, without bare ones that the paired page shares; else the plain lines
+    that it doesn't share. All of them if none are left, as of a copy. An article that is small beside such plain lines is
+    a teaser: they stay with it. Lines are joined by one line feed."""
     gone = shared(texts, other) if other else set()
     plain = [i for i, k in enumerate(kinds) if k == PLAIN]
     own = [i for i in plain if i not in gone]
-    if ARTICLE in kinds:
-        article = [i for i, k in enumerate(kinds) if k == ARTICLE]
+    article = [i for i, k in enumerate(kinds) if k in (ARTICLE, BARE)]
+    if article:
+        article = [i for i in article if kinds[i] == ARTICLE or i not in gone] or article
         here, beside = (sum(len(texts[i]) for i in at) for at in (article, own))
         return "\n".join(texts[i] for i in (sorted(article + own) if other and here < TEASER * (here + beside) else article))
     return "\n".join(texts[i] for i in own or plain)

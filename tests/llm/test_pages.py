@@ -32,6 +32,13 @@ def test_shared_lines_go_outside_articles():
     assert text("<p>Site</p><article><p>same</p></article>", "<p>Site</p><article><p>same</p></article>") == "same"
 
 
+def test_shared_bare_lines_of_an_article_go_and_its_prose_stays():
+    page = "<article><div>Site line</div><p>same</p><blockquote>quoted</blockquote>own words<div>Share this</div></article>"
+    other = "<article><div>Site line</div><p>same</p><blockquote>quoted</blockquote>other words<div>Share this</div></article>"
+    assert text(page, other) == "same\nquoted\nown words" and text(page) == "Site line\nsame\nquoted\nown words\nShare this"
+    assert text("<article>a<div>b</div></article>", "<article>a<div>b</div></article>") == "a\nb"
+
+
 def test_a_teaser_is_not_the_whole_page():
     page = "<div>Site</div><div>" + "body " * 40 + "</div><article>Read on</article><div>" + "more " * 40 + "</div><div>Bottom</div>"
     other = "<div>Site</div><div>else</div><article>Read this</article><div>Bottom</div>"
