@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliograph.llm import bpe, decontaminate, ngrams, quality, secrets
-from foliograph.llm.common import identified, maybe_among, written
+from foliograph.llm.common import drop, identified, maybe_among, written
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -79,7 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order. A stage's rows are written before the next one begins, and deleted once it is written; what the
+    last stage reads stays, as its result is read later."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        own = []
+        docs = written(stage(spark, docs, sf_dir), own)
+        drop(spark, last)
+        last = own
     return STAGES[-1][1](spark, docs, sf_dir)
