@@ -347,13 +347,14 @@ class Document:
     def bookmark_start(self, id_, name, order, page) -> None:
         if name and name not in self.bookmarks:
             p = self.paragraphs[-1] if self.paragraphs else {}
-            self.bookmarks[name] = {"start": order, "end": None, "text": "", "page": self.page, "number": p.get("label"), "full": p.get("full"), "para": len(self.paragraphs) - 1, "fields": len(self.fields), "fields_end": None, "note": None}
+            self.bookmarks[name] = {"start": order, "end": None, "text": "", "page": self.page, "number": p.get("label"), "full": p.get("full"), "para": len(self.paragraphs) - 1, "fields": len(self.fields), "fields_end": None, "para_end": None, "note": None}
             self.active[id_] = name
 
     def bookmark_end(self, id_, order) -> None:
         if (name := self.active.pop(id_, None)) is not None:
             self.bookmarks[name]["end"] = order
             self.bookmarks[name]["fields_end"] = len(self.fields)
+            self.bookmarks[name]["para_end"] = len(self.paragraphs) - 1
 
     def comment_start(self, id_) -> None:
         self.commenting.add(id_)
@@ -748,23 +749,32 @@ class Document:
             if p.switches["b"] not in self.bookmarks:
                 raise KeyError(p.switches["b"])
             scope = self.bookmarks[p.switches["b"]]
+        fields: dict[int, list[Found]] = {}
+        for g in self.fields:
+            fields.setdefault(g.para, []).append(g)
+        entries = "f" in only or "l" in only
+        a, z = bounds(p.switches.get("l")) or (1, 9)
+        label = p.switches.get("c", p.switches.get("a"))
         lines = []
-        for i, para in enumerate(self.paragraphs):
-            if para["story"] != "body" or not para["text"].strip() or (scope and not scope["para"] <= i):
+        for i, para in enumerate(self.paragraphs):  # in the document's order, whatever an entry comes from
+            if scope and not scope["para"] <= i <= (len(self.paragraphs) if scope["para_end"] is None else scope["para_end"]):
                 continue
+            own = [g for g in fields.get(i, ()) if not scope or scope["fields"] <= g.order < (len(self.fields) if scope["fields_end"] is None else scope["fields_end"])]
+            body = para["story"] == "body" and para["text"].strip()
             level = para["heading"] if standard and para["heading"] and low <= para["heading"] <= high else custom.get((para["style"] or "").lower())
-            if level:
+            if body and level:
                 lines.append("  " * (level - low) + self.resolve(para["text"]).strip())
-        if "f" in only or "l" in only:
-            for g in self.fields:
-                if kind_of(g.instruction)[0] == "TocEntry":
-                    q = parse(parts_of(g.instruction)[1:], flags="n", values="fl")
-                    if isinstance(p.switches.get("f"), str) and str(q.switches.get("f", "c")).lower() != p.switches["f"].lower():
-                        continue
-                    level = int(q.switches.get("l", 1))
-                    a, b = bounds(p.switches.get("l")) or (1, 9)
-                    if a <= level <= b:
-                        lines.append("  " * (level - 1) + " ".join(map(unquote, q.operands)))
+            elif body and isinstance(label, str) and any(kind_of(g.instruction)[0] == "Sequence" and label.lower() in [x.lower() for x in parts_of(g.instruction)[1:2]] for g in own):
+                text = self.resolve(para["text"]).strip()
+                lines.append(text if "c" in p.switches else re.sub(rf"(?i)^{re.escape(label)}\s+\S+?[\s.:)\-–—]+", "", text))
+            for g in own if entries else ():
+                if kind_of(g.instruction)[0] != "TocEntry":
+                    continue
+                q = parse(parts_of(g.instruction)[1:], flags="n", values="fl")
+                if isinstance(p.switches.get("f"), str) and str(q.switches.get("f", "c")).lower() != p.switches["f"].lower():
+                    continue
+                if a <= (level := int(q.switches.get("l", 1))) <= z:
+                    lines.append("  " * (level - 1) + " ".join(map(unquote, q.operands)))
         return "\n".join(lines) or ("" if scope else None)
 
     def field_tc(self, f, rest):

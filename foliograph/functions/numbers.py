@@ -103,9 +103,12 @@ def _letters(n: int) -> str:
     return out
 
 
+MOST_REPEATS = 1024  # fixed value
+
+
 def cycled(n: int, marks: str) -> str:
-    """가 ... 하, then 가가 ...: the mark is repeated once more for each round."""
-    return marks[(n - 1) % len(marks)] * ((n - 1) // len(marks) + 1) if n > 0 else ""
+    """가 ... 하, then 가가 ...: the mark is repeated once more for each round, MOST_REPEATS times at most."""
+    return marks[(n - 1) % len(marks)] * min((n - 1) // len(marks) + 1, MOST_REPEATS) if n > 0 else ""
 
 
 def in_range(n: int, first: int, last: int, least: int = 1) -> str:

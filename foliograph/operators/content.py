@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import finalize
+from ..kept import drop, written
 
 
 def in_order(order: Column | str, text: Column | str, glue: str) -> Column:
@@ -116,23 +117,39 @@ def caption_text(text: Column, label: str) -> Column:
     return F.when(text.rlike(rf"(?is)^\s*{label}\s+[0-9]"), F.trim(F.regexp_extract(text, pattern, 1)))
 
 
-def inherit_styles(styles: DataFrame, limit: int = 32, doc: str | None = None) -> DataFrame:
-    """styles (style_id, based_on, declared, value) with the value of the nearest style that declares one, up the chain.
+def inherit_styles(styles: DataFrame, limit: int = 32, doc: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """styles (style_id, based_on, declared, value) with the value of the nearest style that declares one, up the chain,
+    and its depth. With columns, each of them is such a value, declared where <c>_declared, and comes with <c>_depth.
 
     A declared null is a value: it hides what lies above. The chain is followed `limit` links at most, and cycles end
-    there. A recursive query: each round joins only styles still without a declaration.
+    there. Pointers jump: each round a style takes over what its ancestor knows and where that points to, so the way known
+    doubles and a few joins do for any number of styles.
     """
-    spark = styles.sparkSession
-    d = f"{doc}, " if doc else ""
-    on = f"AND p.{doc} = r.{doc}" if doc else ""
-    styles.createOrReplaceTempView("foliograph_style_rows")
-    return spark.sql(
-        f"WITH RECURSIVE r ({d}style_id, next, declared, value, depth) MAX RECURSION LEVEL {limit + 2} AS ("
-        f"SELECT {d}style_id, based_on, declared, value, 0 FROM foliograph_style_rows UNION ALL "
-        f"SELECT {'r.' + doc + ', ' if doc else ''}r.style_id, p.based_on, p.declared, p.value, r.depth + 1 FROM r JOIN foliograph_style_rows p ON p.style_id = r.next {on} "
-        f"WHERE NOT r.declared AND r.depth < {limit}) "
-        f"SELECT {d}style_id, max(CASE WHEN declared THEN value END) AS value, max(CASE WHEN declared THEN depth END) AS depth FROM r GROUP BY {d}style_id"
-    )
+    keys = [doc] if doc else []
+    flag = {c: f"{c}_declared" for c in columns} if columns else {"value": "declared"}
+    far = {c: f"{c}_depth" for c in columns} if columns else {"value": "depth"}
+    known = [x for c in flag for x in (f"{c}", flag[c], far[c])]
+    start = {c: F.when(F.col(flag[c]), F.col(c)) for c in flag} | {flag[c]: F.coalesce(F.col(flag[c]), F.lit(False)) for c in flag} | {far[c]: F.when(F.col(flag[c]), 0) for c in flag}
+    old: list[str] = []
+    state = written(styles.select(*keys, "style_id", F.col("based_on").alias("next"), F.lit(1).alias("hop"), *(x.alias(n) for n, x in start.items())), old)
+    for _ in range(limit.bit_length()):
+        above = state.select(*(F.col(k).alias(f"__{k}") for k in [*keys, "style_id", "next", "hop", *known]))
+        on = F.col("next") == F.col("__style_id")
+        for k in keys:
+            on = on & (F.col(k) == F.col(f"__{k}"))
+        got = F.col("__style_id").isNotNull()
+        taken = []
+        for c in flag:
+            depth = F.col("hop") + F.col(f"__{far[c]}")
+            take = ~F.col(flag[c]) & got & F.col(f"__{flag[c]}") & (depth <= limit)
+            taken += [F.when(take, F.col(f"__{c}")).otherwise(F.col(c)).alias(c), (F.col(flag[c]) | F.coalesce(take, F.lit(False))).alias(flag[c]), F.when(take, depth).otherwise(F.col(far[c])).alias(far[c])]
+        fresh: list[str] = []
+        state = written(state.join(above, on, "left").select(*keys, "style_id", F.when(got, F.col("__next")).alias("next"), F.when(got, F.col("hop") + F.col("__hop")).otherwise(F.col("hop")).cast("int").alias("hop"), *taken), fresh)
+        drop(styles.sparkSession, old)
+        old = fresh
+        if state.where(F.col("next").isNotNull()).isEmpty():
+            break
+    return state.select(*keys, "style_id", *(F.col(x) for c in flag for x in (c, far[c])))
 
 
 def overlay(blocks: DataFrame, styles: DataFrame, columns: list[str], on: list[str]) -> DataFrame:

@@ -114,23 +114,25 @@ def page_numbers(df: DataFrame, is_break: Column, doc: str = "doc_id", order: st
 
 
 def section_pages(df: DataFrame, kind: str = "kind", doc: str = "doc_id", order: str = "ord") -> DataFrame:
-    """Pages through breaks of kind page, nextPage, evenPage, oddPage, continuous or null. An even or odd break moves on
-    by one page, and one more if that has the wrong parity.
+    """doc, order, page, section: pages through breaks of kind page, nextPage, evenPage, oddPage, continuous or null. An even
+    or odd break moves on by one page, and one more if that has the wrong parity.
 
-    The page after a break depends on the parity that the breaks before it left. Maps on {even, odd} compose, so a
-    running sum over the last even or odd break is enough: from it on, the page is its parity's next, plus later breaks.
-    Sequential in general; the rows of a document are folded in order within one array, and exploded again.
+    The parity of the page after an even or odd break is known, so what the next one adds follows from the plain breaks in
+    between: pages are running sums, and one window order serves them all.
     """
-    rows = df.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("ord"), F.col(kind).alias("kind")))).alias("rows"))
-    start = F.struct(F.lit(1).alias("page"), F.lit(1).alias("section"), F.array().cast("array<struct<ord:bigint,page:int,section:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        k, p = x["kind"], s["page"]
-        page = F.when(k.isin("page", "nextPage"), p + 1).when(k == "evenPage", p + 1 + (p + 1) % 2).when(k == "oddPage", p + 1 + p % 2).otherwise(p).cast("int")
-        section = s["section"] + F.when(k.isin("nextPage", "evenPage", "oddPage", "continuous"), 1).otherwise(0)
-        return F.struct(page.alias("page"), section.alias("section"), F.concat(s["out"], F.array(F.struct(x["ord"].cast("long").alias("ord"), page.alias("page"), section.alias("section")))).alias("out"))
-
-    return rows.select(doc, F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select(doc, F.col("x.ord").alias(order), "x.page", "x.section")
+    keys = [Window.partitionBy(doc).orderBy(order, kind).rowsBetween(Window.unboundedPreceding, x) for x in (0, -1)]
+    here, ahead = keys
+    k = F.col(kind)
+    parity = F.when(k == "evenPage", 0).when(k == "oddPage", 1)
+    out = df.select(doc, order, kind).withColumn("__plain", F.count(F.when(k.isin("page", "nextPage"), 1)).over(here))
+    marked = F.when(parity.isNotNull(), F.col("__plain"))
+    between = F.col("__plain") - F.coalesce(F.last(marked, ignorenulls=True).over(ahead), F.lit(0))
+    before = F.coalesce(F.last(parity, ignorenulls=True).over(ahead), F.lit(1))
+    adds = F.when(parity.isNotNull(), between + 1 + F.pmod(before + between + 1 - parity, F.lit(2)))
+    out = out.withColumns({"__adds": adds, "__since": F.col("__plain") - F.coalesce(F.last(marked, ignorenulls=True).over(here), F.lit(0))})
+    page = F.coalesce(F.sum("__adds").over(here), F.lit(0)) + F.col("__since") + 1
+    section = F.count(F.when(k.isin("nextPage", "evenPage", "oddPage", "continuous"), 1)).over(here) + 1
+    return out.select(doc, order, page.cast("int").alias("page"), section.cast("int").alias("section"))
 
 
 def with_section_pages(df: DataFrame, doc: str = "doc_id") -> DataFrame:

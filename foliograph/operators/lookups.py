@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import property_key, relative_number
+from ..kept import drop, written
 
 
 def bookmark_text(runs: DataFrame, bookmarks: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -99,21 +100,32 @@ def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def threads(comments: DataFrame, doc: str = "doc_id", limit: int = 100) -> DataFrame:
-    """doc, id, root, depth: comments followed to the top of their thread. Answers of a missing parent are roots.
+def threads(comments: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, id, root, depth: comments followed to the top of their thread, however deep. Answers of a missing parent are
+    roots, a repeated id counts once, and a cycle reaches no root and is left out.
 
-    A recursive query: each round joins the answers of the last level. A cycle reaches no root and is left out; `limit`
-    bounds the depth of recursion and a deeper thread is an error, never cut short.
+    Pointers jump: each round a comment takes over where its ancestor points to, so the way known doubles. Tops are done,
+    and the rounds end when none gets done: as long as a thread is open, some comment of it gets done.
     """
-    spark = comments.sparkSession
-    c = comments.select(doc, "id", "parent_id")
+    c = comments.groupBy(doc, "id").agg(F.min("parent_id").alias("parent_id"))
     known = c.select(F.col(doc).alias("__d"), F.col("id").alias("__p"))
-    c = c.join(known, (F.col(doc) == F.col("__d")) & (F.col("parent_id") == F.col("__p")), "left").select(doc, "id", F.col("__p").alias("parent_id"))
-    c.createOrReplaceTempView("foliograph_thread_rows")
-    return spark.sql(
-        f"WITH RECURSIVE t ({doc}, id, root, depth) MAX RECURSION LEVEL {limit} AS (SELECT {doc}, id, id, 0 FROM foliograph_thread_rows WHERE parent_id IS NULL UNION ALL "
-        f"SELECT r.{doc}, r.id, t.root, t.depth + 1 FROM t JOIN foliograph_thread_rows r ON r.{doc} = t.{doc} AND r.parent_id = t.id) SELECT * FROM t"
-    )
+    c = c.join(known, (F.col(doc) == F.col("__d")) & (F.col("parent_id") == F.col("__p")), "left")
+    old: list[str] = []
+    # up: the ancestor `depth` links above, a top if it is done
+    state = written(c.select(doc, "id", F.coalesce("__p", "id").alias("up"), F.when(F.col("__p").isNull(), 0).otherwise(1).alias("depth"), F.col("__p").isNull().alias("done")), old)
+    left = state.where("NOT done").count()
+    while left:
+        above = state.select(F.col(doc).alias("__d"), F.col("id").alias("__i"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), F.col("done").alias("__done"))
+        moved = state.where("NOT done").join(above, (F.col(doc) == F.col("__d")) & (F.col("up") == F.col("__i")))
+        moved = moved.select(doc, "id", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth")).cast("int").alias("depth"), F.col("__done").alias("done"))
+        fresh: list[str] = []
+        state = written(state.where("done").unionByName(moved), fresh)
+        drop(comments.sparkSession, old)
+        old, before = fresh, left
+        left = state.where("NOT done").count()
+        if left == before:  # cycles
+            break
+    return state.where("done").select(doc, "id", F.col("up").alias("root"), "depth")
 
 
 def comment_parents(comments: DataFrame, extended: DataFrame, doc: str = "doc_id") -> DataFrame:

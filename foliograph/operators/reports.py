@@ -49,7 +49,20 @@ def unsupported_reason(kind: Column, computed: Column, syntax_ok: Column, target
 
 def edit_reasons(format_: Column, complete: Column, lossy: Column) -> Column:
     """What stands against editing: the legacy format, an incomplete package, lossy metadata."""
-    return F.array_compact(F.array(F.when(format_ != "docx", F.lit("LegacyBinaryFormat")), F.when(~complete, F.lit("IncompletePackage")), F.when(lossy, F.lit("LossyMetadata"))))
+    return F.array_compact(F.array(F.when(format_ != "docx", F.lit("legacy_doc")), F.when(~complete, F.lit("incomplete_package")), F.when(lossy, F.lit("lossy_opc_metadata"))))
+
+
+def warning_details(kinds: Column, reasons: Column) -> Column:
+    """The warnings that counts (columns) raise, in their fixed order, each as JSON with its counts."""
+    said = lambda name, **more: F.to_json(F.struct(F.lit(name).alias("kind"), *(c.alias(k) for k, c in more.items())))
+    n = F.col
+    counted = {
+        "unsupported_fields": {"count": n("unsupported_fields"), "field_kinds": kinds}, "tracked_changes": {"insertions": n("tracked_insertions"), "deletions": n("tracked_deletions"), "moves": n("tracked_moves")},
+        "incomplete_revision_view": {"property_changes": n("tracked_property_changes")}, "read_only": {"reasons": reasons},
+    }
+    raised = {"tracked_changes": n("tracked_insertions") + n("tracked_deletions") + n("tracked_moves"), "incomplete_revision_view": n("tracked_property_changes"), "read_only": F.size(reasons)}
+    names = [(c, w) for c, w in WARNINGS if c != "flattened_subdocuments"]
+    return F.array_compact(F.array(*(F.when((raised[c] if c in raised else n(c)) > 0, said(w, **counted.get(c, {"count": n(c)}))) for c, w in names)))
 
 
 def part_class(name: Column) -> Column:
@@ -76,8 +89,16 @@ def prf(reference: Column, candidate: Column) -> Column:
 
 
 def list_recall(reference: Column, candidate: Column) -> Column:
-    """The share of the reference's tokens, repeats and all, that the candidate holds."""
-    return F.when(F.size(reference) > 0, F.size(F.filter(reference, lambda x: F.array_contains(candidate, x))) / F.size(reference)).otherwise(1.0)
+    """The share of the reference's tokens, repeats and all, that the candidate holds: one pass over both lists, sorted."""
+    tagged = lambda xs, side: F.transform(xs, lambda x: F.struct(x.alias("t"), F.lit(side).alias("side")))
+    both = F.array_sort(F.concat(tagged(F.array_distinct(candidate), 0), tagged(reference, 1)))
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        held = F.coalesce((x["side"] == 1) & (x["t"] == s["last"]), F.lit(False))
+        return F.struct(F.when(x["side"] == 0, x["t"]).otherwise(s["last"]).alias("last"), (s["n"] + F.when(held, 1).otherwise(0)).alias("n"))
+
+    return F.when(F.size(reference) > 0, F.aggregate(both, start, step, lambda s: s["n"]) / F.size(reference)).otherwise(1.0)
 
 
 def score_summary(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -93,9 +114,12 @@ def gates(summary: DataFrame, least: dict[str, float]) -> DataFrame:
 
 # Patterns of the hygiene scan: kind -> regular expression. Fixed values; a table of one's own can be passed instead.
 HYGIENE = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "aws_access_key": r"AKIA[0-9A-Z]{16}", "github_token": r"gh[pousr]_[A-Za-z0-9]{36}",
-    "assigned_secret": r"(?i)(password|passwd|secret|token|api_?key)\s*[:=]\s*.?[A-Za-z0-9+/_.=-]{16,}", "bearer_token": r"(?i)bearer\s+[A-Za-z0-9._-]{20,}", "email": r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}",
-    "home_path": r"/(home|Users)/[A-Za-z0-9._-]+", "windows_path": r"[A-Z]:\\Users\\[A-Za-z0-9._-]+",
+    "openai_api_key": r"\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}\b", "github_token": r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9_]{30,}\b", "github_pat": r"\bgithub_pat_[A-Za-z0-9_]{20,}\b",
+    "slack_token": r"\bxox[baprs]-[A-Za-z0-9-]{20,}\b", "aws_access_key": r"\bAKIA[0-9A-Z]{16}\b", "private_key": r"-----BEGIN (?:RSA |DSA |EC |OPENSSH |ENCRYPTED )?PRIVATE KEY-----",
+    "kr_bid_trace": r"(?i)\bkr[-_\s]?bid\b", "korean_bid_trace": r"(케이알\s*비드|입찰|나라장터|조달청)",
+    "mac_home_path": r"(?<![A-Za-z]:)/Users/[A-Za-z0-9._-]+/", "linux_home_path": r"/home/[A-Za-z0-9._-]+/", "shell_home_path": r"\$(?:HOME|\{HOME\})[/\\]",
+    "windows_home_path": r"[A-Za-z]:[/\\]Users[/\\][^/\\\s]+[/\\]", "windows_drive_path": r"(?i)(?<![A-Za-z])[A-Za-z]:[/\\](?!Users[/\\])", "windows_unc_path": r"(?<!\\)\\\\[A-Za-z0-9._-]{2,}\\[^\\\s]{2,}\\",
+    "windows_profile_env_path": r"(?i)%(?:USERPROFILE|APPDATA|LOCALAPPDATA)%[/\\]", "powershell_profile_env_path": r"(?i)\$env:(?:USERPROFILE|APPDATA|LOCALAPPDATA)[/\\]",
 }
 
 
@@ -103,7 +127,9 @@ def hygiene(lines: DataFrame, patterns: dict[str, str] | None = None, path: str
     """Findings (path, line number, kind): a line is one finding for each pattern that it holds.
 
     The few patterns are expressions over each line, so lines are scanned where they are; nothing is joined or exchanged.
+    One alternation of all of them finds the lines that are looked at pattern by pattern.
     """
+    lines = lines.where(F.col(line).rlike("|".join(f"(?:{p})" for p in (patterns or HYGIENE).values())))
     kinds = F.array_compact(F.array(*(F.when(F.col(line).rlike(p), F.lit(k)) for k, p in (patterns or HYGIENE).items())))
     return lines.select(path, number, F.explode(kinds).alias("kind"))
 

@@ -77,14 +77,14 @@ def directional(cells: DataFrame, function: str, side: str, value: str = "value"
         out = out.withColumn("__seg", F.count(F.when(formula, 1)).over(seen))
         after = Window.partitionBy(*keys, "__seg").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
     if side in ("R", "C"):
-        every = Window.partitionBy(*keys)
-        a, b = F.sum(v).over(every) - F.coalesce(v, F.lit(0.0)), F.count(n).over(every) - F.coalesce(n, F.lit(0))
-        own_bad = F.coalesce(poison, F.lit(0))
-        poisoned = F.count(poison).over(every) - own_bad
+        pair = lambda f, x: [f(x).over(before), f(x).over(after)]
+        none = lambda xs: [F.coalesce(x, F.lit(0)) for x in xs]
+        b, poisoned = (sum(none(pair(F.count, x))) for x in (n, poison))
+        a = sum(none(pair(F.sum, v)))  # never all less the cell's own, which would cancel digits
         result = {"SUM": a, "COUNT": b.cast("double"), "AVERAGE": a / b}.get(function)
         if result is None:
-            pair = [AGGREGATES[function](v).over(before), AGGREGATES[function](v).over(after)]
-            result = {"MAX": F.greatest(*pair), "MIN": F.least(*pair)}.get(function, F.coalesce(pair[0], F.lit(1.0)) * F.coalesce(pair[1], F.lit(1.0)))
+            both = pair(AGGREGATES[function], v)
+            result = {"MAX": F.greatest(*both), "MIN": F.least(*both)}.get(function, F.coalesce(both[0], F.lit(1.0)) * F.coalesce(both[1], F.lit(1.0)))
         return out.withColumn("result", F.when((poisoned == 0) & (b > 0), result))
     frame = before if side in ("LEFT", "ABOVE") else after
     result = AGGREGATES[function](v).over(frame)
@@ -119,6 +119,21 @@ def cell_reference(formulas: DataFrame, cells: DataFrame, table: list[str] = ["d
 
 
 def spans_touched(formulas: DataFrame, cells: DataFrame, table: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
-    """formulas with safe: false where a cell in the formula's row or column spans several, as positions are unsure there."""
-    wide = cells.where("has_span").select(*table, F.col("row").alias("__r"), F.col("col").alias("__c"))
-    return formulas.join(wide, [*table], "left").groupBy(*[c for c in formulas.columns]).agg(F.count("__r").alias("__n")).withColumn("safe", F.col("__n") == 0).drop("__n")
+    """formulas (table, row, col and the cells they refer to: r1, c1, r2, c2, null for none) with safe: false where a cell of
+    the formula's own row, or of a row that the reference reaches, spans several, as positions are unsure there; and for a
+    reference to rows that don't exist.
+
+    Rows with spans are numbered per table by a running count, so a reference is two lookups of counts, not a range join.
+    """
+    last = F.max(F.col("row")).alias("__last")
+    rows = cells.groupBy(*table, "row").agg(F.max(F.col("has_span").cast("int")).alias("__wide"))
+    w = Window.partitionBy(*table).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__upto", F.sum("__wide").over(w))
+    own = rows.select(*table, "row", F.col("__wide").alias("__own"))
+    low = rows.select(*table, F.col("row").alias("__low"), (F.col("__upto") - F.col("__wide")).alias("__before"))
+    high = rows.select(*table, F.col("row").alias("__high"), F.col("__upto").alias("__through"))
+    sizes = cells.groupBy(*table).agg(last)
+    at = formulas.withColumns({"__low": F.least("r1", "r2"), "__high": F.greatest("r1", "r2")})
+    out = at.join(own, [*table, "row"], "left").join(low, [*table, "__low"], "left").join(high, [*table, "__high"], "left").join(sizes, table, "left")
+    inside = F.col("__low").isNull() | ((F.col("__high") <= F.col("__last")) & (F.col("__through") == F.col("__before")))
+    return out.withColumn("safe", F.coalesce((F.coalesce("__own", F.lit(0)) == 0) & inside, F.lit(False))).select(*formulas.columns, "safe")

@@ -94,7 +94,7 @@ def features(opened: DataFrame) -> DataFrame:
         n(mark("ins")).alias("tracked_insertions"), n(mark("del")).alias("tracked_deletions"), n(mark("moveFrom", "moveTo")).alias("tracked_moves"), n(mark("property_change")).alias("tracked_property_changes"),
         n(tag == "field").alias("fields"), (n(tag == "hyperlink") + n((tag == "field") & (name == "Hyperlink"))).alias("hyperlinks"),
         F.greatest(n(tag == "content_control"), n(mark("sdt"))).alias("content_controls"), n((tag == "block") & of("kind", "table") & of("nested", "true")).alias("nested_tables"),
-        F.greatest(n(tag == "shape"), n(mark("alternate_drawing"))).alias("floating_shapes"), n(tag == "chart").alias("charts"), n((tag == "chart") & of("kind", "unknown") | (tag == "chart") & of("kind", "malformed")).alias("unsupported_charts"),
+        F.greatest(n(tag == "shape"), n((tag == "shape") & of("anchored", "true")) + n(mark("alternate_drawing"))).alias("floating_shapes"), n(tag == "chart").alias("charts"), n((tag == "chart") & of("kind", "unknown") | (tag == "chart") & of("kind", "malformed")).alias("unsupported_charts"),
         n(tag == "ole_object").alias("ole_objects"), n(tag == "metafile").alias("unsupported_metafiles"), n((tag == "field") & F.col("fields")["unsupported_reason"].isNotNull()).alias("unsupported_fields"),
         n(tag == "error").alias("errors"),
     )
@@ -110,8 +110,9 @@ def warnings_of(f: DataFrame) -> DataFrame:
 
 
 def report(opened: DataFrame) -> DataFrame:
-    """doc_id, report: a JSON object a document with statistics, properties, feature counts and warnings, keys in a fixed order."""
-    stats = content.stats(blocks(opened)).drop("figures")
+    """doc_id, report: a JSON object a document with its format, statistics, properties, what stands against editing, feature
+    counts and warnings with their counts, keys in a fixed order. Edited parts are none, as opened documents are as read."""
+    stats = content.stats(blocks(opened).where("kind <> 'paragraph' OR trim(text) <> ''")).drop("figures")  # blank paragraphs don't count
     figures = opened.groupBy("doc_id").agg(F.count_if(F.col("tag") == "image").alias("figures"))
     props = opened.where("tag = 'prop'").groupBy("doc_id", F.col("fields")["group"].alias("g")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "text")))).alias("m"))
     core = props.where("g = 'core'").select("doc_id", F.col("m").alias("core"))
@@ -122,8 +123,12 @@ def report(opened: DataFrame) -> DataFrame:
     kinds = counted(f, "name", "field_kinds")
     unsupported = counted(f.where("unsupported_reason IS NOT NULL"), "name", "unsupported_field_kinds")
     reasons = counted(f.where("unsupported_reason IS NOT NULL"), "unsupported_reason", "unsupported_field_reasons")
-    rows = warnings_of(features(opened))
-    for more in (stats, figures, core, custom, kinds, unsupported, reasons):
+    meta = {"format": "string", "size": "long", "compressed": "boolean", "width": "long", "height": "long"}
+    metafiles = records(opened, "metafile", meta).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.struct(
+        F.col("name").alias("path"), "format", F.col("size").alias("bytes"), "compressed", F.col("width").alias("width_px"), F.col("height").alias("height_px")).alias("m")))), lambda x: x["m"]).alias("metafiles"))
+    formats = opened.where("tag = 'package'").groupBy("doc_id").agg(F.min("name").alias("format"))
+    rows = features(opened)
+    for more in (stats, figures, core, custom, kinds, unsupported, reasons, metafiles, formats):
         rows = rows.join(more, "doc_id", "left")
     snake = lambda c: "".join("_" + x.lower() if x.isupper() else x for x in c)
     keys = ("title", "subject", "creator", "description", "keywords", "category", "contentStatus", "lastModifiedBy", "created", "modified", "lastPrinted", "revision", "version")
@@ -132,10 +137,15 @@ def report(opened: DataFrame) -> DataFrame:
     empty = lambda c, k: F.coalesce(c, F.array().cast(f"array<struct<{k}:string,count:bigint>>"))
     plain = [c for c in ("comments", "footnotes", "endnotes", "text_boxes", "tracked_insertions", "tracked_deletions", "tracked_moves", "tracked_property_changes", "fields")]
     rest = [c for c in ("hyperlinks", "content_controls", "nested_tables", "floating_shapes", "charts", "unsupported_charts", "ole_objects", "unsupported_metafiles")]
-    made = F.struct(*plain, empty("field_kinds", "kind").alias("field_kinds"), empty("unsupported_field_kinds", "kind").alias("unsupported_field_kinds"), empty("unsupported_field_reasons", "reason").alias("unsupported_field_reasons"), *rest)
+    no_files = F.array().cast("array<struct<path:string,format:string,bytes:bigint,compressed:boolean,width_px:bigint,height_px:bigint>>")
+    made = F.struct(*plain, empty("field_kinds", "kind").alias("field_kinds"), empty("unsupported_field_kinds", "kind").alias("unsupported_field_kinds"), empty("unsupported_field_reasons", "reason").alias("unsupported_field_reasons"), *rest, F.coalesce("metafiles", no_files).alias("metafiles"))
     numbers = F.struct(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("paragraphs", "tables", "figures", "text_chars")))
-    ok = F.struct((F.col("errors") == 0).alias("package_preserving"), F.array().cast("array<string>").alias("read_only_reasons"))
-    return rows.select("doc_id", export.json_report(format=F.lit("docx"), stats=numbers, core_properties=core_json, custom_properties=F.coalesce("custom", none), edit=ok, features=made, warnings=F.col("warnings")).alias("report"))
+    format_ = F.coalesce("format", F.lit("docx"))
+    against = reports.edit_reasons(format_, F.col("errors") == 0, F.lit(False))
+    edit = F.struct((F.size(against) == 0).alias("package_preserving"), against.alias("read_only_reasons"))
+    head = export.json_report(format=format_, stats=numbers, core_properties=core_json, custom_properties=F.coalesce("custom", none), edit=edit, edited_parts=F.array().cast("array<string>"), features=made)
+    said = F.array_join(reports.warning_details(empty("unsupported_field_kinds", "kind"), against), ",")
+    return rows.select("doc_id", F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"warnings":['), said, F.lit("]}")).alias("report"))
 
 
 #: Answers by the name that the command line gives them.

@@ -210,8 +210,8 @@ def table_formula_r_c(spark, sf_dir):
     return tables.directional(_three_columns(spark, sf_dir), "AVERAGE", "C").select("doc_id", "row", "col", "result")
 
 
-@query(f"""WITH {LONG}, n AS (SELECT doc_id, max(row) AS n FROM cells GROUP BY doc_id), f AS (SELECT DISTINCT doc_id, row, 4 AS col FROM cells WHERE row <= 3)
-SELECT f.doc_id, f.row, CASE WHEN any_value(n) >= 3 THEN sum(value) END AS result FROM f JOIN n USING (doc_id) JOIN cells c ON c.doc_id = f.doc_id AND c.row BETWEEN f.row AND 3 AND c.col BETWEEN 1 AND 2 GROUP BY f.doc_id, f.row""")
+@query(f"""WITH {LONG}, n AS (SELECT doc_id, max(row) AS n FROM cells GROUP BY doc_id), f AS (SELECT DISTINCT doc_id, row, 4 AS col FROM cells)
+SELECT f.doc_id, f.row, CASE WHEN any_value(n) >= 3 THEN sum(value) END AS result FROM f JOIN n USING (doc_id) JOIN cells c ON c.doc_id = f.doc_id AND c.row BETWEEN least(f.row, 3) AND greatest(f.row, 3) AND c.col BETWEEN 1 AND 2 GROUP BY f.doc_id, f.row""")
 def table_formula_range(spark, sf_dir):
     cells = _three_columns(spark, sf_dir)
     f = cells.where("col = 1").select("doc_id", "row", F.lit(4).alias("col"), F.lit(3).alias("r1"), F.lit(2).alias("c1"), F.col("row").alias("r2"), F.lit(1).alias("c2"))
@@ -328,7 +328,7 @@ def toc(spark, sf_dir):
     return content.toc_text(content.toc_entries(h))
 
 
-@query(f"""WITH {LINES}, c AS (SELECT doc_id, ord, 'Figure ' || (ord + 1) || ': ' || line AS t FROM lines WHERE line <> '' AND ord < 2) SELECT doc_id, ord, trim(substr(t, position(':' IN t) + 1)) AS caption FROM c""")
+@query(f"""WITH {LINES}, c AS (SELECT doc_id, ord, 'Figure ' || (ord + 1) || ': ' || line AS t FROM lines WHERE line <> '') SELECT doc_id, ord, trim(substr(t, position(':' IN t) + 1)) AS caption FROM c""")
 def caption_text(spark, sf_dir):
     lines = b.document_lines(spark, sf_dir).where("line <> ''")
     t = F.concat(F.lit("Figure "), F.col("ord") + 1, F.lit(": "), "line")
@@ -432,7 +432,13 @@ def quality_gates(spark, sf_dir):
     return reports.gates(summary, {"mean_recall": 0.5, "median_recall": 0.4, "mean_f1": 0.9}).withColumn("value", F.round("value", 6))
 
 
-HYGIENE_SQL = " UNION ALL ".join(f"SELECT doc_id, ord, '{k}' AS kind FROM lines WHERE regexp_matches(line, '{p}')" for k, p in reports.HYGIENE.items())
+# The patterns that look around, said without.
+_PLAIN = {
+    "mac_home_path": r"(?:^|[^:]|(?:^|[^A-Za-z]):)/Users/[A-Za-z0-9._-]+/",
+    "windows_drive_path": r"(?i)(?:^|[^a-z])[a-z]:[/\\](?:$|[^u]|u(?:$|[^s]|s(?:$|[^e]|e(?:$|[^r]|r(?:$|[^s]|s(?:$|[^/\\]))))))",
+    "windows_unc_path": r"(?:^|[^\\])\\\\[A-Za-z0-9._-]{2,}\\[^\\\s]{2,}\\",
+}
+HYGIENE_SQL = " UNION ALL ".join(f"SELECT doc_id, ord, '{k}' AS kind FROM lines WHERE regexp_matches(line, '{_PLAIN.get(k, p)}')" for k, p in reports.HYGIENE.items())
 
 
 @query(f"WITH {LINES} {HYGIENE_SQL}")
@@ -609,12 +615,13 @@ def field_evaluation(spark, sf_dir):
 
 def _page_packages(spark, sf_dir):
     from ..sources.packages import open_documents
+    from ..kept import written
     from ..sources.writer import write_documents
 
     k = F.col("kind")
     kind = F.when(k == "h1", "heading").when(k == "li", "list").otherwise("paragraph")
     blocks = b.page_blocks(spark, sf_dir).select("doc_id", "ord", kind.alias("kind"), F.when(k == "li", 0).otherwise(1).alias("level"), "text")
-    return open_documents(write_documents(blocks), ["block", "run", "cell"], "doc_id")
+    return written(open_documents(write_documents(blocks), ["block", "run", "cell"], "doc_id"))  # parsed once, read for each kind of record
 
 
 @query(SQL["markdown_blocks"])
@@ -669,6 +676,7 @@ def package_edits(spark, sf_dir):
 
     import pandas as pd
 
+    from ..kept import written
     from ..operators.edits import edit_documents
     from ..sources.packages import open_documents, spread
     from . import documents
@@ -692,6 +700,158 @@ def package_edits(spark, sf_dir):
         F.struct(F.lit(1).alias("ord"), F.lit("replace_body_text").alias("op"), F.create_map(F.lit("old"), F.lit(" the "), F.lit("new"), F.lit(" THE ")).alias("args")),
     )
     edits = c.select(F.col("conv_id").alias("doc_id")).distinct().select("doc_id", F.explode(steps).alias("e")).select("doc_id", "e.*")
-    done = edit_documents(files, edits, "doc_id")
-    said = documents.text(open_documents(done, ["block"], "doc_id"), "body")
+    done = written(edit_documents(files, edits, "doc_id"))
+    said = documents.text(written(open_documents(done, ["block"], "doc_id")), "body")
     return said.join(done.select("doc_id", "applied"), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "applied")
+
+
+def odd_objects(chars: int) -> bytes:
+    """A package with a chart and an object that nothing models, a shape, two metafiles, and a text of that many characters."""
+    from ..sources import writer as w
+
+    o = w.Builder()
+    rels = [o.rel(*r) for r in (("chart", "charts/chart1.xml"), ("oleObject", "embeddings/oleObject1.bin"), ("image", "media/vector1.emf"), ("image", "media/vector2.wmf"))]
+    o.add(
+        '<w:p><w:r><w:drawing><wp:anchor distT="0" distB="0" distL="0" distR="0"><wp:extent cx="1000000" cy="500000"/><wp:docPr id="1" name="Chart"/><a:graphic xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main">'
+        '<a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/chart"><c:chart xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart" '
+        f'r:id="{rels[0]}"/></a:graphicData></a:graphic></wp:anchor></w:drawing></w:r></w:p>'
+    )
+    o.add('<w:p><w:r><mc:AlternateContent xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"><mc:Choice Requires="v"><w:pict><v:shape xmlns:v="urn:schemas-microsoft-com:vml" id="s1"/></w:pict></mc:Choice><mc:Fallback/></mc:AlternateContent></w:r></w:p>')
+    o.add(f'<w:p><w:r><w:object><o:OLEObject xmlns:o="urn:schemas-microsoft-com:office:office" r:id="{rels[1]}"/></w:object></w:r></w:p>').text("x" * chars)
+    o.parts |= {"word/charts/chart1.xml": b'<c:chartSpace xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart"><c:chart/></c:chartSpace>', "word/embeddings/oleObject1.bin": b"object"}
+    o.parts |= {"word/media/vector1.emf": b"e" * 30, "word/media/vector2.wmf": b"w" * 30}
+    return o.save()
+
+
+def _made(rows, key: str, make):
+    """doc_id, content: make(row) for each row, packages made by batches."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from ..sources.packages import spread
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(r[key], make(r)) for r in batch.to_dict("records")], columns=["doc_id", "content"])
+
+    return spread(rows, key).mapInPandas(run, "doc_id long, content binary")
+
+
+@query("""SELECT p_partkey AS doc_id, [NULL, 'Docx', 'Docx', 'NotOle2', 'Docx', 'Cfb', NULL][p_partkey % 7 + 1] AS error FROM part""")
+def package_errors(spark, sf_dir):
+    """Packages that are sound, cut off, without a main part, no document at all, with too many relationships, or legacy ones
+    cut off: each is one row, and what can't be opened says why."""
+    from ..sources.packages import MOST_RECORDS, open_documents
+
+    def make(r: dict) -> bytes:
+        import io
+        import zipfile
+
+        from ..sources import writer as w
+
+        n = r["p_partkey"] % 7
+        sound = w.Builder().text(f"part {r['p_partkey']}").save()
+        if n in (2, 4):
+            out = io.BytesIO()
+            with zipfile.ZipFile(io.BytesIO(sound)) as a, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for e in a.namelist():
+                    body = a.read(e)
+                    if e == "word/_rels/document.xml.rels" and n == 4:
+                        body = b'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + b'<Relationship Id="r" Type="t" Target="x"/>' * (MOST_RECORDS + 1) + b"</Relationships>"
+                    if n == 4 or e != "word/document.xml":
+                        z.writestr(e, body)
+            return out.getvalue()
+        return [sound, sound[: len(sound) // 2], b"", b"plain text", b"", bytes.fromhex("D0CF11E0A1B11AE1") + b"short", sound][n]
+
+    opened = open_documents(_made(b.read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", make), ["block", "package"], "doc_id")
+    got = opened.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.when(F.col("tag") == "error", F.col("name"))).alias("error"))
+    return got
+
+
+@query("""SELECT p_partkey AS doc_id, '{"format":"docx","stats":{"paragraphs":1,"tables":0,"figures":0,"text_chars":' || p_size || '},"core_properties":{"title":null,"subject":null,"creator":null,"description":null,"keywords":null,"category":null,"content_status":null,"last_modified_by":null,"created":null,"modified":null,"last_printed":null,"revision":null,"version":null},"custom_properties":{},"edit":{"package_preserving":true,"read_only_reasons":[]},"edited_parts":[],"features":{"comments":0,"footnotes":0,"endnotes":0,"text_boxes":0,"tracked_insertions":0,"tracked_deletions":0,"tracked_moves":0,"tracked_property_changes":0,"fields":0,"field_kinds":[],"unsupported_field_kinds":[],"unsupported_field_reasons":[],"hyperlinks":0,"content_controls":0,"nested_tables":0,"floating_shapes":2,"charts":1,"unsupported_charts":1,"ole_objects":1,"unsupported_metafiles":2,"metafiles":[{"path":"word/media/vector1.emf","format":"EMF","bytes":30,"compressed":false,"width_px":null,"height_px":null},{"path":"word/media/vector2.wmf","format":"WMF","bytes":30,"compressed":false,"width_px":null,"height_px":null}]},"warnings":[{"kind":"FloatingShapePlaceholderOnly","count":2},{"kind":"ChartsPreservedButNotModeled","count":1},{"kind":"OleObjectsPreservedButNotModeled","count":1},{"kind":"UnsupportedMetafileImages","count":2}]}' AS report FROM part""")
+def package_report(spark, sf_dir):
+    """The report, byte for byte, of a package for every part."""
+    from ..kept import written
+    from ..sources.packages import open_documents
+    from . import documents
+
+    files = _made(b.read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", lambda r: odd_objects(r["p_size"]))
+    return documents.report(written(open_documents(files, key="doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "report")
+
+
+@query("""WITH p AS (SELECT p_partkey AS doc_id, p_size AS n FROM part) SELECT doc_id, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS ord,
+unnest([greatest(n, 7)::VARCHAR, least(n, 7)::VARCHAR, printf('%.1f', (n + 7) / 2), CASE WHEN n > 25 THEN '1' ELSE '2' END, '0', '1', '0', (n % 10)::VARCHAR]) AS computed_result FROM p""".replace("printf('%.1f', (n + 7) / 2)", "regexp_replace(((n + 7) / 2::DOUBLE)::VARCHAR, '[.]0$', '')"))
+def formula_grammar(spark, sf_dir):
+    """Functions over argument lists, the lazy IF, DEFINED and the truth values, written as fields, read back and evaluated."""
+    from ..sources import writer as w
+    from ..sources.packages import open_documents, records
+
+    def make(r: dict) -> bytes:
+        n = r["p_size"]
+        codes = (f"= MAX({n}, 7)", f"= MIN({n}, 7)", f"= AVERAGE({n}, 7)", f"= IF({n} > 25, 1, 2)", "= DEFINED(nosuch)", "= TRUE", "= FALSE", f"= MOD({n}, 10)")
+        return w.Builder().add(w.paragraph("".join(w.simple_field(c, "cached") for c in codes))).save()
+
+    opened = open_documents(_made(b.read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", make), ["field"], "doc_id")
+    return records(opened, "field", {"computed_result": "string"}).select(F.col("doc_id").cast("long").alias("doc_id"), "ord", "computed_result")
+
+
+@query("""SELECT p_partkey AS doc_id, string_agg(t, chr(10) ORDER BY i) AS toc FROM (SELECT p_partkey, unnest([0, 1, 2]) AS i, unnest([NULL, 'Inside ' || p_size, '  entry ' || p_size]) AS t FROM part) WHERE t IS NOT NULL GROUP BY p_partkey""")
+def contents_of_bookmark(spark, sf_dir):
+    """A contents field over a bookmark: headings and entries inside it, in the document's order, none before or behind."""
+    from ..sources import writer as w
+    from ..sources.packages import open_documents, records
+
+    def make(r: dict) -> bytes:
+        n = r["p_size"]
+        o = w.Builder().heading("Before").add('<w:bookmarkStart w:id="9" w:name="mark"/>').heading(f"Inside {n}")
+        o.add(w.paragraph(w.run("x") + w.simple_field(f'TC "entry {n}" \\l 2')) + '<w:bookmarkEnd w:id="9"/>').heading("After").add(w.paragraph(w.simple_field('TC "late"')))
+        return o.add(w.paragraph(w.simple_field("TOC \\o \\f \\b mark", "?"))).save()
+
+    opened = open_documents(_made(b.read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", make), ["field"], "doc_id")
+    found = records(opened, "field", {"computed_result": "string"}).where("name = 'Toc'")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("computed_result").alias("toc"))
+
+
+@query(f"""WITH {ROWS}, f AS (SELECT doc_id, row, max(row) OVER (PARTITION BY doc_id) AS n FROM rows), w AS (SELECT doc_id, row, l_linestatus = 'F' AS wide FROM rows)
+SELECT f.doc_id, f.row, NOT bool_or(wide AND (w.row = f.row OR w.row BETWEEN least(2, f.row) AND greatest(2, f.row))) AND any_value(n) >= 2 AS safe FROM f JOIN w USING (doc_id) GROUP BY f.doc_id, f.row""")
+def table_formula_spans(spark, sf_dir):
+    """Which formulas over the rows between the second and their own touch no row with a spanned cell."""
+    cells = b.line_cells(spark, sf_dir).select("doc_id", "row", F.lit(1).alias("col"), (F.col("l_linestatus") == "F").alias("has_span"))
+    f = cells.select("doc_id", "row", "col", F.lit(2).alias("r1"), F.lit(1).alias("c1"), F.col("row").alias("r2"), F.lit(1).alias("c2"))
+    return tables.spans_touched(f, cells).select("doc_id", "row", "safe")
+
+
+@query("""SELECT event_id, user_id AS doc_id, CASE WHEN event_type <> 'click' THEN n END AS result FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)""")
+def note_ref(spark, sf_dir):
+    """NOTEREF to every event's note; clicks have a mark of their own."""
+    e = b.read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("doc_id"), F.col("event_id").cast("string").alias("name"), (F.col("event_type") == "click").alias("custom"))
+    notes = counters.note_ordinals(e, F.lit(False), order="event_id")
+    return lookups.note_ref(e.select("event_id", "doc_id", "name"), notes.select("doc_id", "name", "custom", "number")).select("event_id", "doc_id", F.col("result").cast("long").alias("result"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal ELSE n_nationkey * 1.5::DOUBLE END AS size, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE n_name END AS font FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def overlay(spark, sf_dir):
+    """Direct properties over a style's: a declared null hides the style's value."""
+    c = b.read(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_nationkey").alias("style"), F.col("c_acctbal").alias("size"), (F.col("c_custkey") % 3 == 0).alias("size_declared"), F.lit(None).cast("string").alias("font"), (F.col("c_custkey") % 2 == 0).alias("font_declared")
+    )
+    styles = b.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("style"), (F.col("n_nationkey") * 1.5).alias("size"), F.col("n_name").alias("font"))
+    return content.overlay(c, styles, ["size", "font"], ["style"]).select("c_custkey", "size", "font")
+
+
+@query("""WITH p AS (SELECT p_partkey AS doc_id, p_size AS n FROM part) SELECT doc_id, '# Table' || chr(10) || chr(10) || '| h | ' || n || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| a\\|b | ' || (n + 1) || ' |' AS markdown FROM p""")
+def tables_markdown(spark, sf_dir):
+    """A table written into a package for every part, opened again and exported."""
+    from ..kept import written
+    from ..sources import writer as w
+    from ..sources.packages import open_documents
+    from . import documents
+
+    def make(r: dict) -> bytes:
+        n = r["p_size"]
+        rows = [[w.cell(w.paragraph(w.run(t))) for t in row] for row in (("h", str(n)), ("a|b", str(n + 1)))]
+        return w.Builder().heading("Table").add(w.table(rows, header_rows=1)).save()
+
+    files = _made(b.read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", make)
+    return documents.markdown(written(open_documents(files, ["block", "run", "cell"], "doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "markdown")

@@ -220,7 +220,9 @@ class Properties:
     def parse(cls, word: bytes, bins: bytes, paragraphs: bool) -> Properties:
         out, rows = cls(), []
         n = (len(bins) - 4) // 8
-        for i in range(max(0, min(n, MOST_PIECES))):
+        if n > MOST_PIECES:
+            raise Refused("Fib", "too many property pages")
+        for i in range(max(0, n)):
             page = struct.unpack_from("<I", bins, 4 * (n + 1) + 4 * i)[0] & 0x3FFFFF
             fkp = word[page * 512 : page * 512 + 512]
             if len(fkp) < 512:
@@ -347,6 +349,7 @@ class Lists:
     def __init__(self, definitions: bytes, overrides: bytes):
         self.levels: dict[int, list[dict]] = {}
         self.instances: list[int] = []
+        self.starts: dict[int, dict[int, int]] = {}  # instance -> level -> where it starts when first seen
         try:
             n = struct.unpack_from("<h", definitions, 0)[0]
             simple = [(struct.unpack_from("<i", definitions, 2 + 28 * i)[0], bool(definitions[2 + 28 * i + 26] & 1)) for i in range(max(0, n))]
@@ -364,9 +367,24 @@ class Lists:
         except (struct.error, IndexError):
             pass
         try:
-            n = struct.unpack_from("<i", overrides, 0)[0]
-            self.instances = [struct.unpack_from("<i", overrides, 4 + 16 * i)[0] for i in range(max(0, n))]
-        except struct.error:
+            n = max(0, struct.unpack_from("<i", overrides, 0)[0])
+            heads = [struct.unpack_from("<i8xB", overrides, 4 + 16 * i) for i in range(n)]
+            self.instances = [lsid for lsid, _ in heads]
+            at = 4 + 16 * n
+            for i, (_, count) in enumerate(heads):
+                at += 4
+                for _ in range(count):
+                    start, flags = struct.unpack_from("<iI", overrides, at)
+                    at += 8
+                    if flags & 0x20:  # a level of its own follows
+                        chpx, papx = overrides[at + 24], overrides[at + 25]
+                        if flags & 0x10:
+                            start = struct.unpack_from("<i", overrides, at)[0]
+                        at += 28 + chpx + papx
+                        at += 2 + 2 * struct.unpack_from("<H", overrides, at)[0]
+                    if flags & 0x10 and flags & 0xF < 9:
+                        self.starts.setdefault(i + 1, {})[flags & 0xF] = start
+        except (struct.error, IndexError):
             pass
         self.counters: dict[int, list[int | None]] = {}
 
@@ -379,6 +397,9 @@ class Lists:
         levels = self.levels[lsid]
         level = min(level, len(levels) - 1)
         c = self.counters.setdefault(lsid, [None] * 9)
+        for i, start in self.starts.pop(instance, {}).items():
+            c[i] = start - 1 if i == level else start
+            c[i + 1 :] = [None] * (8 - i)
         c[level] = levels[level]["start"] if c[level] is None else c[level] + 1
         for i in range(level):
             c[i] = levels[i]["start"] if c[i] is None else c[i]
@@ -409,7 +430,9 @@ def comment_marks(plc: bytes) -> list[tuple[int, str, int]]:
     """(position, initials, author's number) of each comment's mark."""
     n = (len(plc) - 4) // 34
     out = []
-    for i in range(max(0, min(n, MOST_PIECES))):
+    if n > MOST_PIECES:
+        raise Refused("Fib", "too many comments")
+    for i in range(max(0, n)):
         at = 4 * (n + 1) + 30 * i
         size = min(9, struct.unpack_from("<H", plc, at)[0])
         out.append((struct.unpack_from("<i", plc, 4 * i)[0], plc[at + 2 : at + 2 + 2 * size].decode("utf-16-le", "replace"), struct.unpack_from("<H", plc, at + 20)[0]))

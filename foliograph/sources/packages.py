@@ -160,7 +160,9 @@ def relationships(body: bytes) -> list[dict]:
         return []
     out = []
     for e in root:
-        if local(e) == "Relationship" and len(out) < MOST_RECORDS:
+        if local(e) == "Relationship":
+            if len(out) == MOST_RECORDS:
+                raise Refused("Docx", "too many relationships")
             out.append({"rid": attr(e, "Id"), "type": attr(e, "Type") or "", "target": attr(e, "Target") or "", "external": attr(e, "TargetMode") == "External"})
     return out
 
@@ -273,13 +275,14 @@ RECORD = "doc_id string, tag string, ord int, story string, path string, name st
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, length, content, format of the files that are documents; others are left out by their first bytes.
+    """path, length, content, format (docx, doc or null, by the first bytes) of the files.
 
-    Size is filtered before content is read.
+    Files over PACKAGE_BYTES come without content, which isn't read, and are opened to an error.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     found = files.where(F.col("length") <= PACKAGE_BYTES).select("path", "length", "content").withColumn("format", sniff(F.col("content")))
-    return found
+    large = files.where(F.col("length") > PACKAGE_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("format"))
+    return found.unionByName(large)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -293,33 +296,42 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def open_documents(files: DataFrame, wanted: list[str] | None = None, key: str = "path", context: dict | None = None) -> DataFrame:
     """Records (RECORD) of every file, a batch of files at a time. wanted names the tags to make; others aren't parsed out.
 
-    A file that can't be opened is one record with the tag "error"; it never fails the job. Null content is one, too.
+    A file that can't be opened is one record with the tag "error"; it never fails the job. Null content is one, too, and
+    so is a file whose `length` is over PACKAGE_BYTES. Errors of our own code have the name "Internal"; a task that runs
+    out of memory fails, as the file may be sound.
     """
     wants = set(wanted) if wanted is not None else None
+    length = F.col("length").cast("long") if "length" in files.columns else F.lit(None).cast("long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from .binary import open_doc
         from .wml import open_docx
 
         for b in batches:
-            for doc, body in zip(b["k"], b["content"]):
+            for doc, body, size in zip(b["k"], b["content"], b["length"]):
                 rows = []
                 try:
                     data = bytes(body) if body is not None else b""
+                    if max(len(data), size if size == size and size is not None else 0) > PACKAGE_BYTES:
+                        raise Refused("Docx", "file too large")
                     if data[:4] == ZIP_MAGIC:
                         rows = open_docx(data, wants, context)
                     elif data[:8] == OLE_MAGIC:
                         rows = open_doc(data, wants)
                     else:
                         raise Refused("NotOle2", "neither a ZIP package nor a compound file")
+                    if wants is None or "package" in wants:
+                        rows.insert(0, {"tag": "package", "ord": 0, "name": "docx" if data[:4] == ZIP_MAGIC else "doc"})
                 except Refused as x:
                     rows = [{"tag": "error", "ord": 0, "name": x.kind, "text": x.said}]
-                except (RecursionError, ValueError, KeyError, IndexError, TypeError, AttributeError, struct.error, MemoryError) as x:
+                except (RecursionError, ValueError, KeyError, IndexError, struct.error) as x:
                     rows = [{"tag": "error", "ord": 0, "name": "Malformed", "text": f"{type(x).__name__}: {x}"[:500]}]
+                except (TypeError, AttributeError) as x:
+                    rows = [{"tag": "error", "ord": 0, "name": "Internal", "text": f"{type(x).__name__}: {x}"[:500]}]
                 for i in range(0, len(rows), 5000):
                     yield pd.DataFrame([{"doc_id": doc, "story": None, "path": None, "name": None, "text": None, "fields": {}} | r for r in rows[i : i + 5000]])[[c.split()[0] for c in RECORD.split(", ")]]
 
-    return files.select(F.col(key).cast("string").alias("k"), "content").mapInPandas(run, RECORD)
+    return files.select(F.col(key).cast("string").alias("k"), "content", length.alias("length")).mapInPandas(run, RECORD)
 
 
 def records(opened: DataFrame, tag: str, columns: dict[str, str] | None = None) -> DataFrame:

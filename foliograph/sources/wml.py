@@ -200,6 +200,7 @@ class Reader:
         self.p, self.wanted, self.context = package, wanted, context or {}
         self.rows: list[dict] = []
         self.ord = 0
+        self.pending: list[Element] = []  # bookmarks that begin between paragraphs
         main = next((resolve("", r["target"]) for r in package.rels("") if r["type"].endswith("/officeDocument")), "word/document.xml")
         if main not in package.parts:
             raise Refused("Docx", "missing word/document.xml")
@@ -379,6 +380,11 @@ class Reader:
                 if inside is not None:
                     texts += self.blocks(inside, story, f"{path}s{n:04d}.", depth + 1, cell)
                 n += 1
+            elif kind == "bookmarkStart":
+                self.pending.append(e)  # it begins with the paragraph that comes next
+            elif kind == "bookmarkEnd":
+                self.begin_bookmarks()
+                self.doc.bookmark_end(attr(e, "id"), self.ord)
             elif kind == "p":
                 texts.append(self.paragraph(e, story, f"{path}{n:04d}", cell))
                 n += 1
@@ -387,6 +393,11 @@ class Reader:
                 n += 1
         return texts
 
+    def begin_bookmarks(self) -> None:
+        for e in self.pending:
+            self.doc.bookmark_start(attr(e, "id"), attr(e, "name"), self.ord, self.page)
+        self.pending.clear()
+
     def content_control(self, e: Element, story: str) -> None:
         pr = child(e, "sdtPr")
         binding = child(pr, "dataBinding")
@@ -443,6 +454,7 @@ class Reader:
         heading = self.styles.heading(style) or (int(outline) + 1 if outline and outline.isdigit() and int(outline) < 9 else None)
         start, pos = self.ord, self.doc.paragraph_start(story, heading, style, (self.styles.by_id.get(style or "") or {}).get("name"), label, full)
         self.ord += 1
+        self.begin_bookmarks()
         if on(child(ppr, "pageBreakBefore")) and start:
             self.page_break()
         out: list[str] = []
@@ -500,13 +512,18 @@ class Runs:
             if handler:
                 handler(c)
             elif kind == "AlternateContent":
-                if any(local(x) in ("drawing", "pict") for x in inner(c)):
-                    self.r.emit("mark", story=self.story, name="alternate_drawing")
+                self.alternate(c)
                 for x in chosen(c):
                     self.walk([x])
             elif kind in ("smartTag", "customXml", "dir", "bdo"):
                 self.walk(c)
 
+    def alternate(self, e: Element) -> None:
+        """A shape without an anchor of its own."""
+        names = {local(x) for x in inner(e)}
+        if names & {"drawing", "pict"} and "anchor" not in names:
+            self.r.emit("mark", story=self.story, name="alternate_drawing")
+
     def on_r(self, e: Element) -> None:
         rpr = child(e, "rPr")
         props = run_properties(rpr)
@@ -520,6 +537,7 @@ class Runs:
     def piece(self, c: Element, text: list[str]) -> None:
         kind, doc = local(c), self.r.doc
         if kind == "AlternateContent":
+            self.alternate(c)
             for x in chosen(c):
                 self.piece(x, text)
         elif kind in ("t", "delText"):
@@ -631,7 +649,7 @@ class Runs:
                 place = lambda n: next((v for c in x if local(c) == n for v in [next((d.text for d in c if local(d) == "posOffset"), None)]), None)  # noqa: B023, E731
                 self.r.emit(
                     "shape", story=self.story, path=self.path, name=attr(props, "name") if props is not None else attr(x, "id"), text="", width=attr(ext, "cx") if ext is not None else None, height=attr(ext, "cy") if ext is not None else None,
-                    x=place("positionH"), y=place("positionV"), wrap=wrap, behind=attr(x, "behindDoc") == "1", z=attr(x, "relativeHeight"),
+                    x=place("positionH"), y=place("positionV"), wrap=wrap, behind=attr(x, "behindDoc") == "1", z=attr(x, "relativeHeight"), anchored=local(x) == "anchor",
                 )
             if local(x) == "txbxContent":
                 text = "\n".join(t for t in (plain_text(p) for p in x if local(p) == "p") if t)

@@ -374,10 +374,11 @@ def test_text_views_and_report(opened):
     views = {v: documents.view(opened, v).first().text for v in content.VIEWS}
     assert views["annotated"].endswith("a [+new] [-old] c 1") and views["accepted"].endswith("a new c 1") and views["original"].endswith("a old c 1")
     r = json.loads(documents.report(opened).first().report)
-    assert list(r) == ["format", "stats", "core_properties", "custom_properties", "edit", "features", "warnings"]
+    assert list(r) == ["format", "stats", "core_properties", "custom_properties", "edit", "edited_parts", "features", "warnings"]
     assert r["stats"]["tables"] == 2 and r["core_properties"]["title"] == "T" and r["core_properties"]["subject"] is None and r["custom_properties"] == {"k": "v"}
     assert r["features"]["field_kinds"] == [{"kind": "Unknown", "count": 1}, {"kind": "Page", "count": 1}] and r["features"]["footnotes"] == 1
-    assert r["warnings"] == ["UnsupportedFieldEvaluation", "TrackedChangesPresent"]
+    assert [x["kind"] for x in r["warnings"]] == ["UnsupportedFieldEvaluation", "TrackedChangesPresent"] and r["warnings"][1]["insertions"] == 1
+    assert r["warnings"][0] == {"kind": "UnsupportedFieldEvaluation", "count": 1, "field_kinds": [{"kind": "Unknown", "count": 1}]}
     note = packages.records(opened, "note", {"anchor": "string"}).first()
     assert note.anchor == "anewc1"
 
@@ -446,3 +447,32 @@ def test_texts_show_computed_results():
     assert [r["text"] for r in of(rows, "bookmark")] == ["2", "7"] and values(rows, "comment", "anchor") == ["4"] and values(rows, "note", "anchor") == ["74"]
     assert "".join(r["text"] for r in of(rows, "run") if r["story"] == "body").startswith("Parta 6 b kept2274")
     assert not any("\ufdd0" in (r["text"] or "") or "\ufdd2" in (r["text"] or "") for r in rows)
+
+
+def test_contents_of_a_bookmark_captions_and_entries_in_order(spark):
+    b = w.Builder().heading("Before").add('<w:bookmarkStart w:id="9" w:name="mark"/>').heading("Inside")
+    b.add(w.paragraph(w.run("x") + w.simple_field('TC "entry" \\l 2')) + '<w:bookmarkEnd w:id="9"/>').heading("After")
+    b.add(w.paragraph(w.run("Figure ") + w.simple_field("SEQ Figure", "1") + w.run(": A cat"))).add(w.paragraph(w.simple_field('TC "late"')))
+    codes = ("TOC \\b mark", "TOC \\f \\o", "TOC \\c Figure", "TOC \\a Figure", "TOC \\f \\b mark")
+    b.add(w.paragraph("".join(w.simple_field(c, "?") for c in codes)))
+    opened = packages.open_documents(spark.createDataFrame([("a", b.save())], "path string, content binary"), ["field"])
+    got = {r.text: r.computed_result for r in packages.records(opened, "field", {"computed_result": "string"}).collect()}
+    assert [got[c] for c in codes] == ["Inside", "Before\nInside\n  entry\nAfter\nlate", "Figure 1: A cat", "A cat", "  entry"]
+
+
+def test_report_of_known_packages(spark):
+    from foliograph.plans import documents, queries
+
+    opened = packages.open_documents(spark.createDataFrame([("a", queries.odd_objects(60))], "path string, content binary"))
+    assert documents.report(opened).first().report == GOLDEN
+
+
+GOLDEN = (
+    '{"format":"docx","stats":{"paragraphs":1,"tables":0,"figures":0,"text_chars":60},"core_properties":{"title":null,"subject":null,"creator":null,"description":null,"keywords":null,"category":null,'
+    '"content_status":null,"last_modified_by":null,"created":null,"modified":null,"last_printed":null,"revision":null,"version":null},"custom_properties":{},"edit":{"package_preserving":true,"read_only_reasons":[]},'
+    '"edited_parts":[],"features":{"comments":0,"footnotes":0,"endnotes":0,"text_boxes":0,"tracked_insertions":0,"tracked_deletions":0,"tracked_moves":0,"tracked_property_changes":0,"fields":0,"field_kinds":[],'
+    '"unsupported_field_kinds":[],"unsupported_field_reasons":[],"hyperlinks":0,"content_controls":0,"nested_tables":0,"floating_shapes":2,"charts":1,"unsupported_charts":1,"ole_objects":1,"unsupported_metafiles":2,'
+    '"metafiles":[{"path":"word/media/vector1.emf","format":"EMF","bytes":30,"compressed":false,"width_px":null,"height_px":null},{"path":"word/media/vector2.wmf","format":"WMF","bytes":30,"compressed":false,'
+    '"width_px":null,"height_px":null}]},"warnings":[{"kind":"FloatingShapePlaceholderOnly","count":2},{"kind":"ChartsPreservedButNotModeled","count":1},{"kind":"OleObjectsPreservedButNotModeled","count":1},'
+    '{"kind":"UnsupportedMetafileImages","count":2}]}'
+)

@@ -2,6 +2,8 @@
 
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from foliograph.operators import content, counters, lookups, reports, tables
@@ -132,3 +134,53 @@ def test_dangling_relationships(spark):
     rels = packages.records(opened, "rel", {"resolved": "string", "external": "boolean"})
     assert dangling(rels, packages.records(opened, "part")).count() == 0
     assert dangling(rels, packages.records(opened, "part").where("name <> 'word/styles.xml'")).count() == 1
+
+
+def test_deep_threads_cycles_and_many_comments(spark):
+    import pyspark.sql.functions as F
+
+    deep = [(1, i, i - 1 if i else None) for i in range(300)] + [(2, 1, 2), (2, 2, 1), (2, 3, 2), (3, 5, 9)]
+    got = {tuple(r) for r in lookups.threads(spark.createDataFrame(deep, "doc_id int, id int, parent_id int")).collect()}
+    assert got == {(1, i, 0, i) for i in range(300)} | {(3, 5, 5, 0)}
+    many = spark.range(1_200_000).select((F.col("id") % 1000).alias("doc_id"), F.col("id"), F.when(F.col("id") >= 1000, F.col("id") - 1000).alias("parent_id"))
+    r = lookups.threads(many).agg(F.count("*"), F.max("depth"), F.count_if(F.col("root") == F.col("doc_id"))).first()
+    assert tuple(r) == (1_200_000, 1199, 1_200_000)
+
+
+def test_styles_by_the_million_and_several_properties(spark):
+    import pyspark.sql.functions as F
+
+    s = spark.range(1_100_000).select(F.col("id").alias("style_id"), F.when(F.col("id") % 50 > 0, F.col("id") - 1).alias("based_on"), (F.col("id") % 50 == 0).alias("declared"), (F.col("id") * 1.0).alias("value"))
+    r = content.inherit_styles(s).agg(F.count("*"), F.max("depth"), F.count("depth"), F.count_if(F.col("value") == F.col("style_id") - F.col("style_id") % 50)).first()
+    assert tuple(r) == (1_100_000, 32, 22_000 * 33, 22_000 * 33)  # 32 links at most
+    two = spark.createDataFrame([(1, "a", None, "x", True, None, True), (1, "b", "a", None, False, 2, True), (1, "c", "b", None, False, None, False), (2, "c", "a", None, False, None, False)],
+        "doc_id int, style_id string, based_on string, font string, font_declared boolean, size int, size_declared boolean")
+    got = {(r.doc_id, r.style_id): (r.font, r.font_depth, r.size, r.size_depth) for r in content.inherit_styles(two, doc="doc_id", columns=["font", "size"]).collect()}
+    assert got == {(1, "a"): ("x", 0, None, 0), (1, "b"): ("x", 1, 2, 0), (1, "c"): ("x", 2, 2, 1), (2, "c"): (None, None, None, None)}
+
+
+def test_sums_around_a_cell_keep_small_numbers(spark):
+    df = spark.createDataFrame([(1, r, 0, v) for r, v in enumerate((1e17, 0.1, 0.2))], "doc_id int, row int, col int, value double")
+    got = {f: [x for x, in rows(tables.directional(df, f, "C").orderBy("row"), "result")] for f in ("SUM", "AVERAGE", "COUNT")}
+    assert got["SUM"][0] == pytest.approx(0.3) and got["AVERAGE"][0] == pytest.approx(0.15) and got["COUNT"] == [2.0, 2.0, 2.0]
+
+
+def test_spans_make_formulas_unsafe_in_rows_they_read(spark):
+    cells = spark.createDataFrame([(1, r, c, r == 2 and c == 1) for r in range(1, 6) for c in (1, 2)], "doc_id int, row int, col int, has_span boolean")
+    refs = [(1, 1, 3, None, None, None, None), (1, 2, 3, None, None, None, None), (1, 1, 3, 3, 1, 5, 2), (1, 1, 3, 5, 2, 1, 1), (1, 4, 3, 3, 1, 3, 1), (1, 4, 3, 2, 2, 2, 2), (1, 1, 3, 3, 1, 9, 1)]
+    f = spark.createDataFrame(refs, "doc_id int, row int, col int, r1 int, c1 int, r2 int, c2 int")
+    got = {tuple(r)[1:7]: r.safe for r in tables.spans_touched(f, cells).collect()}
+    assert [got[x[1:]] for x in refs] == [True, False, True, False, True, False, False]
+
+
+def test_repeats_of_korean_marks_are_bounded():
+    from foliograph.functions import numbers
+
+    assert numbers.cycled(15, numbers.GANADA) == "가가" and len(numbers.cycled(5_000_000, numbers.GANADA)) == 1024
+
+
+def test_list_recall_of_long_lists(spark):
+    import pyspark.sql.functions as F
+
+    df = spark.createDataFrame([(["a"] * 3 + [f"w{i}" for i in range(60_000)], ["a", "zz"] + [f"w{i}" for i in range(0, 60_000, 2)])], "r array<string>, c array<string>")
+    assert df.select(reports.list_recall(F.col("r"), F.col("c"))).first()[0] == pytest.approx(30_003 / 60_003)

@@ -52,24 +52,3 @@ def test_entry_module(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
-
-
-ALL_CAPTIONS = "SELECT doc_id, ord, trim(line) AS caption FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INT AS ord, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''"
-
-
-def test_every_line_is_a_caption(spark, sf, duck):
-    got = Counter(tuple(r) for r in queries.QUERIES["caption_text"](spark, sf).select("doc_id", "ord", "caption").collect())
-    assert got == Counter(duck.execute(ALL_CAPTIONS).fetchall()) and max(r[1] for r in got) > 1
-    assert not Counter(duck.execute(queries.SQL["caption_text"]).fetchall()) - got
-
-
-def test_every_row_of_an_order_is_added_up(spark, sf, duck):
-    cells = duck.execute("SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount), l_quantity + round(l_discount * 100) FROM lineitem").fetchall()
-    orders = {}
-    for order, row, value in cells:
-        orders.setdefault(order, {})[row] = value
-    got = {(r.doc_id, r.row): plain(r.result) for r in queries.QUERIES["table_formula_range"](spark, sf).collect()}
-    assert got == {(o, r): plain(sum(rows[i] for i in range(min(r, 3), max(r, 3) + 1))) if len(rows) >= 3 else None for o, rows in orders.items() for r in rows}
-    assert any(r > 3 for _, r in got)
-    old = {(o, r): plain(x) for o, r, x in duck.execute(queries.SQL["table_formula_range"]).fetchall()}
-    assert old == {k: x for k, x in got.items() if k[1] <= 3}
