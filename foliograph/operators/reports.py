@@ -101,15 +101,35 @@ def list_recall(reference: Column, candidate: Column) -> Column:
     return F.when(F.size(reference) > 0, F.aggregate(both, start, step, lambda s: s["n"]) / F.size(reference)).otherwise(1.0)
 
 
+def small(df: DataFrame, size: Column, most: int = 64 << 20) -> DataFrame:
+    """df, to be broadcast if its rows, of `size` bytes and some more each, add up to little."""
+    return F.broadcast(df) if (df.agg(F.sum(size + 64)).first()[0] or 0) <= most else df
+
+
+def sharing(candidates: DataFrame, references: DataFrame, key: str, other: str, tokens: str, their: str, n: int = 5) -> DataFrame:
+    """Pairs (key, other) of rows whose token lists share n tokens in a row, each pair once.
+
+    Runs of few references are broadcast, so that the candidates' runs are looked up where they are read and only pairs
+    move; runs of many references meet by an exchange. Lists of fewer tokens, and nulls, share nothing.
+    """
+
+    def runs(df: DataFrame, name: str, xs: str) -> DataFrame:
+        run = F.transform(F.sequence(F.lit(1), F.size(xs) - (n - 1)), lambda i: F.array_join(F.slice(xs, i, n), " "))
+        return df.select(name, F.explode(F.array_distinct(F.when(F.size(xs) >= n, run))).alias("run"))
+
+    wanted = small(runs(references, other, their), F.octet_length("run"))
+    return runs(candidates, key, tokens).join(wanted, "run").select(key, other).distinct()
+
+
 def score_summary(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     every = [f(F.col(c)).alias(f"{n}_{c}") for c in ("recall", "precision", "f1") for n, f in (("mean", F.avg), ("median", F.median))]
     return scores.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("files"), *every)
 
 
-def gates(summary: DataFrame, least: dict[str, float]) -> DataFrame:
-    """One row a gate: gate, value, least and passed; a missing value doesn't pass."""
+def gates(summary: DataFrame, least: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+    """One row a gate (and key): gate, value, least and passed; a missing value doesn't pass."""
     rows = F.explode(F.array(*(F.struct(F.lit(c).alias("gate"), F.col(c).cast("double").alias("value"), F.lit(float(x)).alias("least")) for c, x in least.items())))
-    return summary.select(rows.alias("g")).select("g.*").withColumn("passed", F.coalesce(F.col("value") >= F.col("least"), F.lit(False)))
+    return summary.select(*(keys or []), rows.alias("g")).select(*(keys or []), "g.*").withColumn("passed", F.coalesce(F.col("value") >= F.col("least"), F.lit(False)))
 
 
 # Patterns of the hygiene scan: kind -> regular expression. Fixed values; a table of one's own can be passed instead.

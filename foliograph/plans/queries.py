@@ -408,28 +408,36 @@ def warnings(spark, sf_dir):
     return f.select("doc_id", F.array_join(reports.warnings(["unsupported_charts", "tracked_changes", "read_only"]), ",").alias("warnings"))
 
 
-TOKENS = r"""d AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS r, regexp_extract_all(lower(substr(text, 1, 500)), '[\p{L}\p{N}]+') AS c FROM documents),
-x AS (SELECT doc_id, source, len(list_distinct(r)) AS nr, len(list_distinct(c)) AS nc, len(list_intersect(list_distinct(r), list_distinct(c)))::DOUBLE AS common, r, c FROM d),
-s AS (SELECT doc_id, source, CASE WHEN nr > 0 THEN common / nr ELSE 1 END AS recall, CASE WHEN nc > 0 THEN common / nc WHEN nr = 0 THEN 1 ELSE 0 END AS precision,
+TOKENS = r"""d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS c FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS r FROM benchmark),
+dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(c, j, j + 4), ' ') AS g FROM (SELECT doc_id, c, unnest(range(1, len(c) - 3)) AS j FROM d)),
+ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(r, j, j + 4), ' ') AS g FROM (SELECT item_id, r, unnest(range(1, len(r) - 3)) AS j FROM i)),
+p AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)),
+x AS (SELECT doc_id, item_id, len(list_distinct(r)) AS nr, len(list_distinct(c)) AS nc, len(list_intersect(list_distinct(r), list_distinct(c)))::DOUBLE AS common, r, c FROM p JOIN d USING (doc_id) JOIN i USING (item_id)),
+s AS (SELECT doc_id, item_id, CASE WHEN nr > 0 THEN common / nr ELSE 1 END AS recall, CASE WHEN nc > 0 THEN common / nc WHEN nr = 0 THEN 1 ELSE 0 END AS precision,
 CASE WHEN len(r) > 0 THEN len(list_filter(r, lambda t: list_contains(c, t))) / len(r)::DOUBLE ELSE 1 END AS list_recall FROM x),
 scores AS (SELECT *, CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END AS f1 FROM s)"""
 
 
 def _scores(spark, sf_dir):
-    d = b.read(spark, sf_dir, "documents").select("doc_id", "source", reports.tokens(F.col("text")).alias("r"), reports.tokens(F.substring("text", 1, 500)).alias("c"))
-    return d.select("doc_id", "source", reports.prf(F.col("r"), F.col("c")).alias("s"), reports.list_recall(F.col("r"), F.col("c")).alias("list_recall")).select("doc_id", "source", "s.*", "list_recall")
+    """Whole documents scored against each benchmark passage of which they hold five tokens in a row."""
+    d = b.read(spark, sf_dir, "documents").select("doc_id", reports.tokens(F.col("text")).alias("c"))
+    i = b.read(spark, sf_dir, "benchmark").select("item_id", reports.tokens(F.col("text")).alias("r"))
+    pairs = reports.sharing(d, i, "doc_id", "item_id", "c", "r").join(reports.small(i, F.octet_length(F.array_join("r", " "))), "item_id").join(d, "doc_id")
+    scored = pairs.select("doc_id", "item_id", reports.prf(F.col("r"), F.col("c")).alias("s"), reports.list_recall(F.col("r"), F.col("c")).alias("list_recall"))
+    return scored.select("doc_id", "item_id", "s.*", "list_recall")
 
 
-@query(f"WITH {TOKENS} SELECT doc_id, round(recall, 9) AS recall, round(precision, 9) AS precision, round(f1, 9) AS f1, round(list_recall, 9) AS list_recall FROM scores")
+@query(f"WITH {TOKENS} SELECT doc_id, item_id, round(recall, 9) AS recall, round(precision, 9) AS precision, round(f1, 9) AS f1, round(list_recall, 9) AS list_recall FROM scores")
 def token_scores(spark, sf_dir):
-    return _scores(spark, sf_dir).select("doc_id", *(F.round(c, 9).alias(c) for c in ("recall", "precision", "f1", "list_recall")))
+    return _scores(spark, sf_dir).select("doc_id", "item_id", *(F.round(c, 9).alias(c) for c in ("recall", "precision", "f1", "list_recall")))
 
 
-@query(f"""WITH {TOKENS}, m AS (SELECT avg(recall) AS mean_recall, median(recall) AS median_recall, avg(f1) AS mean_f1 FROM scores), g AS (SELECT unnest(['mean_recall', 'median_recall', 'mean_f1']) AS gate, unnest([mean_recall, median_recall, mean_f1]) AS value, unnest([0.5, 0.4, 0.9]::DOUBLE[]) AS least FROM m)
-SELECT gate, round(value, 6) AS value, least, value >= least AS passed FROM g""")
+@query(f"""WITH {TOKENS}, m AS (SELECT quality, avg(recall) AS mean_recall, median(recall) AS median_recall, avg(f1) AS mean_f1 FROM scores LEFT JOIN labels USING (doc_id) GROUP BY quality), g AS (SELECT quality, unnest(['mean_recall', 'median_recall', 'mean_f1']) AS gate, unnest([mean_recall, median_recall, mean_f1]) AS value, unnest([0.5, 0.4, 0.9]::DOUBLE[]) AS least FROM m)
+SELECT quality, gate, round(value, 6) AS value, least, value >= least AS passed FROM g""")
 def quality_gates(spark, sf_dir):
-    summary = reports.score_summary(_scores(spark, sf_dir))
-    return reports.gates(summary, {"mean_recall": 0.5, "median_recall": 0.4, "mean_f1": 0.9}).withColumn("value", F.round("value", 6))
+    scores = _scores(spark, sf_dir).join(b.read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    summary = reports.score_summary(scores, ["quality"])
+    return reports.gates(summary, {"mean_recall": 0.5, "median_recall": 0.4, "mean_f1": 0.9}, ["quality"]).withColumn("value", F.round("value", 6))
 
 
 # The patterns that look around, said without.

@@ -184,3 +184,15 @@ def test_list_recall_of_long_lists(spark):
 
     df = spark.createDataFrame([(["a"] * 3 + [f"w{i}" for i in range(60_000)], ["a", "zz"] + [f"w{i}" for i in range(0, 60_000, 2)])], "r array<string>, c array<string>")
     assert df.select(reports.list_recall(F.col("r"), F.col("c"))).first()[0] == pytest.approx(30_003 / 60_003)
+
+
+def test_sharing_pairs_meet_by_five_tokens_in_a_row(spark):
+    c = spark.createDataFrame([(1, list("abcdefg")), (2, list("abcdxefg")), (3, list("abcdeabcde")), (4, list("abcd")), (5, None), (6, []), (1, list("abcdefg"))], "k long, c array<string>")
+    r = spark.createDataFrame([(10, list("bcdef")), (11, list("abcde")), (12, list("abcd")), (13, None)], "o long, r array<string>")
+    assert sorted(rows(reports.sharing(c, r, "k", "o", "c", "r"), "k", "o")) == [(1, 10), (1, 11), (3, 11)]
+    assert rows(reports.sharing(c.limit(0), r, "k", "o", "c", "r"), "k", "o") == []
+
+
+def test_gates_of_each_group(spark):
+    s = spark.createDataFrame([(1, 0.5), (0, 0.9), (None, None)], "q int, a double")
+    assert sorted(rows(reports.gates(s, {"a": 0.8}, ["q"]), "q", "passed"), key=str) == [(0, True), (1, False), (None, False)]
