@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 #: Strings held at once while a batch is split, and cached results of pre-tokens; memory stays bounded by them.
 CHUNK_CHARS, CACHE = 1 << 19, 1 << 17
 
@@ -178,14 +180,27 @@ def encode_documents(df: DataFrame, tokens: list[bytes], pattern: str, *, text:
         for lists in coder.encode(texts):
             yield pa.StructArray.from_arrays([lists, decode(lists)], ["ids", "decoded"])
 
-    coded = df.withColumn("__coded", both(F.col(text)))
-    return coded.withColumns({ids: F.col("__coded.ids"), decoded: F.col("__coded.decoded")}).drop("__coded")
+    (coded,) = spare(df, "coded")
+    return df.withColumn(coded, both(F.col(text))).withColumns({ids: F.col(f"{coded}.ids"), decoded: F.col(f"{coded}.decoded")}).drop(coded)
+
+
+def plain_spec(spec: dict) -> None:
+    """An error for a tokenizer file that asks for more than byte-level BPE with plain added tokens: it would be counted wrongly."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    asked = [f"normalizer {spec['normalizer'].get('type')}"] if spec.get("normalizer") else []
+    asked += [f"model {model['type']}"] if model.get("type", "BPE") != "BPE" else []
+    asked += [f"model {k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    asked += [] if before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) else ["another pre_tokenizer"]
+    asked += [f"added token {k}" for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if asked:
+        raise ValueError(f"not counted: {', '.join(asked)}")
 
 
 class Merges:
     """The merges of a byte-level BPE as sorted arrays: pair of ids -> rank and merged id."""
 
     def __init__(self, spec: dict):
+        plain_spec(spec)
         vocab, chars = spec["model"]["vocab"], byte_chars()
         self.bytes = np.array([vocab[c] for c in chars], np.int64)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
@@ -263,7 +278,7 @@ def counter(spec: dict, pattern: str):
 def count_tokens(df: DataFrame, spec: dict, pattern: str, *, text: str = "text", limit: int = 1024) -> DataFrame:
     """df with n_bytes (UTF-8), n_tokens and over_limit; columns so named are replaced. A null text is an empty one.
 
-    spec is the content of a tokenizer's JSON file of the byte-level BPE kind.
+    spec is the content of a tokenizer's JSON file of the byte-level BPE kind; one that asks for more is an error.
     """
     n = counter(spec, pattern)(F.col(text))
     size: Column = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 ATTACHMENT = "struct<turn:int,number:int,kind:string,ref:string,tokens:int>"
 SPAN = "struct<start:int,end:int>"
@@ -150,8 +152,8 @@ def read_back(df: DataFrame) -> DataFrame:
                 out.append({"turns": turns_of(text), "loss_text": "".join(unescape(text[s["start"] : s["end"]]) for s in loss)})
             yield pa.array(out, kind)
 
-    got = df.withColumn("__read", read("formatted", "loss"))
-    return got.withColumns({"turns": F.col("__read.turns"), "loss_text": F.col("__read.loss_text")}).drop("__read")
+    (got,) = spare(df, "read")
+    return df.withColumn(got, read("formatted", "loss")).withColumns({"turns": F.col(f"{got}.turns"), "loss_text": F.col(f"{got}.loss_text")}).drop(got)
 
 
 def op8_typed_parts(spark, sf_dir):

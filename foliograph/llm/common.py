@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from ..kept import drop, release, shared_dir, written
 
-__all__ = ["connected_components", "drop", "hot", "identified", "look_up", "maybe_among", "release", "shared_dir", "table", "written"]
+__all__ = ["connected_components", "drop", "hot", "identified", "look_up", "maybe_among", "release", "shared_dir", "spare", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names behind as many underscores as it takes for df to have no such column, in any case."""
+    own, front = {c.lower() for c in df.columns}, "__"
+    while any(f"{front}{n}".lower() in own for n in names):
+        front += "_"
+    return [f"{front}{n}" for n in names]
+
+
 def identified(df: DataFrame, key: str = "doc_id", into: str = "__id") -> tuple[DataFrame, DataFrame | None]:
     """df with `into`, the key or, for each row with a null key, a number of its own from 2^62 on; and these numbers, if any.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spare, written
 
 KEY_END = 1 << 60
 LOW = -(1 << 63)
@@ -140,12 +140,12 @@ def shard(
         p = part_of(k.to_numpy(), d.to_numpy())
         return pd.DataFrame({"part": p.astype(np.int32), "before": before[p]})
 
-    rest = df.drop("shard", "slot")
-    inner = {"__k": at, "__d": d}
-    placed = rest.withColumns(inner).withColumn("__p", place("__k", "__d")).withColumn("__part", F.col("__p.part")).withColumn("__before", F.col("__p.before"))
-    dealt = placed.repartitionById(shards * parts, F.col("__part"))
-    slot = F.row_number().over(Window.partitionBy("__part").orderBy("__k", "__d")) - 1 + F.col("__before")
-    return dealt.withColumns({"slot": slot.cast("long"), "shard": F.floor(F.col("__part") / parts).cast("int")}).drop("__k", "__d", "__p", "__part", "__before")
+    k_, d_, p_, part, before_ = inner = spare(df, "k", "d", "p", "part", "before")
+    rest = df.withColumns({k_: at, d_: d}).drop("shard", "slot")
+    placed = rest.withColumn(p_, place(k_, d_)).withColumn(part, F.col(f"{p_}.part")).withColumn(before_, F.col(f"{p_}.before"))
+    dealt = placed.repartitionById(shards * parts, F.col(part))
+    slot = F.row_number().over(Window.partitionBy(part).orderBy(k_, d_)) - 1 + F.col(before_)
+    return dealt.withColumns({"slot": slot.cast("long"), "shard": F.floor(F.col(part) / parts).cast("int")}).drop(*inner)
 
 
 def op1_histogram_sort(spark, sf_dir):

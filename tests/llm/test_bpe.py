@@ -92,3 +92,21 @@ def test_gaps_in_ranks_are_refused(tmp_path):
     p.write_text("YQ== 0\nYg== 2\n")
     with pytest.raises(ValueError):
         bpe.read_ranks(str(p))
+
+
+@pytest.mark.parametrize("change", [
+    {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}},
+    {"added_tokens": [{"content": "<x>", "lstrip": True}]}, {"added_tokens": [{"content": "<x>", "single_word": True}]}, {"model": {"type": "WordPiece"}}, {"model": {"ignore_merges": True}},
+])
+def test_files_that_ask_for_more_are_errors(change):
+    with open(JSON, encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.plain_spec(spec)
+    with pytest.raises(ValueError, match="not counted"):
+        bpe.plain_spec(spec | change | ({"model": spec["model"] | change["model"]} if "model" in change else {}))
+
+
+def test_a_column_named_like_the_one_inside_stays(spark, tokens):
+    df = spark.createDataFrame([("x", 5)], "text string, __coded long")
+    r = bpe.encode_documents(df, tokens, public.PATTERN).first()
+    assert r["__coded"] == 5 and bytes(r.decoded) == b"x"

@@ -60,3 +60,41 @@ def test_sample_is_bounded_and_repeatable(spark):
     docs = spark.createDataFrame([(i, f"some text {i} " * (1 + i % 3)) for i in range(200)], DOCS)
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], LABELS)
     assert q.train(docs, labels, rows=50) == q.train(docs.repartition(3), labels.repartition(5), rows=50)
+
+
+def test_fit_is_the_least_loss_and_the_cut_has_the_fewest_errors():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, len(q.FEATURES)))
+    y = (x[:, 2] - x[:, 7] + rng.normal(size=120) > 0.3).astype(int)
+    r = q.fit(x, y, pairs=500, seed=9)
+    draw = np.random.default_rng(9)  # the same pairs, one by one
+    good, bad = ([i for i in range(120) if y[i] == k] for k in (1, 0))
+    pairs = list(zip(draw.choice(good, 500), draw.choice(bad, 500), strict=True))
+    b = [r.basis(row[None])[0] for row in x]
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-float((b[i] - b[j]) @ w))) for i, j in pairs) / len(pairs) + 1e-3 / 2 * float(w @ w)
+
+    w = np.array(r.weights)
+    least = loss(w)
+    for k in range(len(w)):
+        e = np.eye(len(w))[k] * 1e-4
+        assert abs(loss(w + e) - loss(w - e)) / 2e-4 < 1e-5
+    assert all(loss(w + rng.normal(size=len(w)) * s) > least for s in (1e-3, 0.1, 1) for _ in range(5))
+    u = [float(v @ w) for v in b]
+    errors = lambda cut: sum((s >= cut) != (k == 1) for s, k in zip(u, y, strict=True))
+    assert errors(r.cut) == min(errors(c) for c in u)
+    assert r.share == sum(s < r.cut for s in u) / len(u)
+
+
+def test_score_is_the_formula_and_other_columns_stay(spark):
+    rows = [(i, ("Good text here, and more of it. " if i % 2 else "bad bad !! ") * (i + 1), 0.5, 3) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, __key int")
+    r = q.train(docs, spark.createDataFrame([(i, i % 2, 1) for i in range(12)], "doc_id long, quality int, text int"))
+    got = {x.doc_id: x for x in q.score(docs, r).collect()}
+    for i, text, _, _ in rows:
+        z = [max(-6, min(6, (a - c) / s)) for a, c, s in zip(q.features(text), r.centre, r.spread, strict=True)]
+        base = z + [max(0, a - 1) for a in z] + [max(0, -a - 1) for a in z] + [max(0, a - 2.5) for a in z]
+        u = sum(a * w for a, w in zip(base, r.weights, strict=True)) - r.cut
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-u) * 0.7 / 0.3), abs=1e-9) and got[i]["__key"] == 3
+        assert (got[i].score >= 0.3) == (u >= 0)

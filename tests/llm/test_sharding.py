@@ -63,3 +63,9 @@ def test_splitters_cut_only_large_groups(spark):
     assert got[got.text == "hot"]["shard"].nunique() > 1
     n = got.groupby("shard").size().to_numpy()
     assert np.ptp(n) < 0.1 * n.mean()
+
+
+def test_columns_named_like_those_inside_stay(spark):
+    df = spark.createDataFrame([(1, "a", 7, "p", 8, 9)], "doc_id long, text string, __k long, __P string, __part long, ___d long")
+    r = sharding.shard(df, 3).first()
+    assert (r["__k"], r["__P"], r["__part"], r["___d"], r.slot) == (7, "p", 8, 9, 0) and len(r) == 8
