@@ -804,6 +804,29 @@ def formula_grammar(spark, sf_dir):
     return records(opened, "field", {"computed_result": "string"}).select(F.col("doc_id").cast("long").alias("doc_id"), "ord", "computed_result")
 
 
+@query("""WITH c AS (SELECT c_custkey AS doc_id, c_nationkey AS k FROM customer)
+SELECT doc_id, unnest(range(21))::INT AS ord, unnest(['', 'c' || doc_id, '', k::VARCHAR, 'none ' || doc_id, CASE WHEN k >= 12 THEN '1' ELSE '0' END, 'Nr ' || doc_id, chr(65 + k), '', 'go ' || doc_id, '', '', '', '', '', '', '', '', NULL, NULL, NULL]) AS computed_result FROM c""")
+def field_families(spark, sf_dir):
+    """Fields that keep, ask, compare, say, mark or move, written into a package for every customer, read back and evaluated."""
+
+    def make(row):
+        from ..sources import writer as w
+
+        n, k = row["c_custkey"], row["c_nationkey"]
+        codes = (
+            f'SET Who "c{n}"', "REF Who", f'ASK Reply "How many?" \\d "{k}"', "REF Reply", f'FILLIN "Name?" \\d "none {n}"', f"COMPARE {k} >= 12", f'QUOTE "Nr" "{n}"', f"SYMBOL {65 + k}",
+            "ADVANCE \\d 4", f'GOTOBUTTON Who "go {n}"', 'PRINT "job"', f'XE "entry {n}"', f'TC "title {n}" \\l 1', 'TA \\l "case"', 'RD "other"', f"NEXTIF {k} = 3", f"SKIPIF {k} = 4", "NEXT",
+            'ASK Reply "No default"', 'FILLIN "No default"', "SYMBOL",
+        )
+        return w.Builder().add(w.paragraph("".join(w.simple_field(c, "cached") for c in codes))).save()
+
+    from ..sources.packages import open_documents, records
+
+    made = _made(b.read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", make)
+    opened = open_documents(made, ["field"], "doc_id")
+    return records(opened, "field", {"computed_result": "string"}).select(F.col("doc_id").cast("long").alias("doc_id"), "ord", "computed_result")
+
+
 @query("""SELECT p_partkey AS doc_id, string_agg(t, chr(10) ORDER BY i) AS toc FROM (SELECT p_partkey, unnest([0, 1, 2]) AS i, unnest([NULL, 'Inside ' || p_size, '  entry ' || p_size]) AS t FROM part) WHERE t IS NOT NULL GROUP BY p_partkey""")
 def contents_of_bookmark(spark, sf_dir):
     """A contents field over a bookmark: headings and entries inside it, in the document's order, none before or behind."""
