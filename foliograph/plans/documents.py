@@ -18,7 +18,7 @@ CORE = ("title", "subject", "creator", "description", "keywords", "category", "c
 
 def blocks(opened: DataFrame) -> DataFrame:
     """Top-level blocks of all stories, with story_ord: body, notes, headers and footers, others."""
-    types = {"kind": "string", "heading_level": "int", "list_level": "int", "list_ordered": "boolean", "list_label": "string", "align": "string", "in_table": "string", "simple": "boolean", "page": "int", "section": "int", "style_name": "string"}
+    types = {"kind": "string", "heading_level": "int", "list_level": "int", "list_ordered": "boolean", "list_label": "string", "align": "string", "in_table": "string", "simple": "boolean", "page": "int", "section": "int", "style_name": "string", "lines": "string"}
     story = F.when(F.col("story") == "body", 0).when(F.col("story") == "footnote", 1).when(F.col("story") == "endnote", 2).when(F.col("story").startswith("header"), 3).when(F.col("story").startswith("footer"), 4).otherwise(5)
     return records(opened, "block", types).withColumn("story_ord", story)
 
@@ -29,14 +29,15 @@ def runs(opened: DataFrame) -> DataFrame:
 
 
 def text(opened: DataFrame, story: str | None = None) -> DataFrame:
-    """doc_id, text: normalized text of all stories, or of one: body, footnote, endnote, header, footer, textbox."""
+    """doc_id, text: normalized text of all stories, or of one: body, footnote, endnote, header, footer, textbox. A table is
+    a line for each row, its cells joined by tabs."""
     if story == "textbox":
         boxes = records(opened, "text_box")
         return boxes.groupBy("doc_id").agg(finalize(content.in_order("ord", "text", "\n")).alias("text"))
     own = blocks(opened).where("in_table IS NULL")
     if story:
         own = own.where(F.col("story").startswith(story))
-    lines = own.withColumn("text", F.when(F.col("kind") == "break", "").otherwise(F.col("text")))
+    lines = own.withColumn("text", F.when(F.col("kind") == "break", "").otherwise(F.coalesce("text", "lines")))
     return lines.groupBy("doc_id").agg(finalize(content.in_order(F.struct("story_ord", "story", "path"), "text", "\n")).alias("text"))
 
 

@@ -746,6 +746,41 @@ def _made(rows, key: str, make):
     return spread(rows, key).mapInPandas(run, "doc_id long, content binary")
 
 
+@query("""SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 4 = 0 THEN 'one ' || s_suppkey || chr(10) || 'two' || chr(10) || 'Dear you' || chr(10) || 'a' || chr(9) || 'b' || chr(10) || 'c' || chr(9) || 'd'
+ELSE 'zero ' || s_nationkey || chr(10) || 'two' || chr(10) || 'Dear ' || s_name || chr(10) || 'a' || chr(9) || 'b' || chr(10) || 'cell ' || s_suppkey || chr(9) || 'd' END AS text,
+CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 5 END AS applied, s_suppkey % 4 = 0 AS refused FROM supplier""")
+def edits_of_blocks(spark, sf_dir):
+    """Blocks moved, put in and taken out, a template filled and a table cell set; every fourth batch ends in an edit that
+    fails, and leaves its document as it was."""
+    from ..kept import written
+    from ..operators.edits import edit_documents
+    from ..sources.packages import open_documents
+    from . import documents
+
+    def make(row):
+        from ..sources import writer as w
+
+        o = w.Builder().add(w.paragraph(w.run(f"one {row['s_suppkey']}"))).add(w.paragraph(w.run("two")))
+        return o.add(w.paragraph(w.run("Dear ") + w.simple_field("MERGEFIELD Name", "you"))).add(w.table([["a", "b"], ["c", "d"]])).save()
+
+    s = b.read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name")
+    files = _made(s, "s_suppkey", make)
+
+    def step(ord: int, op: str, **args):
+        given = F.create_map(*(x for k, v in args.items() for x in (F.lit(k), v if hasattr(v, "cast") else F.lit(v)))).cast("map<string,string>")
+        return F.struct(F.lit(ord).alias("ord"), F.lit(op).alias("op"), given.alias("args"))
+
+    steps = [
+        step(0, "move_body_block", source="0", target="1"), step(1, "insert_body_paragraph", index="0", text=F.concat(F.lit("zero "), "s_nationkey")), step(2, "fill_template_fields", Name=F.col("s_name")),
+        step(3, "set_table_cell_text", table="0", row="1", column="0", text=F.concat(F.lit("cell "), "s_suppkey")), step(4, "remove_body_block", index="2"),
+    ]
+    steps = F.array_compact(F.array(*steps, F.when(F.col("s_suppkey") % 4 == 0, step(5, "remove_body_block", index="99"))))
+    edits = s.select(F.col("s_suppkey").alias("doc_id"), F.explode(steps).alias("e")).select("doc_id", "e.*")
+    done = written(edit_documents(files, edits, "doc_id"))
+    said = documents.text(written(open_documents(done, ["block"], "doc_id")), "body")
+    return said.join(done.select("doc_id", "applied", F.col("error").isNotNull().alias("refused")), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "applied", "refused")
+
+
 @query("""SELECT p_partkey AS doc_id, [NULL, 'Docx', 'Docx', 'NotOle2', 'Docx', 'Cfb', NULL][p_partkey % 7 + 1] AS error FROM part""")
 def package_errors(spark, sf_dir):
     """Packages that are sound, cut off, without a main part, no document at all, with too many relationships, or legacy ones

@@ -315,7 +315,7 @@ class Reader:
             self.rels = {r["rid"]: r for r in self.p.rels(name)}
             notes = [e for e in root if local(e) == kind and attr(e, "type") in (None, "normal")]
             for i, e in enumerate(notes):
-                said = "\n".join(self.blocks(e, kind, f"{i:04d}."))
+                said = "\n".join(self.blocks(e, kind, f"{i:06d}."))
                 self.emit("note", i, story=kind, name=attr(e, "id"), text=said.strip("\n"), kind=kind, note_kind=kind)
         root = self.p.xml(self.names["comments"])
         if root is not None:
@@ -363,22 +363,22 @@ class Reader:
                     self.emit("section_part", i, story=part, name=resolve(self.main, rels[rid]["target"]), kind=kind + part.capitalize())
 
     def blocks(self, parent: Element, story: str, path: str, depth: int = 0, cell: str | None = None) -> list[str]:
-        """Emits the blocks below parent; returns their texts."""
+        """Emits the blocks below parent; returns their texts. Paths sort as the blocks stand in the document."""
         if depth > MOST_TABLES_DEEP:
             raise Refused("Docx", "nested too deep")
         texts, n = [], 0
         for e in parent:
             kind = local(e)
             if kind == "AlternateContent":
-                for x in chosen(e):
-                    texts += self.blocks([x], story, f"{path}a{n:04d}.", depth + 1, cell)
+                for i, x in enumerate(chosen(e)):
+                    texts += self.blocks([x], story, f"{path}{n:06d}.a{i:06d}.", depth + 1, cell)
                 n += 1
             elif kind in ("sdt", "customXml", "smartTag", "ins", "moveTo"):
                 if kind == "sdt":
                     self.content_control(e, story)
                 inside = child(e, "sdtContent") if kind == "sdt" else e
                 if inside is not None:
-                    texts += self.blocks(inside, story, f"{path}s{n:04d}.", depth + 1, cell)
+                    texts += self.blocks(inside, story, f"{path}{n:06d}.s.", depth + 1, cell)
                 n += 1
             elif kind == "bookmarkStart":
                 self.pending.append(e)  # it begins with the paragraph that comes next
@@ -386,10 +386,10 @@ class Reader:
                 self.begin_bookmarks()
                 self.doc.bookmark_end(attr(e, "id"), self.ord)
             elif kind == "p":
-                texts.append(self.paragraph(e, story, f"{path}{n:04d}", cell))
+                texts.append(self.paragraph(e, story, f"{path}{n:06d}", cell))
                 n += 1
             elif kind == "tbl":
-                texts.append(self.table(e, story, f"{path}{n:04d}", depth, cell))
+                texts.append(self.table(e, story, f"{path}{n:06d}", depth, cell))
                 n += 1
         return texts
 
@@ -425,7 +425,7 @@ class Reader:
                 span = max(1, int(span)) if span.isdigit() else 1
                 merge = child(tp, "vMerge")
                 state = None if merge is None else attr(merge, "val") or "continue"
-                text = " ".join(t.replace("\n", " ") for t in self.blocks(c, story, f"{path}.r{ri:03d}.c{ci:03d}.", depth + 1, path) if t.strip())
+                text = " ".join(t.replace("\n", " ") for t in self.blocks(c, story, f"{path}.r{ri:06d}.c{ci:06d}.", depth + 1, path) if t.strip())
                 texts.append(text)
                 if state == "continue" and at in open_:
                     open_[at]["row_span"] += 1
@@ -439,7 +439,7 @@ class Reader:
             lines.append("\t".join(texts))
         columns = max((c["grid_col"] + c["col_span"] for c in out), default=0)
         simple = all(c["col_span"] == 1 and c["row_span"] == 1 for c in out)
-        self.emit("block", start, story, path, kind="table", rows=len(rows), columns=columns, simple=simple, header_rows=headers, nested=cell is not None, in_table=cell, widths=",".join(w or "" for w in grid) or None)
+        self.emit("block", start, story, path, kind="table", rows=len(rows), columns=columns, simple=simple, header_rows=headers, nested=cell is not None, in_table=cell, widths=",".join(w or "" for w in grid) or None, lines="\n".join(lines))
         for c in out:
             self.emit("cell", start, story, path, text=c["text"], nested=cell is not None, **{k: v for k, v in c.items() if k != "text"})
         self.doc.table(f"{story}:{path}", out)
@@ -466,10 +466,10 @@ class Reader:
         pieces = [text.replace("\f", "\n")] if cell or "\f" not in text else text.split("\f")
         for i, piece in enumerate(pieces):  # a paragraph with page breaks is several, blank ones left out
             if i:
-                self.emit("block", start, story, f"{path}.b{i:03d}", kind="break", page=self.page)
+                self.emit("block", start, story, f"{path}.b{i:06d}", kind="break", page=self.page)
             if len(pieces) > 1 and not piece.strip():
                 continue
-            self.block(ppr, e, start, story, f"{path}.b{i:03d}p" if i else path, piece, style, heading, level, label, ordered, num, cell)
+            self.block(ppr, e, start, story, f"{path}.b{i:06d}p" if i else path, piece, style, heading, level, label, ordered, num, cell)
         if (s := child(ppr, "sectPr")) is not None:
             self.section_break(value(s, "type") or "nextPage")
         return text

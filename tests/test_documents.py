@@ -476,3 +476,17 @@ GOLDEN = (
     '"width_px":null,"height_px":null}]},"warnings":[{"kind":"FloatingShapePlaceholderOnly","count":2},{"kind":"ChartsPreservedButNotModeled","count":1},{"kind":"OleObjectsPreservedButNotModeled","count":1},'
     '{"kind":"UnsupportedMetafileImages","count":2}]}'
 )
+
+
+def test_text_holds_tables_and_controls_where_they_stand(spark):
+    from foliograph.plans import documents
+
+    held = f'<w:sdt><w:sdtPr><w:tag w:val="t"/></w:sdtPr><w:sdtContent>{w.paragraph(w.run("held"))}</w:sdtContent></w:sdt>'
+    inner = w.table([["x", "y"]])
+    table = w.table([["a", w.cell(w.paragraph(w.run("b")) + w.paragraph("") + inner + w.paragraph(w.run("e")))], ["c", "d"]])
+    o = w.Builder().text("one").add(held).text("two").add(table).text("three")
+    for i in range(10_050):
+        o.text(f"line {i}")
+    files = spark.createDataFrame([("p", o.save())], "path string, content binary")
+    got = documents.text(packages.open_documents(files, ["block"]), "body").first().text.split("\n")
+    assert got[:6] == ["one", "held", "two", "a\tb x\ty e", "c\td", "three"] and got[6:] == [f"line {i}" for i in range(10_050)]
