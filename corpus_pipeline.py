@@ -24,7 +24,8 @@ def without(docs, gone, key="doc_id"):
 
 
 def keep_quality(spark, docs, sf_dir):
-    """Documents that score at or above the ranking's quantile; with no labels of both kinds all stay."""
+    """Documents that score at or above the ranking's quantile; with no labels of both kinds all stay. A null text scores as
+    an empty one, rows with a null id are scored and never learnt from, repeated rows score alike."""
     ranking = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs.select(*DOCUMENTS), ranking, into="__score").where("__score >= 0.3").select(*DOCUMENTS)
 
@@ -32,7 +33,8 @@ def keep_quality(spark, docs, sf_dir):
 def keep_one_of_each(spark, docs, sf_dir):
     """One row of each id, of rows that differ the one with the greatest text, so that a null text gives way; and of
     these rows one of each group of near duplicates, the one with the smallest id. Each row with a null id is a document
-    of its own, and gives way to its copies that have an id."""
+    of its own, and gives way to its copies that have an id. Texts without words, null and
+    empty ones too, have no near duplicates."""
     docs = docs.select(*DOCUMENTS)
     again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"))
     if not again.isEmpty():
@@ -44,19 +46,22 @@ def keep_one_of_each(spark, docs, sf_dir):
 
 
 def drop_benchmark(spark, docs, sf_dir):
-    """Documents without a benchmark item or a near copy of one; each row with a null id is a document of its own."""
+    """Documents without a benchmark item or a near copy of one; each row with a null id is a document of its own. Null and
+    empty texts stay, rows of one id go together, and an empty benchmark drops nothing."""
     docs, _ = identified(docs.select(*DOCUMENTS))
     return without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__id"), "__id").select(*DOCUMENTS)
 
 
 def mask_secrets(spark, docs, sf_dir):
-    """All documents, every span of a secret replaced by a mark and n_chars counted anew where the text changed."""
+    """All documents, every span of a secret replaced by a mark and n_chars counted anew where the text changed. A text
+    without spans, null too, stays as it is; each row is masked by itself."""
     masked = secrets.scan(docs.select(*DOCUMENTS)).withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
     return masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*DOCUMENTS)
 
 
 def encode(spark, docs, sf_dir):
-    """The token ids of each text, how many, and the SHA-256 of ids and of the decoded bytes."""
+    """The token ids of each text, how many, and the SHA-256 of ids and of the decoded bytes; a null text has none. A row
+    for each row, repeated ones and such with null ids too."""
     import public_tokenizers as public
 
     tokens = bpe.read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
