@@ -490,3 +490,53 @@ def test_text_holds_tables_and_controls_where_they_stand(spark):
     files = spark.createDataFrame([("p", o.save())], "path string, content binary")
     got = documents.text(packages.open_documents(files, ["block"]), "body").first().text.split("\n")
     assert got[:6] == ["one", "held", "two", "a\tb x\ty e", "c\td", "three"] and got[6:] == [f"line {i}" for i in range(10_050)]
+
+
+def test_too_many_relationships_are_refused_cheaply_and_only_these():
+    import time
+
+    most, one, root = packages.MOST_RECORDS, b'<Relationship Id="r" Type="t" Target="x"/>', b'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+
+    def refused(body):
+        try:
+            return len(packages.relationships(body))
+        except packages.Refused as x:
+            return x.kind
+
+    over = one * (most + 1)
+    for head in (b"", b'<?xml version="1.0"?>\n'):
+        assert refused(head + root + over + b"</Relationships>") == "Docx"
+        assert refused(head + root + one * most + b"</Relationships>\n") == most
+        assert refused(head + root + one * 2 + b"<!--" + over + b"--></Relationships>") == 2
+        assert refused(head + root + one + b"<x>" + over + b"</x></Relationships>") == 1  # not the root's own
+        assert refused(head + root + over.replace(b"<Relationship ", b"<Relationship\n") + b"</Relationships>") == "Docx"
+    assert refused(root + one + b"<Relationship </Relationships>") == 0 and refused(b"<!DOCTYPE x>" + root + over + b"</Relationships>") == 0
+    sound = w.Builder().text("x").package().parts
+    crowded = zipped(sound | {"word/_rels/document.xml.rels": root + over + b"</Relationships>"})
+    began = time.process_time()
+    for _ in range(20):
+        with pytest.raises(packages.Refused, match="too many relationships"):
+            open_docx(crowded)
+    assert time.process_time() - began < 5  # 15 s when each was built into a tree first
+
+
+def test_small_documents_share_frames_and_large_ones_do_not_pile_up(spark, monkeypatch):
+    import pandas as pd
+
+    seen = {}
+
+    class Files:  # catches the function that opens, as frames can't be told apart in a table
+        columns = ["path", "content"]
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):
+            seen["run"] = run
+
+    packages.open_documents(Files(), ["block"])
+    small, large = w.Builder().text("x").save(), w.Builder().text("y" * (3 << 20)).save()
+    batch = lambda bodies: pd.DataFrame({"k": [str(i) for i in range(len(bodies))], "content": bodies, "length": [None] * len(bodies)})
+    frames = list(seen["run"](iter([batch([small] * 300 + [b"none"])])))
+    assert len(frames) == 1 and list(frames[0]["doc_id"]) == [str(i) for i in range(301)] and list(frames[0]["tag"]) == ["block"] * 300 + ["error"]
+    assert [len(f) for f in seen["run"](iter([batch([large] * 5)]))] == [2, 2, 1]
