@@ -11,6 +11,12 @@ from .content import in_order
 MOST_COLUMNS = 64
 
 
+def by_exchange(df: DataFrame) -> DataFrame:
+    """df for a join with as many rows as the other side: never broadcast. Records of many documents pack so well into
+    files that Spark takes millions of rows for a few megabytes, and sends them through the driver."""
+    return df.hint("merge")
+
+
 def styled_markdown(text: Column, bold: Column, italic: Column, strike: Column, url: Column | None = None) -> Column:
     """One run: escaped, then emphasis within strike-through, then its link. Blank runs are not marked."""
     t = markdown_escape(text)
@@ -50,7 +56,7 @@ def markdown_table(cells: DataFrame, table: list[str]) -> DataFrame:
     """
     width = cells.groupBy(*table).agg((F.max("col") + 1).alias("__w"))
     text = F.replace(F.col("text"), F.lit("\n"), F.lit("<br>"))
-    rows = cells.groupBy(*table, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", text.alias("t")))).alias("m"), (F.max("col") + 1).alias("n")).join(width, table)
+    rows = cells.groupBy(*table, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", text.alias("t")))).alias("m"), (F.max("col") + 1).alias("n")).join(by_exchange(width), table)
     size = F.when(F.col("__w") <= MOST_COLUMNS, F.col("__w")).otherwise(F.col("n"))
     line = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), size.cast("int")))

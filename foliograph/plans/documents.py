@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import finalize, html_escape, markdown_escape
 from ..operators import content, export, reports
+from ..operators.export import by_exchange
 from ..sources.packages import records
 
 CORE = ("title", "subject", "creator", "description", "keywords", "category", "content_status", "last_modified_by", "created", "modified", "last_printed", "revision", "version")
@@ -51,7 +52,7 @@ def _block_text(opened: DataFrame, plain: Column, styled: Column) -> DataFrame:
     """Body blocks with their text made of styled runs; blocks without runs of their own path have plain text."""
     r = content.current(runs(opened).where("story = 'body'").withColumnRenamed("revision", "kind")).withColumn("t", styled)
     made = r.groupBy("doc_id", "path").agg(content.in_order("run", "t", "").alias("made"))
-    return blocks(opened).where("story = 'body' AND in_table IS NULL").join(made, ["doc_id", "path"], "left").withColumn("text", F.coalesce("made", plain, F.lit(""))).drop("made")
+    return blocks(opened).where("story = 'body' AND in_table IS NULL").join(by_exchange(made), ["doc_id", "path"], "left").withColumn("text", F.coalesce("made", plain, F.lit(""))).drop("made")
 
 
 def _cells(opened: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def markdown(opened: DataFrame) -> DataFrame:
     keys = ["doc_id", "path"]
     grids = export.markdown_table(cells.withColumn("text", markdown_escape("text")), keys).withColumnRenamed("text", "grid")
     merged = export.html_table(cells.withColumn("text", html_escape("text")), keys).withColumnRenamed("text", "merged")
-    own = own.join(grids, keys, "left").join(merged, keys, "left")
+    own = own.join(by_exchange(grids), keys, "left").join(by_exchange(merged), keys, "left")
     kind = F.when(F.col("heading_level").isNotNull(), "heading").when(F.col("list_level").isNotNull(), "list").otherwise(F.col("kind"))
     shown = F.when(F.col("kind") == "table", F.when(F.col("simple"), F.col("grid")).otherwise(F.col("merged"))).otherwise(F.col("text"))
     level = F.coalesce("heading_level", "list_level", F.lit(0))
@@ -78,7 +79,7 @@ def html(opened: DataFrame) -> DataFrame:
     styled = export.styled_html(F.col("text"), F.col("bold"), F.col("italic"), F.col("underline"), F.col("strike"), F.col("hidden"))
     own = _block_text(opened, html_escape("text"), styled)
     merged = export.html_table(_cells(opened).withColumn("text", html_escape("text")), ["doc_id", "path"]).withColumnRenamed("text", "merged")
-    own = own.join(merged, ["doc_id", "path"], "left")
+    own = own.join(by_exchange(merged), ["doc_id", "path"], "left")
     kind = F.when(F.col("heading_level").isNotNull(), "heading").when(F.col("list_level").isNotNull(), "list").otherwise(F.col("kind"))
     shown = F.when(F.col("kind") == "table", F.col("merged")).otherwise(F.col("text"))
     return export.html(own.select("doc_id", F.col("path").alias("ord"), kind.alias("kind"), F.coalesce("heading_level", "list_level", F.lit(1)).alias("level"), F.coalesce("list_ordered", F.lit(False)).alias("ordered"), "align", shown.alias("text")))
@@ -130,7 +131,7 @@ def report(opened: DataFrame) -> DataFrame:
     formats = opened.where("tag = 'package'").groupBy("doc_id").agg(F.min("name").alias("format"))
     rows = features(opened)
     for more in (stats, figures, core, custom, kinds, unsupported, reasons, metafiles, formats):
-        rows = rows.join(more, "doc_id", "left")
+        rows = rows.join(by_exchange(more), "doc_id", "left")
     snake = lambda c: "".join("_" + x.lower() if x.isupper() else x for x in c)
     keys = ("title", "subject", "creator", "description", "keywords", "category", "contentStatus", "lastModifiedBy", "created", "modified", "lastPrinted", "revision", "version")
     none = F.create_map().cast("map<string,string>")

@@ -540,3 +540,15 @@ def test_small_documents_share_frames_and_large_ones_do_not_pile_up(spark, monke
     frames = list(seen["run"](iter([batch([small] * 300 + [b"none"])])))
     assert len(frames) == 1 and list(frames[0]["doc_id"]) == [str(i) for i in range(301)] and list(frames[0]["tag"]) == ["block"] * 300 + ["error"]
     assert [len(f) for f in seen["run"](iter([batch([large] * 5)]))] == [2, 2, 1]
+
+
+@pytest.mark.parametrize("answer", ["markdown", "html", "report"])
+def test_answers_of_many_documents_send_no_records_through_the_driver(spark, tmp_path, answer):
+    from foliograph.plans import documents
+
+    files = spark.createDataFrame([(str(i), w.Builder().heading("Table").add(w.table([["h", str(i)], ["a|b", "c"]], header_rows=1)).save()) for i in range(4)], "path string, content binary")
+    packages.open_documents(files).write.parquet(str(tmp_path / "opened"))  # few bytes, as those of a million documents are
+    got = getattr(documents, answer)(spark.read.schema(packages.RECORD).parquet(str(tmp_path / "opened")))
+    rows = {r[0]: r[1] for r in got.collect()}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) == 4 and (answer != "markdown" or rows["3"] == "# Table\n\n| h | 3 |\n| --- | --- |\n| a\\|b | c |")
